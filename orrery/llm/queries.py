@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat_format, exact_dedup, license_scan, mix_sources, secret_scan
+from orrery.llm import chat_format, decontaminate, exact_dedup, license_scan, mix_sources, near_dedup, secret_scan
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources.mix(docs)
 
 
+def op2_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, d, "documents").select("doc_id", "text"), _read(spark, d, "benchmark"))
+
+
 def op3_chat_format(spark: SparkSession, d: str) -> DataFrame:
     events = chat_format.as_events(_read(spark, d, "conversations"))
     planted = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat_format.PLANTED).alias("text"))
@@ -30,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", "keep_id", F.col("group_size").cast("bigint").alias("group_size"), "kept", "text_sha256")
 
 
+def op6_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size", "n_texts")
+
+
 def op9_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_read(spark, d, "documents")))
 
@@ -40,7 +48,7 @@ def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_chat_format, op5_exact_dedup, op9_secret_scan, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_chat_format, op5_exact_dedup, op6_near_dedup, op9_secret_scan, op10_license_scan)}
 
 
 OP5_SQL = """WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
