@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat_format, decontaminate, exact_dedup, license_scan, mix_sources, near_dedup, secret_scan
+from orrery.llm import chat_format, decontaminate, exact_dedup, license_scan, mix_sources, near_dedup, secret_scan, toxicity
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op3_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return chat_format.digest(chat_format.render(chat_format.reconstruct(events.unionByName(chat_format.as_events(planted)))))
 
 
+def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = _read(spark, d, "documents").select("doc_id", "text")
+    out = toxicity.held_out()
+    model = toxicity.train(docs, _read(spark, d, "labels").filter(~out))
+    scored = toxicity.score(docs.select("doc_id", out.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     got = exact_dedup.exact_groups(_read(spark, d, "documents"), keep="max")
     return got.select("doc_id", "keep_id", F.col("group_size").cast("bigint").alias("group_size"), "kept", "text_sha256")
@@ -48,7 +56,7 @@ def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_chat_format, op5_exact_dedup, op6_near_dedup, op9_secret_scan, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_chat_format, op4_toxicity, op5_exact_dedup, op6_near_dedup, op9_secret_scan, op10_license_scan)}
 
 
 OP5_SQL = """WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
