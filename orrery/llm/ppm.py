@@ -3,7 +3,7 @@
 Training counts, for every byte of the training texts and the end of each, the byte with its ORDER bytes
 of context (texts begin with zero bytes; so does the end mark).  The counts of all shorter contexts follow
 by summing, which gives the context trie.  A byte is predicted from the longest context that was seen:
-with n symbols counted there, d of them different, a seen symbol has c / (n + d), and d / (n + d) is the
+with n symbols counted there, d of them different, a seen symbol has (c - 1/2) / n, and d / 2n is the
 escape to the next shorter context, where the symbols just excluded take no part (full exclusion; symbols
 of a context are symbols of all its suffixes, so one exclusion set a level is enough).  Below the empty
 context, bytes that were never seen share what is left evenly.  The score is the log10 probability of
@@ -38,7 +38,7 @@ from orrery.llm import vectors as V
 from orrery.llm.toxicity import held_out
 from orrery.plans.fixpoint import cut
 
-ORDER, MAX_ENTRIES, COMMON, SYMBOLS = 4, 3_000_000, 65_536, 256
+ORDER, MAX_ENTRIES, COMMON, SYMBOLS = 5, 4_000_000, 65_536, 256
 MERGE = 2_000_000
 END_WORD = V.U(0xE0F)  # the hash that stands for the end token
 SPACE = np.zeros(256, bool)
@@ -83,14 +83,14 @@ def build(grams: np.ndarray, counts: np.ndarray, order: int) -> Trie:
         d = np.diff(np.append(first, len(ctx)))
         if k:
             up = np.searchsorted(keys[-1], key & ((1 << (8 * k)) - 1))
-            taken = np.add.reduceat(cs[-1][up], first) if len(first) else c
+            taken = np.add.reduceat(cs[-1][up].astype(np.int64), first) if len(first) else c
             parent = np.searchsorted(ctxs[-1], ctx[first] & ((1 << (8 * (k - 1))) - 1))
             rn.append(ns[-1][parent] - taken)
             rd.append(ds[-1][parent] - d)
         else:
             rn.append(np.zeros(len(first), np.int64))
             rd.append(np.zeros(len(first), np.int64))
-        keys.append(key), cs.append(c), ctxs.append(ctx[first]), ns.append(n), ds.append(d)
+        keys.append(key), cs.append(c.astype(np.int32) if c.max(initial=0) < 2**31 else c), ctxs.append(ctx[first]), ns.append(n), ds.append(d)
     return Trie(order, *(tuple(x) for x in (keys, cs, ctxs, ns, ds, rn, rd)))
 
 
@@ -121,9 +121,9 @@ def log10_of(trie: Trie, grams: np.ndarray) -> np.ndarray:
         n[known] = np.where(fresh, trie.n[k][c], n[known])
         d[known] = np.where(fresh, trie.d[k][c], d[known])
         hit = known & found
-        out[live[hit]] += np.log10(trie.counts[k][key[hit]] / (n[hit] + d[hit]))
+        out[live[hit]] += np.log10((2 * trie.counts[k][key[hit]].astype(np.int64) - 1) / (2 * n[hit]))
         miss = known & ~found & (d > 0)
-        out[live[miss]] += np.log10(d[miss] / (n[miss] + d[miss]))
+        out[live[miss]] += np.log10(d[miss] / (2 * n[miss]))
         n_left[live[known]], d_left[live[known]] = trie.rest_n[k][c], trie.rest_d[k][c]
         live = live[~hit]
     seen = len(trie.keys[0])
@@ -196,7 +196,7 @@ def count(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def load(counts: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Trie:
-    """The trie on the driver: of the longest contexts whose entries, counted first, are at most max_entries."""
+    """The trie on the driver (order 6 at most, by the width of the keys): of the longest contexts whose entries, counted first, are at most max_entries."""
     grams = counts.filter(F.col("kind") == GRAM).select("key", "n")
     while order > 2 and grams.limit(max_entries + 1).count() > max_entries:
         order -= 1
@@ -289,9 +289,9 @@ def adaptive_log10(texts: list[bytes], order: int = ORDER, trained: list[bytes]
             left = {x: c for x, c in node.items() if x not in gone}
             n, d = sum(left.values()), len(left)
             if s in left:
-                return out + float(np.log10(left[s] / (n + d)))
+                return out + float(np.log10((2 * left[s] - 1) / (2 * n)))
             if d:
-                out += float(np.log10(d / (n + d)))
+                out += float(np.log10(d / (2 * n)))
             gone = set(node)
         return out - float(np.log10(max(SYMBOLS - len(gone), 1)))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat_format, decontaminate, exact_dedup, license_scan, mix_sources, near_dedup, ppm, secret_scan, toxicity
+from orrery.llm import chat_format, decontaminate, exact_dedup, html_text, license_scan, mix_sources, near_dedup, ppm, secret_scan, toxicity
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op6_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size", "n_texts")
 
 
+def op7_html_text(spark: SparkSession, d: str) -> DataFrame:
+    got = html_text.extract(_read(spark, d, "pages").select("page_id", "url", "html"), out_col="text")
+    return got.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op8_ppm(spark: SparkSession, d: str) -> DataFrame:
     return ppm.score(_read(spark, d, "documents").select("doc_id", "text"))
 
@@ -60,7 +65,7 @@ def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_chat_format, op4_toxicity, op5_exact_dedup, op6_near_dedup, op8_ppm, op9_secret_scan, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_chat_format, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_html_text, op8_ppm, op9_secret_scan, op10_license_scan)}
 
 
 OP5_SQL = """WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
