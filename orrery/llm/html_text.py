@@ -171,7 +171,7 @@ def features(pages: list[list[tuple[tuple[str, ...], str, int]]]) -> list[np.nda
         for p in pages:
             n = len(p)
             x[at : at + n, -2] = np.linspace(0, 1, n) if n else 0
-            x[at : at + n, -1] = np.log1p(n) / 5
+            x[at : at + n, -1] = min(np.log1p(n) / 5, 0.8)
             at += n
     ends = np.cumsum([len(p) for p in pages])
     return np.split(x, ends[:-1]) if pages else []
@@ -268,7 +268,7 @@ def lesson(rnd: random.Random) -> tuple[str, str]:
         out = []
         if rnd.random() < 0.8:
             out.append(wrap("h1", keep(said(2, 9))))
-        for _ in range(rnd.choice([1, 1, 2, 2, 4, 8, 14])):
+        for _ in range(rnd.choice([1, 1, 2, 2, 4, 8, 14]) if rnd.random() < 0.97 else rnd.randint(30, 120)):
             kind = rnd.random()
             if kind < 0.7:
                 t = keep(said(*rnd.choice([(1, 3), (5, 20), (20, 60), (60, 120), (120, 400)])) if rnd.random() < 0.93 else " ".join([word()] * rnd.randint(5, 500)))
@@ -333,7 +333,7 @@ def _batch(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 _trained: dict[tuple, Labeller] = {}
 
 
-def train(pages: int = 2400, epochs: int = 14, seed: int = 3) -> Labeller:
+def train(pages: int = 2400, epochs: int = 12, seed: int = 3) -> Labeller:
     """The labeller; once a process for each set of parameters."""
     key = (pages, epochs, seed)
     if key in _trained:
