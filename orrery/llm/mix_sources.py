@@ -85,3 +85,24 @@ def mix(docs: DataFrame, *, weights: dict[str, int] = WEIGHTS, default_weight: i
     at = at.withColumn("_p", F.expr("filter(phases, p -> block >= p.lo and block < p.lo + p.m * p.reps)[0]"))
     at = at.withColumn("slot", F.expr("_p.slot + ((block - _p.lo) div _p.m) * _p.total + element_at(_p.pos, cast((block - _p.lo) % _p.m as int) + 1)"))
     return at.select("_row.*", "block", "slot", F.expr(f"slot * {block_rows} + _i % {block_rows}").alias("mix_pos"))
+
+
+def oracle() -> str:
+    """DuckDB SQL for mix(documents) with the production weights: a recursion that takes one slot a step."""
+    case = " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items())
+    pick = "list_sort(list_filter(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN cnt[i] < m[i] AND cnt[i] * total // m[i] <= t THEN {'d': ((cnt[i] + 1) * total + m[i] - 1) // m[i], 'i': i} END), lambda x: x IS NOT NULL))[1].i"
+    part = "list_transform(range(1, len(rem) + 1), lambda i: least(rem[i], ws[i]))"
+    zero = "list_transform(rem, lambda x: 0)"
+    return f"""WITH RECURSIVE k AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS h, coalesce(source, '￿') AS s FROM documents),
+n AS (SELECT doc_id, source, s, row_number() OVER (PARTITION BY s ORDER BY h, doc_id NULLS FIRST) - 1 AS i FROM k),
+b AS (SELECT s, (count(*) + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} AS b, CASE s {case} ELSE {DEFAULT_WEIGHT} END AS w FROM k GROUP BY s),
+a AS (SELECT list(s ORDER BY s) AS ss, list(b ORDER BY s) AS bs, list(w ORDER BY s) AS ws FROM b),
+sim AS (
+  SELECT slot, t, total, m, cnt, rem, ws, {pick} AS j FROM (SELECT 0::BIGINT AS slot, 0 AS t, list_sum(m) AS total, m, cnt, rem, ws FROM (SELECT bs AS rem, ws, {part.replace("rem", "bs")} AS m, {zero.replace("rem", "bs")} AS cnt FROM a) WHERE len(m) > 0)
+  UNION ALL
+  SELECT slot, t, total, m, cnt, rem, ws, {pick} AS j FROM (
+    SELECT slot, CASE WHEN fresh THEN 0 ELSE t END AS t, CASE WHEN fresh THEN list_sum({part}) ELSE total END AS total, CASE WHEN fresh THEN {part} ELSE m END AS m, CASE WHEN fresh THEN {zero} ELSE cnt END AS cnt, rem, ws FROM (
+      SELECT slot + 1 AS slot, t + 1 AS t, total, m, list_transform(range(1, len(m) + 1), lambda i: cnt[i] + (i = j)::INT) AS cnt, list_transform(range(1, len(m) + 1), lambda i: rem[i] - (i = j)::INT) AS rem, ws, t + 1 = total AS fresh FROM sim)
+    WHERE list_sum(rem) > 0))
+SELECT n.doc_id, n.source, n.i // {BLOCK_ROWS} AS block, slot, slot * {BLOCK_ROWS} + n.i % {BLOCK_ROWS} AS mix_pos
+FROM n JOIN (SELECT slot, ss[j] AS s, bs[j] - rem[j] AS block FROM sim, a) z ON n.s = z.s AND n.i // {BLOCK_ROWS} = z.block"""

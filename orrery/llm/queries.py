@@ -74,4 +74,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS tex
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat_format.oracle(), "op5_exact_dedup": OP5_SQL, "op9_secret_scan": secret_scan.oracle(), "op10_license_scan": license_scan.oracle()}
+    return {"op1_mix_sources": mix_sources.oracle(), "op3_chat_format": chat_format.oracle(), "op5_exact_dedup": OP5_SQL, "op9_secret_scan": secret_scan.oracle(), "op10_license_scan": license_scan.oracle()}

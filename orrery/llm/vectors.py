@@ -6,6 +6,9 @@ Memory is bounded by CHUNK bytes of text (and by the longest single text).
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 
@@ -24,7 +27,13 @@ WORD[65:91] = WORD[97:123] = WORD[128:] = True
 
 
 def bounded_batches(spark, rows: int = 1000) -> None:
-    """Fewer rows an Arrow batch, so that long texts don't add up; a smaller setting stays."""
+    """Fewer rows an Arrow batch, so that long texts don't add up; a smaller setting stays.
+
+    Workers also get the package's folder as a path, for sessions that were started elsewhere.
+    """
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
