@@ -10,12 +10,13 @@ the longest common subsequence is the longest increasing one over their position
 diagonal by more than the threshold allows cannot belong to an alignment that reaches it and are left
 out first.  The similarity is common / (n1 + n2 - common) over the aligned k-mers; 0.8 links.
 
-Scale: texts of equal words are one node from the start (a hash aggregate).  A bucket of sketches never
-gives all pairs: each member is compared with the bucket's leader, found by a partial aggregate and
-taken in one of ORDERS hash orders by table, so members meet several leaders.  A member that the
-alignment parts from its leader is compared again within the finer buckets of two equal sketches.  So a
-bucket of n members gives n pairs a round, and links are lost only to the chance of the sketches.
-Classes are the connected components, by minimum labels with pointer jumping, each pass checkpointed.
+Scale: texts of equal words are one node from the start (a hash aggregate).  A bucket of equal sketches
+never gives all pairs: each member is compared with the bucket's leader, the member that shares most
+sketches with most texts, found by aggregates.  A member that the alignment parts from its leader is
+compared with two more: the bucket's member of the least hash, and the one among its like in the finer
+bucket of two equal sketches.  So a bucket of n members gives n pairs a leader; links are lost only to the
+chance of the sketches and leaders (measured in the tests).  Classes are the connected components, by
+minimum labels with pointer jumping, each pass checkpointed.
 
 Defined results: null and empty texts have no words and are one class; texts of less than five words are
 one k-mer, so they link only to equal words.  A null id belongs to its text's class, whose id is the least
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from orrery.llm import vectors as V
 from orrery.plans.fixpoint import cut
 
-K, MINIMA, TABLES, SIMILARITY, ORDERS = 5, 4, 24, 0.8, 4
+K, MINIMA, TABLES, SIMILARITY = 5, 4, 24, 0.8
 _SEED = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), np.int64).astype(V.U)
 
 
@@ -65,7 +66,7 @@ def sketches(kmers: np.ndarray, minima: int = MINIMA, tables: int = TABLES) -> n
     out = np.zeros(tables, V.U)
     for j in range(m):
         out = out * V.U(V._BASE) + kmers[at[:, j]]
-    return V.mix(out + V.U(m))
+    return V.mix(out + V.U(m) + np.arange(tables, dtype=V.U) * V.U(V._INVERSE))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int, minima: int, tables: int) -> Iterator[pa.RecordBatch]:
@@ -139,42 +140,49 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterator
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
 
-def _star(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """Rows with the leader (b, bn) of their bucket: the member of the least order; not the leaders."""
-    lead = rows.groupBy(*keys).agg(F.min(F.struct(order.alias("o"), F.col("a").alias("b"), F.col("n").alias("bn"))).alias("l"), F.count("*").alias("c")).filter("c > 1").select(*keys, "l.b", "l.bn")
-    return rows.join(lead, keys).filter("a <> b")
-
-
 def _checked(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
     """(a, b, sim) of the pairs that the alignment links."""
-    x = pairs.join(texts.select(F.col("sig").alias("a"), F.col("norm").alias("ta")), "a")
-    x = x.join(texts.select(F.col("sig").alias("b"), F.col("norm").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return x.mapInArrow(lambda it: _verify(it, k, least), "a string, b string, sim double").filter(F.col("sim") >= least)
+    x = pairs.join(texts.select(F.col("nid").alias("a"), F.col("norm").alias("ta")), "a")
+    x = x.join(texts.select(F.col("nid").alias("b"), F.col("norm").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return x.mapInArrow(lambda it: _verify(it, k, least), "a bigint, b bigint, sim double").filter(F.col("sim") >= least)
 
 
-def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, minima: int = MINIMA, tables: int = TABLES, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (id, sig) of all rows, links (a, b, sim) between nodes (sigs)."""
+def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, minima: int = MINIMA, tables: int = TABLES, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, nodes, links): members (id, sig) of all rows, nodes (nid, sig, least, c), links (a, b, sim) of nids.
+
+    nodes: the different word sequences, with the least id and the number of their rows.
+    """
     V.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), plain_words(F.col(text_col)).alias("norm")).withColumn("sig", F.md5("norm"))
     sketched = cut(rows.select("id", "sig", "norm").mapInArrow(lambda it: _sketch(it, k, minima, tables), f"id {dict(docs.dtypes)[id_col]}, sig string, n int, keys array<bigint>"))
-    nodes = sketched.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    slots = cut(nodes.select(F.col("sig").alias("a"), "n", "keys"))
-    near = (F.least("n", "bn") >= similarity * F.greatest("n", "bn"))  # a shorter text can't reach the threshold
-    order = F.xxhash64(F.col("t") % ORDERS, F.col("a"))
-    met = _star(slots.select("a", "n", F.posexplode("keys").alias("t", "key")), ["t", "key"], order)
+    nodes = sketched.groupBy("sig").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("id").alias("least"), F.count("*").alias("c"))
+    nodes = cut(nodes.withColumn("nid", F.monotonically_increasing_id()))  # fixed once it is written
+    slots = nodes.select("nid", "n", F.posexplode("keys").alias("t", "key"))
+    shared = slots.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    slots = cut(slots.join(shared, "key"))
+    # The leader is the member in the largest buckets over all tables: the text closest to the group's common form.
+    weight = slots.groupBy("nid").agg(F.sum(F.log2("size")).alias("w"))
+    lead = slots.join(weight, "nid").groupBy("key").agg(F.max(F.struct("w", "nid", "n")).alias("l"))
+    near = F.least("n", "bn") >= similarity * F.greatest("n", "bn")  # a shorter text can't reach the threshold
+    met = cut(slots.join(lead, "key").select(F.col("nid").alias("a"), "n", "t", "key", F.col("l.nid").alias("b"), F.col("l.n").alias("bn")).filter("a <> b"))
     first = met.filter(near).select("a", "b").distinct()
-    seen = cut(met.select("a", "b", "t", "key", near.alias("near")))
-    # Texts of the nodes that take part in pairs, one for each.
-    part = seen.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    texts = cut(rows.select("sig", "norm").join(part, "sig", "left_semi").groupBy("sig").agg(F.max("norm").alias("norm")))
+    # Second leaders, for members that the alignment parts from the first.
+    other = slots.groupBy("key").agg(F.min(F.struct(F.xxhash64("nid").alias("o"), "nid", "n")).alias("l"))
+    other = cut(other.select("key", F.col("l.nid").alias("b2"), F.col("l.n").alias("bn2")))
+    # One row's text for each node that takes part; the id spreads the rows of a frequent text.
+    part = met.select("a").union(met.select("b")).union(other.select("b2")).distinct().join(nodes, F.col("a") == F.col("nid")).select("nid", "sig", "least")
+    texts = rows.join(part.withColumnRenamed("sig", "_s"), (F.col("sig") == F.col("_s")) & F.col("id").eqNullSafe(F.col("least"))).groupBy("sig", "id", "nid").agg(F.max("norm").alias("norm"))
+    texts = cut(texts.select("nid", "norm"))
     ok = cut(_checked(first, texts, k, similarity))
-    # Second round: members not linked to their leader, within buckets of two equal sketches.
-    left = seen.join(ok.select("a", "b"), ["a", "b"], "left_anti").select("a", "t", "key")
-    finer = left.join(slots, "a").select("a", "n", "t", "key", F.posexplode("keys").alias("u", "key2")).filter("u > t")
-    again = _star(finer, ["t", "key", "u", "key2"], F.xxhash64(F.col("u"), F.col("a"))).filter(near).select("a", "b").distinct()
-    again = again.join(first.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
+    left = met.join(ok.select("a", "b"), ["a", "b"], "left_anti").select("a", "n", "t", "key")
+    plain = left.join(other, "key").select("a", "n", F.col("b2").alias("b"), F.col("bn2").alias("bn"))
+    # And leaders within buckets of two equal sketches, where texts that only share a passage seldom meet.
+    keys = left.join(nodes.select(F.col("nid").alias("a"), "keys"), "a").select("a", "n", "key", F.get("keys", (F.col("t") + 1) % tables).alias("key2"))
+    finer = keys.groupBy("key", "key2").agg(F.max(F.struct(F.xxhash64("a", F.lit(1)).alias("o"), F.col("a").alias("b"), F.col("n").alias("bn"))).alias("l"), F.count("*").alias("size")).filter("size > 1")
+    finer = keys.join(finer.select("key", "key2", "l.b", "l.bn"), ["key", "key2"]).select("a", "n", "b", "bn")
+    again = plain.unionByName(finer).filter(near & (F.col("a") != F.col("b"))).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     ok2 = cut(_checked(again, texts, k, similarity))
-    return sketched.select("id", "sig"), ok.unionByName(ok2)
+    return sketched.select("id", "sig"), nodes.select("nid", "sig", "least", F.col("c")), ok.unionByName(ok2)
 
 
 def components(edges: DataFrame, max_passes: int = 200) -> DataFrame:
@@ -196,10 +204,9 @@ def components(edges: DataFrame, max_passes: int = 200) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per document: id, class_id (the least id of its class), class_size, n_texts (different in it)."""
-    members, found = links(docs, id_col=id_col, text_col=text_col, **how)
+    members, every, found = links(docs, id_col=id_col, text_col=text_col, **how)
     roots = components(found)
-    sizes = members.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("c"))
-    nodes = sizes.join(roots, sizes["sig"] == roots["node"], "left").select("sig", F.coalesce("root", "sig").alias("root"), "least", "c")
+    nodes = every.join(roots, every["nid"] == roots["node"], "left").select("sig", F.coalesce("root", "nid").alias("root"), "least", "c")
     classes = nodes.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("c").alias("class_size"), F.count("*").alias("n_texts"))
     named = nodes.select("sig", "root").join(classes, "root").drop("root")
     return members.join(named, "sig").select(F.col("id").alias(id_col), "class_id", "class_size", "n_texts", F.col("sig").alias("words_md5"))
