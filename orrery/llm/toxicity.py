@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import vectors as V
 
-ORDERS, HASH_BITS, MAX_FEATURES, MAX_TRAIN, THRESHOLD = (4, 5, 6), 22, 30_000, 3000, 0.7
+ORDERS, HASH_BITS, MAX_FEATURES, MAX_TRAIN, THRESHOLD = (4, 5, 6), 22, 20_000, 2000, 0.7
 CHARS = 1 << 20
 _FOLD = np.array([c if chr(c).isalnum() else 32 for c in range(128)], np.uint32)
 _slots: dict[int, np.ndarray] = {}
@@ -89,15 +89,20 @@ def _document_slots(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 def _values(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, feature, log(1 + count)) of the features that occur."""
-    out = []
+    rows, cols, vals = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
     for first, codes, doc in _chunks(texts):
+        out = []
         for n, slot in _grams(codes):
             f = table[slot]
             at = np.flatnonzero(f)
             at = at[doc[at] == doc[at + n - 1]]
-            out.append((doc[at] + first).astype(np.int64) << 16 | f[at])
-    key, count = np.unique(np.concatenate(out) if out else np.zeros(0, np.int64), return_counts=True)
-    return key >> 16, (key & 0xFFFF) - 1, np.log1p(count)
+            out.append(doc[at] << 16 | f[at])
+        if out:  # a text lies in one run, so its counts are whole
+            key, count = np.unique(np.concatenate(out), return_counts=True)
+            rows.append((key >> 16).astype(np.int32) + np.int32(first))
+            cols.append((key & 0xFFFF).astype(np.int32) - np.int32(1))
+            vals.append(np.log1p(count).astype(np.float32))
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
 
 
 def fit(texts: list[str | None], labels: np.ndarray, share: float, **how) -> Model:
@@ -126,7 +131,7 @@ def fit(texts: list[str | None], labels: np.ndarray, share: float, **how) -> Mod
     return Model(model.slots, model.weights * a, float(a * even + b))
 
 
-def _fit(texts: list[str | None], labels: np.ndarray, share: float, *, steps: int = 200, penalty: float = 1e-3) -> Model:
+def _fit(texts: list[str | None], labels: np.ndarray, share: float, *, steps: int = 150, penalty: float = 1e-3) -> Model:
     y = np.asarray(labels, np.float64)
     n1, n0 = y.sum(), len(y) - y.sum()
     none = np.zeros(0, np.int32)
@@ -145,7 +150,7 @@ def _fit(texts: list[str | None], labels: np.ndarray, share: float, *, steps: in
     table = np.zeros(1 << HASH_BITS, np.uint16)
     table[slots] = np.arange(1, len(slots) + 1)
     row, col, val = _values(texts, table)
-    val = val * ratio[col]
+    val *= ratio.astype(np.float32)[col]
     # Both classes weigh the same in the fit; Adam on the whole sample.
     weigh = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     w, bias = np.zeros(len(slots)), 0.0
