@@ -178,12 +178,13 @@ def digest(scanned: DataFrame, *, id_col: str = "doc_id", rules: list[Rule] = RU
 
 def oracle() -> str:
     """DuckDB SQL for digest(scan(documents)): every rule scans every text, lengths tested afterwards."""
-    parts = []
+    cols, parts = [], []
     for i, r in enumerate(RULES):
-        pattern = (r"[0-9a-f]+" if r.kind == "hex" else r.pattern).replace("'", "''").replace(r"\x20", " ")
-        parts.append(f"list_filter(list_transform(generate_series(1, len(regexp_extract_all(t, '{pattern}'))), lambda i: {{'s': list_sum(list_transform(list_slice(string_split_regex(t, '{pattern}'), 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(regexp_extract_all(t, '{pattern}'), 1, i - 1), lambda x: length(x))), 0), 'k': {i}, 'n': length(regexp_extract_all(t, '{pattern}')[i]), 'v': length(regexp_extract_all(t, '{pattern}', {r.group})[i])}}), lambda x: x.v >= {r.least})")
+        pattern = r.pattern.replace("'", "''").replace(r"\x20", " ")
+        cols.append(f"regexp_extract_all(t, '{pattern}') AS m{i}, regexp_extract_all(t, '{pattern}', {r.group}) AS v{i}, CASE WHEN regexp_matches(t, '{pattern}') THEN list_transform(string_split_regex(t, '{pattern}'), lambda x: length(x)) END AS p{i}")
+        parts.append(f"list_filter(list_transform(range(1, len(m{i}) + 1), lambda i: {{'s': list_sum(p{i}[1:i]) + coalesce(list_sum(list_transform(m{i}[1:i - 1], lambda x: length(x))), 0), 'k': {i}, 'n': length(m{i}[i]), 'v': length(v{i}[i])}}), lambda x: x.v >= {r.least})")
     kinds = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
     text = lambda xs: f"coalesce(array_to_string(list_transform({xs}, lambda x: {kinds}[x.k + 1] || ':' || x.s::BIGINT || ':' || (x.s + x.n)::BIGINT), ','), '')"
     base = f"list_filter(a, lambda x: x.k < {len(BASE)})"
     counts = ", ".join(f"len(list_filter(a, lambda x: x.k = {i})) AS n_{r.kind}" for i, r in enumerate(BASE))
-    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, list_sort(list_concat({', '.join(parts)})) AS a FROM d) SELECT doc_id, {counts}, sha256({text(base)}) AS base_sha256, {text('a')} AS spans FROM f"
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS MATERIALIZED (SELECT doc_id, {', '.join(cols)} FROM d), f AS (SELECT doc_id, list_sort(list_concat({', '.join(parts)})) AS a FROM c) SELECT doc_id, {counts}, sha256({text(base)}) AS base_sha256, {text('a')} AS spans FROM f"
