@@ -64,7 +64,7 @@ def triangle_count_replicated(edges: DataFrame, *, max_id: int | None = None, br
     """
     probe = _weighted(cap_ids(edges, max_id))
     side = probe.select("src", "dst")
-    small = side.limit(broadcast_rows + 1).count() <= broadcast_rows
+    small = side.count() <= broadcast_rows
     fit = F.broadcast if small else (lambda df: df)
     ab = probe.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w")
     bv = side.select(F.col("src").alias("b"), F.col("dst").alias("v"))
