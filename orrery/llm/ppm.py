@@ -15,8 +15,8 @@ The base score is that of a unigram model with add-half smoothing over words.
 Scale: training and scoring are passes of Arrow batches in bounded vectors.  Partial counts leave a task
 merged, are summed by Spark, and cover all training texts.  The trie is collected and broadcast only if its
 counted entries are at most ``max_entries``; beyond, the longest context that fits is used (two bytes of
-context, at most 2^24 entries, always may).  Of the words' counts the COMMON most frequent ones are
-broadcast; all other words are looked up by a join on their 64-bit hashes, each document's distinct
+context, at most 2^24 entries, always may).  Of the words' counts at most the COMMON most frequent ones
+are broadcast; all other words are looked up by a join on their 64-bit hashes, each document's distinct
 ones once.
 
 Defined results: null is the empty text: its only token and symbol is the end.  Texts may hold zero bytes;
@@ -198,7 +198,7 @@ def count(texts: DataFrame, order: int = ORDER) -> DataFrame:
 def load(counts: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Trie:
     """The trie on the driver (order 6 at most, by the width of the keys): of the longest contexts whose entries, counted first, are at most max_entries."""
     grams = counts.filter(F.col("kind") == GRAM).select("key", "n")
-    while order > 2 and grams.limit(max_entries + 1).count() > max_entries:
+    while order > 2 and grams.count() > max_entries:
         order -= 1
         grams = grams.select(F.expr(f"key & {(1 << (8 * (order + 1))) - 1}L").alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
     t = grams.toArrow()
@@ -247,19 +247,26 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = int(whole[0]), int(whole[1])
     end = int(np.array([END_WORD], V.U).view(np.int64)[0])
-    top = words.filter(F.col("key") != end).orderBy(F.desc("n"), "key").limit(common).toArrow()  # bounded by common
+    # The common words are those of the highest classes of frequency (16 a doubling) that hold at most
+    # ``common`` words together; a sort would bring that many from each task together.
+    words = words.withColumn("band", F.floor(F.log2("n") * 16))
+    first, held = 1 << 30, 0
+    for r in sorted(words.filter(F.col("key") != end).groupBy("band").count().collect(), key=lambda r: -r["band"]):
+        held += r["count"]
+        if held > common:
+            break
+        first = r["band"]
+    top = words.filter((F.col("key") != end) & (F.col("band") >= first)).select("key", "n").toArrow()
     by = np.argsort(top.column("key").to_numpy())
     keys, logs = top.column("key").to_numpy()[by], np.log10(top.column("n").to_numpy()[by] + 0.5)
-    least = int(top.column("n").to_numpy().min()) if top.num_rows else 0
     ends = words.filter(F.col("key") == end).first()
     shared = spark.sparkContext.broadcast((trie, (keys, logs)))
     name = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), out.alias("held_out"), F.col(text_col).alias("text"))
     got = rows.mapInArrow(lambda it: _score(it, *shared.value), f"id {name}, held_out boolean, n_tokens bigint, known bigint, base double, score double, rest array<bigint>, times array<int>")
     got = cut(got.withColumn("rid", F.monotonically_increasing_id()))  # fixed once it is written
-    # A word that isn't common occurs at most as often as the least common one does.
     tail = got.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("rid", F.col("x.rest").alias("key"), F.col("x.times").alias("m"))
-    seen = words.filter(F.col("n") <= least)
+    seen = words.filter(F.col("band") < first).select("key", "n")
     sums = tail.join(seen, "key", "left").groupBy("rid").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("k2"), F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("b2"))
     end_n = int(ends["n"]) if ends else 0
     all_ = got.select("rid", "id", "held_out", "n_tokens", "known", "base", "score").join(sums, "rid", "left")
