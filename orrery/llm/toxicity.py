@@ -5,8 +5,8 @@ ASCII count as a space), hashed to 2^HASH_BITS slots.  From document counts in b
 gets its smoothed log-count ratio r; the slots with the most significant ratios are kept.  A document's
 value for a slot is r * log(1 + count), and a logistic regression with an L2 penalty is fitted on these.
 
-Training uses a bounded sample of labelled rows: at most ``max_train`` of each class, those of the least
-hash of their id, so the fit costs the same at every size; the intercept is then corrected to the
+Training uses a bounded sample of labelled rows: at most ``max_train`` of each class, those of a range of
+hashes of their id, so the fit costs the same at every size; the intercept is then corrected to the
 classes' shares among all labelled rows.  Scoring reads every whole text once, in vectors of bounded
 size; the model that goes to the workers has at most MAX_FEATURES weights.
 
@@ -183,7 +183,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """labels: the rows that may be learned from."""
     marks = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     n = {r["_y"]: r["count"] for r in marks.groupBy("_y").count().collect()}
-    parts = [marks.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_train) for y in (0, 1)]
+    # A share of the hashes that gives somewhat fewer rows than may be used: no sort, no task that gathers
+    # candidates of all others.  The limit is a guard that doesn't bind.
+    parts = []
+    for y in (0, 1):
+        few = n.get(y, 0) <= max_train
+        share = 1 << 30 if few else int(0.9 * max_train / n[y] * (1 << 30))
+        parts.append(marks.filter((F.col("_y") == y) & (F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share)).limit(max_train))
     sample = parts[0].unionByName(parts[1])  # at most 2 * max_train rows, hence the broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.max("_t").alias("_t")).orderBy("_id").select("_y", "_t").toArrow()
     total = sum(n.values())
