@@ -129,7 +129,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     used = sorted(set(spots.column("z").to_pylist()))
     shared = spark.sparkContext.broadcast(bits)
     hits = _texts(docs, id_col, text_col).mapInArrow(lambda it: _windows(it, used, shared.value, 0), SCHEMA)
-    small = bench.limit(broadcast_windows + 1).count() <= broadcast_windows
+    small = bench.count() <= broadcast_windows
     met = hits.join(F.broadcast(bench) if small else bench, ["wh", "literal"]).filter("size = isize")
     met = met.withColumn("diag", F.col("pos") - F.col("ipos")).dropDuplicates(["id", "h", "item", "ih", "diag", "ipos", "literal"])
     pairs = F.arrays_zip(F.col("islots").alias("a"), F.col("slots").alias("b"))
