@@ -13,11 +13,13 @@ learning as it goes, from an empty trie or none.
 The base score is that of a unigram model with add-half smoothing over words.
 
 Scale: training and scoring are passes of Arrow batches in bounded vectors.  Partial counts leave a task
-merged, are summed by Spark, and cover all training texts.  The trie is collected and broadcast only if its
-counted entries are at most ``max_entries``; beyond, the longest context that fits is used (two bytes of
-context, at most 2^24 entries, always may).  Of the words' counts at most the COMMON most frequent ones
-are broadcast; all other words are looked up by a join on their 64-bit hashes, each document's distinct
-ones once.
+merged, are summed by Spark, and cover all training texts.  The model is the whole trie at every size; where
+it lies depends on its size.  The most frequent contexts, whose entries are counted to at most
+``max_entries``, are broadcast (a suffix is at least as frequent, so they form a trie).  A gram whose context
+is not among them meets the rest by a shuffle on its shortest context that isn't broadcast: all training
+grams that end in this context are there, fewer than the least frequent broadcast context has, so a group is
+bounded, and the levels below are broadcast.  Each document sends its distinct ones once.  Words are dealt
+with likewise: at most the COMMON most frequent ones are broadcast, all others joined on 64-bit hashes.
 
 Defined results: null is the empty text: its only token and symbol is the end.  Texts may hold zero bytes;
 they are coded as symbol 0, like the end.  Without training rows every symbol has 1/256.  Repeated rows
@@ -54,13 +56,16 @@ class Trie:
     """
 
     order: int
-    keys: tuple[np.ndarray, ...]
-    counts: tuple[np.ndarray, ...]
-    contexts: tuple[np.ndarray, ...]
-    n: tuple[np.ndarray, ...]
-    d: tuple[np.ndarray, ...]
-    rest_n: tuple[np.ndarray, ...]
-    rest_d: tuple[np.ndarray, ...]
+    keys: list[np.ndarray]
+    counts: list[np.ndarray]
+    contexts: list[np.ndarray]
+    n: list[np.ndarray]
+    d: list[np.ndarray]
+    rest_n: list[np.ndarray]
+    rest_d: list[np.ndarray]
+
+    def values(self, k: int) -> tuple[np.ndarray, ...]:
+        return self.n[k], self.d[k], self.rest_n[k], self.rest_d[k]
 
 
 def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,28 +77,6 @@ def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[first], np.add.reduceat(c, first)
 
 
-def build(grams: np.ndarray, counts: np.ndarray, order: int) -> Trie:
-    """The trie of the counted grams of order + 1 bytes (the symbol in the low byte)."""
-    keys, cs, ctxs, ns, ds, rn, rd = [], [], [], [], [], [], []
-    for k in range(order + 1):
-        key, c = _merge(grams & ((1 << (8 * (k + 1))) - 1), counts)
-        ctx = key >> 8
-        first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, np.int64)
-        n = np.add.reduceat(c, first) if len(first) else c
-        d = np.diff(np.append(first, len(ctx)))
-        if k:
-            up = np.searchsorted(keys[-1], key & ((1 << (8 * k)) - 1))
-            taken = np.add.reduceat(cs[-1][up].astype(np.int64), first) if len(first) else c
-            parent = np.searchsorted(ctxs[-1], ctx[first] & ((1 << (8 * (k - 1))) - 1))
-            rn.append(ns[-1][parent] - taken)
-            rd.append(ds[-1][parent] - d)
-        else:
-            rn.append(np.zeros(len(first), np.int64))
-            rd.append(np.zeros(len(first), np.int64))
-        keys.append(key), cs.append(c.astype(np.int32) if c.max(initial=0) < 2**31 else c), ctxs.append(ctx[first]), ns.append(n), ds.append(d)
-    return Trie(order, *(tuple(x) for x in (keys, cs, ctxs, ns, ds, rn, rd)))
-
-
 def _find(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(sorted_keys, x)
     if not len(sorted_keys):
@@ -103,8 +86,55 @@ def _find(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, hit
 
 
-def log10_of(trie: Trie, grams: np.ndarray) -> np.ndarray:
-    """log10 probability of the last byte of each gram after the bytes before it."""
+def _counts(tries: tuple[Trie, ...], k: int, keys: np.ndarray) -> np.ndarray:
+    """The counts of keys of level k, 0 where none of the tries has one."""
+    out = np.zeros(len(keys), np.int64)
+    for t in tries:
+        at, hit = _find(t.keys[k], keys)
+        out[hit] = t.counts[k][at[hit]]
+    return out
+
+
+def _contexts(tries: tuple[Trie, ...], k: int, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(known, rows n, d, rest_n, rest_d) of contexts of level k; no two tries have the same context."""
+    known, out = np.zeros(len(ctx), bool), np.zeros((4, len(ctx)), np.int64)
+    for t in tries:
+        at, hit = _find(t.contexts[k], ctx)
+        known |= hit
+        for row, values in zip(out, t.values(k), strict=True):
+            row[hit] = values[at[hit]]
+    return known, out
+
+
+def low_bytes(x: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+    return x & ((np.int64(1) << (8 * np.asarray(k, np.int64))) - 1)
+
+
+def assemble(levels: list[tuple[np.ndarray, np.ndarray]], *base: Trie) -> Trie:
+    """The trie of (sorted keys, counts) for each level; base holds the suffixes that levels lack."""
+    t = Trie(len(levels) - 1, [], [], [], [], [], [], [])
+    for k, (key, c) in enumerate(levels):
+        ctx = key >> 8
+        first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, np.int64)
+        n = np.add.reduceat(c, first) if len(first) else c
+        d = np.diff(np.append(first, len(ctx)))
+        rest_n, rest_d = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        if k and len(first):
+            _, up = _contexts((t, *base), k - 1, low_bytes(ctx[first], k - 1))
+            rest_n = up[0] - np.add.reduceat(_counts((t, *base), k - 1, low_bytes(key, k)), first)
+            rest_d = up[1] - d
+        t.keys.append(key), t.contexts.append(ctx[first]), t.n.append(n), t.d.append(d), t.rest_n.append(rest_n), t.rest_d.append(rest_d)
+        t.counts.append(c.astype(np.int32) if c.max(initial=0) < 2**31 else c)
+    return t
+
+
+def build(grams: np.ndarray, counts: np.ndarray, order: int) -> Trie:
+    """The trie of the counted grams of order + 1 bytes (the symbol in the low byte)."""
+    return assemble([_merge(low_bytes(grams, k + 1), counts) for k in range(order + 1)])
+
+
+def log10_of(trie: Trie, grams: np.ndarray, *more: Trie) -> np.ndarray:
+    """log10 probability of the last byte of each gram after the bytes before it; more: parts of the trie."""
     out = np.zeros(len(grams))
     live = np.arange(len(grams))
     # What the level above leaves of this one: all of it at first (-1), else the rest without exclusions.
@@ -112,25 +142,33 @@ def log10_of(trie: Trie, grams: np.ndarray) -> np.ndarray:
     for k in range(trie.order, -1, -1):
         if not len(live):
             return out
-        g = grams[live] & ((1 << (8 * (k + 1))) - 1)
-        ctx, known = _find(trie.contexts[k], g >> 8)
-        key, found = _find(trie.keys[k], g)
-        c = ctx[known]
-        n, d = n_left[live], d_left[live]
-        fresh = n[known] < 0
-        n[known] = np.where(fresh, trie.n[k][c], n[known])
-        d[known] = np.where(fresh, trie.d[k][c], d[known])
-        hit = known & found
-        out[live[hit]] += np.log10((2 * trie.counts[k][key[hit]].astype(np.int64) - 1) / (2 * n[hit]))
-        miss = known & ~found & (d > 0)
+        g = low_bytes(grams[live], k + 1)
+        known, (full_n, full_d, rest_n, rest_d) = _contexts((trie, *more), k, g >> 8)
+        count = _counts((trie, *more), k, g)
+        fresh = n_left[live] < 0
+        n, d = np.where(fresh, full_n, n_left[live]), np.where(fresh, full_d, d_left[live])
+        hit = known & (count > 0)
+        out[live[hit]] += np.log10((2 * count[hit] - 1) / (2 * n[hit]))
+        miss = known & ~hit & (d > 0)
         out[live[miss]] += np.log10(d[miss] / (2 * n[miss]))
-        n_left[live[known]], d_left[live[known]] = trie.rest_n[k][c], trie.rest_d[k][c]
+        n_left[live[known]], d_left[live[known]] = rest_n[known], rest_d[known]
         live = live[~hit]
     seen = len(trie.keys[0])
     out[live] += -np.log10(max(SYMBOLS - seen, 1))
     return out
 
 
+def open_at(trie: Trie, grams: np.ndarray) -> np.ndarray:
+    """For each gram the key of its shortest context that trie lacks (length in the high byte), -1 if it has all."""
+    level = np.zeros(len(grams), np.int64)
+    live = np.arange(len(grams))
+    for k in range(trie.order, -1, -1):
+        _, known = _find(trie.contexts[k], low_bytes(grams[live] >> 8, k))
+        level[live[known]] = k + 1
+        live = live[~known]
+    return np.where(level > trie.order, -1, low_bytes(grams >> 8, level) | level << 56)
+
+
 def _grams(raw: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """(grams, first position of each text): one gram a byte and one for the end of each text."""
     rows = len(off) - 1
@@ -195,43 +233,129 @@ def count(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return part.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def load(counts: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Trie:
-    """The trie on the driver (order 6 at most, by the width of the keys): of the longest contexts whose entries, counted first, are at most max_entries."""
-    grams = counts.filter(F.col("kind") == GRAM).select("key", "n")
-    while order > 2 and grams.count() > max_entries:
-        order -= 1
-        grams = grams.select(F.expr(f"key & {(1 << (8 * (order + 1))) - 1}L").alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
-    t = grams.toArrow()
-    return build(t.column("key").to_numpy(), t.column("n").to_numpy(), order)
+def load(counts: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> tuple[Trie, bool]:
+    """The trie of the most frequent contexts on the driver (order 6 at most, by the width of the keys), and whether it is whole.
+
+    A context comes with all its symbols.  Contexts are taken by classes of frequency (16 a doubling), of which
+    a suffix has the same or a higher one, as long as their entries are at most max_entries; the empty one always is.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("tinyint").alias("k"), F.expr(f"key & {(1 << (8 * (k + 1))) - 1}L").alias("key")) for k in range(order + 1)]))
+    rows = counts.filter(F.col("kind") == GRAM).select(each.alias("x"), "n").groupBy("x.k", "x.key").agg(F.sum("n").alias("n"))
+    # A context has at most 256 symbols, so is what is gathered here.
+    ctx = rows.groupBy("k", F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("key", "n")).alias("e"))
+    ctx = cut(ctx.withColumn("band", F.when(F.col("k") == 0, 1 << 30).otherwise(F.floor(F.log2("total") * 16)).cast("int")))
+    first, held, whole = 1 << 30, 0, True
+    for r in sorted(ctx.groupBy("band").agg(F.sum(F.size("e")).alias("n")).collect(), key=lambda r: -r["band"]):
+        held += r["n"]
+        if held > max_entries and r["band"] < 1 << 30:
+            whole = False
+            break
+        first = r["band"]
+    t = ctx.filter(F.col("band") >= first).select("k", F.explode("e").alias("x")).select("k", "x.key", "x.n").toArrow()
+    k, key, n = (t.column(c).to_numpy() for c in ("k", "key", "n"))
+    return assemble([_merge(key[k == i], n[k == i]) for i in range(order + 1)]), whole
+
+
+def _rare(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordBatch]:
+    """(q, g, n) of the counted grams whose contexts trie lacks."""
+    for b in batches:
+        g, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+        q = open_at(trie, g)
+        at = q >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(g[at]), pa.array(n[at])], names=["q", "g", "n"])
+
 
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Batches of narrow rows, put together up to about so many rows."""
+    part: list[pa.RecordBatch] = []
+    for b in batches:
+        part.append(b)
+        if sum(x.num_rows for x in part) >= rows:
+            yield pa.concat_batches(part)
+            part = []
+    if part:
+        yield pa.concat_batches(part)
 
-def _score(batches: Iterator[pa.RecordBatch], trie: Trie, common: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """id, flag, n_tokens, n_known, base (sum of log10(c + 0.5)) by common words; the other words; score."""
+
+def _resolve(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordBatch]:
+    """(rid, s): from rows (q, rid, g, n) sorted by q and rid, where a null rid marks training grams and comes first.
+
+    What is held is the training grams of one q and those of a batch.
+    """
+    held = tuple(np.zeros(0, np.int64) for _ in range(3))
+    for b in _larger(batches):
+        q, g, n = (b.column(i).to_numpy() for i in (0, 2, 3))
+        asks = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+        held = tuple(np.concatenate([x, y[~asks]]) for x, y in zip(held, (q, g, n), strict=True))
+        if asks.any():
+            lowest = held[0] >> 56
+            part = assemble([_merge(low_bytes(held[1][lowest <= k], k + 1), held[2][lowest <= k]) for k in range(trie.order + 1)], trie)
+            s = n[asks] * log10_of(trie, g[asks], part)
+            yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(asks)), pa.array(s)], names=["rid", "s"])
+        if len(q):
+            last = held[0] == q[-1]
+            held = tuple(x[last] for x in held)
+
+
+def _of_each(values: np.ndarray, doc: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, times, how many of a text) of the distinct values of each text."""
+    by = np.lexsort((values, doc))
+    v, d = values[by], doc[by]
+    first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (d[1:] != d[:-1])])) if len(v) else np.zeros(0, np.int64)
+    return v[first], np.diff(np.append(first, len(v))), np.bincount(d[first], minlength=rows)
+
+
+def _lists(parts: list[list[np.ndarray]]) -> tuple[pa.Array, pa.Array]:
+    """Arrays of lists (value, times) from the results of _of_each for runs of texts."""
+    v, times, many = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+    ends = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(v)), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))
+
+
+SCORED = "n_tokens bigint, known bigint, base double, score double, rest array<bigint>, times array<int>, grams array<bigint>, gtimes array<int>"
+
+
+def _score(batches: Iterator[pa.RecordBatch], trie: Trie, whole: bool, common: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """id, flag, n_tokens, n_known, base (sum of log10(c + 0.5)) by common words; the other words; score; the open grams."""
     words, logs = common
     for b in batches:
         raw, off = V.batch_texts(b.column(2))
         n = len(off) - 1
         tokens, known, base, total = np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-        rest_k, rest_c, rest_at = [], [], np.zeros(n + 1, np.int64)
+        rest, grams = [], []
         for i, j in V.chunks(off):
             part, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
             g, start = _grams(part, o, trie.order)
             uniq, inv = np.unique(g, return_inverse=True)
-            total[i:j] = np.add.reduceat(log10_of(trie, uniq)[inv], start)
+            logp = log10_of(trie, uniq)
+            left = np.zeros(len(uniq), bool) if whole else open_at(trie, uniq) >= 0
+            logp[left] = 0
+            total[i:j] = np.add.reduceat(logp[inv], start)
+            at = np.flatnonzero(left[inv])
+            grams.append(_of_each(g[at], np.searchsorted(start, at, "right") - 1, j - i))
             h, doc = _tokens(part, o)
             tokens[i:j] += np.bincount(doc, minlength=j - i)
             at, hit = _find(words, h)
             known[i:j] += np.bincount(doc[hit], minlength=j - i)
             base[i:j] += np.bincount(doc[hit], logs[at[hit]], minlength=j - i)
-            order = np.lexsort((h[~hit], doc[~hit]))
-            k, d = h[~hit][order], doc[~hit][order]
-            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])) if len(k) else np.zeros(0, np.int64)
-            rest_k.append(k[first])
-            rest_c.append(np.diff(np.append(first, len(k))))
-            rest_at[i + 1 : j + 1] = np.bincount(d[first], minlength=j - i)
-        ends = pa.array(np.cumsum(rest_at).astype(np.int32))
-        kk, cc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rest_k, rest_c))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens), pa.array(known), pa.array(base), pa.array(total), pa.ListArray.from_arrays(ends, pa.array(kk)), pa.ListArray.from_arrays(ends, pa.array(cc.astype(np.int32)))], names=["id", "held_out", "n_tokens", "known", "base", "score", "rest", "times"])
+            rest.append(_of_each(h[~hit], doc[~hit], j - i))
+        columns = [b.column(0), b.column(1), *(pa.array(x) for x in (tokens, known, base, total)), *_lists(rest), *_lists(grams)]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", *(c.split()[0] for c in SCORED.split(", "))])
+
+
+def _open_scores(got: DataFrame, counts: DataFrame, shared) -> DataFrame:
+    """(rid, s): summed log10 probabilities of the grams that the broadcast trie leaves open."""
+    rare = counts.filter(F.col("kind") == GRAM).select("key", "n").mapInArrow(lambda it: _rare(it, shared.value[0]), "q bigint, g bigint, n bigint")
+    asks = got.select("rid", F.explode(F.arrays_zip("grams", "gtimes")).alias("x")).select("rid", F.col("x.grams").alias("g"), F.col("x.gtimes").cast("bigint").alias("n"))
+    asks = asks.mapInArrow(lambda it: _keyed(it, shared.value[0]), "q bigint, rid bigint, g bigint, n bigint")
+    both = rare.select("q", F.lit(None).cast("bigint").alias("rid"), "g", "n").unionByName(asks)
+    rows = both.repartition("q").sortWithinPartitions("q", F.asc_nulls_first("rid"))
+    return rows.mapInArrow(lambda it: _resolve(it, shared.value[0]), "rid bigint, s double")
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(open_at(trie, b.column(1).to_numpy())), *b.columns], names=["q", "rid", "g", "n"])
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_entries: int = MAX_ENTRIES, common: int = COMMON) -> DataFrame:
@@ -242,10 +366,10 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     spark = docs.sparkSession
     out = held_out(id_col, 5)
     counts = cut(count(docs.filter(~out).select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), order))
-    trie = load(counts, order, max_entries)
+    trie, whole = load(counts, order, max_entries)
     words = counts.filter(F.col("kind") == WORD).select("key", "n")
-    whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n, v = int(whole[0]), int(whole[1])
+    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n, v = int(sums[0]), int(sums[1])
     end = int(np.array([END_WORD], V.U).view(np.int64)[0])
     # The common words are those of the highest classes of frequency (16 a doubling) that hold at most
     # ``common`` words together; a sort would bring that many from each task together.
@@ -260,19 +384,22 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     by = np.argsort(top.column("key").to_numpy())
     keys, logs = top.column("key").to_numpy()[by], np.log10(top.column("n").to_numpy()[by] + 0.5)
     ends = words.filter(F.col("key") == end).first()
-    shared = spark.sparkContext.broadcast((trie, (keys, logs)))
+    shared = spark.sparkContext.broadcast((trie, whole, (keys, logs)))
     name = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), out.alias("held_out"), F.col(text_col).alias("text"))
-    got = rows.mapInArrow(lambda it: _score(it, *shared.value), f"id {name}, held_out boolean, n_tokens bigint, known bigint, base double, score double, rest array<bigint>, times array<int>")
+    got = rows.mapInArrow(lambda it: _score(it, *shared.value), f"id {name}, held_out boolean, {SCORED}")
     got = cut(got.withColumn("rid", F.monotonically_increasing_id()))  # fixed once it is written
     tail = got.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("rid", F.col("x.rest").alias("key"), F.col("x.times").alias("m"))
     seen = words.filter(F.col("band") < first).select("key", "n")
-    sums = tail.join(seen, "key", "left").groupBy("rid").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("k2"), F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("b2"))
+    found = tail.join(seen, "key", "left").select("rid", F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0).alias("k2"), (F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("b2"), F.lit(0.0).alias("s2"))
+    if not whole:
+        found = found.unionByName(_open_scores(got, counts, shared).select("rid", F.lit(0).alias("k2"), F.lit(0.0).alias("b2"), F.col("s").alias("s2")))
+    found = found.groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("k2", "b2", "s2")])
     end_n = int(ends["n"]) if ends else 0
-    all_ = got.select("rid", "id", "held_out", "n_tokens", "known", "base", "score").join(sums, "rid", "left")
+    all_ = got.select("rid", "id", "held_out", "n_tokens", "known", "base", "score").join(found, "rid", "left")
     total = F.col("base") + F.coalesce("b2", F.lit(0.0)) + F.lit(float(np.log10(end_n + 0.5)))
     norm = float(np.log10(n + 0.5 * (v + 1)))
-    return all_.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("k2", F.lit(0)) + F.lit(int(end_n > 0))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (total - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")
+    return all_.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("k2", F.lit(0)) + F.lit(int(end_n > 0))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (total - F.col("n_tokens") * F.lit(norm)).alias("base_score"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"))
 
 
 def adaptive_log10(texts: list[bytes], order: int = ORDER, trained: list[bytes] = ()) -> list[float]:
