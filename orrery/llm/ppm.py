@@ -16,9 +16,9 @@ Scale: training and scoring are passes of Arrow batches in bounded vectors.  Par
 merged, are summed by Spark, and cover all training texts.  The model is the whole trie at every size; where
 it lies depends on its size.  The most frequent contexts, whose entries are counted to at most
 ``max_entries``, are broadcast (a suffix is at least as frequent, so they form a trie).  A gram whose context
-is not among them meets the rest by a shuffle on its shortest context that isn't broadcast: all training
-grams that end in this context are there, fewer than the least frequent broadcast context has, so a group is
-bounded, and the levels below are broadcast.  Each document sends its distinct ones once.  Words are dealt
+is not among them meets the rest by a shuffle on its shortest context that isn't broadcast (in buckets by its
+hash, packed): all training grams that end in this context are there, fewer than the least frequent broadcast
+context has, so a group is bounded, and the levels below are broadcast.  Each document sends its distinct ones once.  Words are dealt
 with likewise: at most the COMMON most frequent ones are broadcast, all others joined on 64-bit hashes.
 
 Defined results: null is the empty text: its only token and symbol is the end.  Texts may hold zero bytes;
@@ -41,7 +41,7 @@ from orrery.llm.toxicity import held_out
 from orrery.plans.fixpoint import cut
 
 ORDER, MAX_ENTRIES, COMMON, SYMBOLS = 5, 4_000_000, 65_536, 256
-MERGE = 2_000_000
+MERGE, BUCKET = 2_000_000, 200_000
 END_WORD = V.U(0xE0F)  # the hash that stands for the end token
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -233,8 +233,8 @@ def count(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return part.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def load(counts: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> tuple[Trie, bool]:
-    """The trie of the most frequent contexts on the driver (order 6 at most, by the width of the keys), and whether it is whole.
+def load(counts: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> tuple[Trie, int]:
+    """The trie of the most frequent contexts on the driver (order 6 at most, by the width of the keys), and how many entries it lacks.
 
     A context comes with all its symbols.  Contexts are taken by classes of frequency (16 a doubling), of which
     a suffix has the same or a higher one, as long as their entries are at most max_entries; the empty one always is.
@@ -244,57 +244,101 @@ def load(counts: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES)
     # A context has at most 256 symbols, so is what is gathered here.
     ctx = rows.groupBy("k", F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("key", "n")).alias("e"))
     ctx = cut(ctx.withColumn("band", F.when(F.col("k") == 0, 1 << 30).otherwise(F.floor(F.log2("total") * 16)).cast("int")))
-    first, held, whole = 1 << 30, 0, True
-    for r in sorted(ctx.groupBy("band").agg(F.sum(F.size("e")).alias("n")).collect(), key=lambda r: -r["band"]):
-        held += r["n"]
-        if held > max_entries and r["band"] < 1 << 30:
-            whole = False
+    sizes = {r["band"]: r["n"] for r in ctx.groupBy("band").agg(F.sum(F.size("e")).alias("n")).collect()}
+    first, held = 1 << 30, 0
+    for band in sorted(sizes, reverse=True):
+        if held + sizes[band] > max_entries and band < 1 << 30:
             break
-        first = r["band"]
+        first, held = band, held + sizes[band]
     t = ctx.filter(F.col("band") >= first).select("k", F.explode("e").alias("x")).select("k", "x.key", "x.n").toArrow()
     k, key, n = (t.column(c).to_numpy() for c in ("k", "key", "n"))
-    return assemble([_merge(key[k == i], n[k == i]) for i in range(order + 1)]), whole
+    return assemble([_merge(key[k == i], n[k == i]) for i in range(order + 1)]), sum(sizes.values()) - held
 
 
-def _rare(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordBatch]:
-    """(q, g, n) of the counted grams whose contexts trie lacks."""
-    for b in batches:
-        g, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-        q = open_at(trie, g)
-        at = q >= 0
-        yield pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(g[at]), pa.array(n[at])], names=["q", "g", "n"])
+PACKED = "bucket bigint, rid array<bigint>, g array<bigint>, n array<bigint>"
+
+
+def _pack(trie: Trie, buckets: int, g: np.ndarray, n: np.ndarray, rid: np.ndarray | None) -> pa.RecordBatch:
+    """One row a bucket of PACKED of the grams whose contexts trie lacks; rid is null for training grams."""
+    q = open_at(trie, g)
+    bucket = (V.mix(q.view(V.U)) % V.U(buckets)).astype(np.int64)
+    bucket[q < 0] = -1
+    by = np.lexsort((g, bucket))
+    by = by[np.searchsorted(bucket[by], 0) :]
+    at = bucket[by]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(first, len(at)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x[by])) for x in (g, n)]
+    who = pa.nulls(len(first), pa.list_(pa.int64())) if rid is None else pa.ListArray.from_arrays(ends, pa.array(rid[by]))
+    return pa.RecordBatch.from_arrays([pa.array(at[first]), who, *lists], names=["bucket", "rid", "g", "n"])
 
 
-def _larger(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Batches of narrow rows, put together up to about so many rows."""
     part: list[pa.RecordBatch] = []
+    size = 0
     for b in batches:
         part.append(b)
-        if sum(x.num_rows for x in part) >= rows:
+        size += b.num_rows
+        if size >= rows:
             yield pa.concat_batches(part)
-            part = []
+            part, size = [], 0
     if part:
         yield pa.concat_batches(part)
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordBatch]:
-    """(rid, s): from rows (q, rid, g, n) sorted by q and rid, where a null rid marks training grams and comes first.
+def _rare(batches: Iterator[pa.RecordBatch], trie: Trie, buckets: int) -> Iterator[pa.RecordBatch]:
+    """PACKED rows of counted grams (key, n)."""
+    for b in _larger(batches):
+        yield _pack(trie, buckets, b.column(0).to_numpy(), b.column(1).to_numpy(), None)
+
+
+def _asks(batches: Iterator[pa.RecordBatch], trie: Trie, buckets: int) -> Iterator[pa.RecordBatch]:
+    """PACKED rows of the open grams of documents (rid, grams, gtimes)."""
+    for b in batches:
+        many = np.diff(b.column(1).offsets.to_numpy())
+        yield _pack(trie, buckets, b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy().astype(np.int64), np.repeat(b.column(0).to_numpy(), many))
+
+
+def _resolve(batches: Iterator[pa.RecordBatch], trie: Trie, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """(rid, s) from PACKED rows sorted by bucket, each bucket's training grams first.
 
-    What is held is the training grams of one q and those of a batch.
+    What is held is the training grams of one bucket and about ``most`` grams to be scored.
     """
-    held = tuple(np.zeros(0, np.int64) for _ in range(3))
-    for b in _larger(batches):
-        q, g, n = (b.column(i).to_numpy() for i in (0, 2, 3))
-        asks = b.column(1).is_valid().to_numpy(zero_copy_only=False)
-        held = tuple(np.concatenate([x, y[~asks]]) for x, y in zip(held, (q, g, n), strict=True))
-        if asks.any():
-            lowest = held[0] >> 56
-            part = assemble([_merge(low_bytes(held[1][lowest <= k], k + 1), held[2][lowest <= k]) for k in range(trie.order + 1)], trie)
-            s = n[asks] * log10_of(trie, g[asks], part)
-            yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(asks)), pa.array(s)], names=["rid", "s"])
-        if len(q):
-            last = held[0] == q[-1]
-            held = tuple(x[last] for x in held)
+    bucket, part, size = -1, None, 0
+    known: list[tuple] = []
+    asked: list[tuple] = []
+
+    def give() -> Iterator[pa.RecordBatch]:
+        nonlocal part, size
+        if asked:
+            if part is None:
+                g, n = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.int64),) * 2
+                lowest = open_at(trie, g) >> 56
+                part = assemble([_merge(low_bytes(g[lowest <= k], k + 1), n[lowest <= k]) for k in range(trie.order + 1)], trie)
+            rid, g, n = (np.concatenate(x) for x in zip(*asked, strict=True))
+            uniq, inv = np.unique(g, return_inverse=True)
+            ids, at = np.unique(rid, return_inverse=True)
+            s = np.bincount(at, n * log10_of(trie, uniq, part)[inv], len(ids))
+            asked.clear()
+            size = 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s)], names=["rid", "s"])
+
+    for b in batches:
+        for i, at in enumerate(b.column(0).to_pylist()):
+            if at != bucket:
+                yield from give()
+                bucket, part = at, None
+                known.clear()
+            g, n = (b.column(c)[i].values.to_numpy() for c in (2, 3))
+            if b.column(1)[i].is_valid:
+                asked.append((b.column(1)[i].values.to_numpy(), g, n))
+                size += len(g)
+                if size >= most:
+                    yield from give()
+            else:
+                known.append((g, n))
+    yield from give()
 
 
 def _of_each(values: np.ndarray, doc: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -343,19 +387,16 @@ def _score(batches: Iterator[pa.RecordBatch], trie: Trie, whole: bool, common: t
         yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", *(c.split()[0] for c in SCORED.split(", "))])
 
 
-def _open_scores(got: DataFrame, counts: DataFrame, shared) -> DataFrame:
-    """(rid, s): summed log10 probabilities of the grams that the broadcast trie leaves open."""
-    rare = counts.filter(F.col("kind") == GRAM).select("key", "n").mapInArrow(lambda it: _rare(it, shared.value[0]), "q bigint, g bigint, n bigint")
-    asks = got.select("rid", F.explode(F.arrays_zip("grams", "gtimes")).alias("x")).select("rid", F.col("x.grams").alias("g"), F.col("x.gtimes").cast("bigint").alias("n"))
-    asks = asks.mapInArrow(lambda it: _keyed(it, shared.value[0]), "q bigint, rid bigint, g bigint, n bigint")
-    both = rare.select("q", F.lit(None).cast("bigint").alias("rid"), "g", "n").unionByName(asks)
-    rows = both.repartition("q").sortWithinPartitions("q", F.asc_nulls_first("rid"))
-    return rows.mapInArrow(lambda it: _resolve(it, shared.value[0]), "rid bigint, s double")
-
+def _open_scores(got: DataFrame, counts: DataFrame, shared, rare: int) -> DataFrame:
+    """(rid, s): summed log10 probabilities of the grams that the broadcast trie leaves open.
 
-def _keyed(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(open_at(trie, b.column(1).to_numpy())), *b.columns], names=["q", "rid", "g", "n"])
+    rare: the entries that are not broadcast, dealt to buckets of about BUCKET.
+    """
+    buckets = max(256, rare // BUCKET)
+    known = counts.filter(F.col("kind") == GRAM).select("key", "n").mapInArrow(lambda it: _rare(it, shared.value[0], buckets), PACKED)
+    asks = got.select("rid", "grams", "gtimes").mapInArrow(lambda it: _asks(it, shared.value[0], buckets), PACKED)
+    rows = known.unionByName(asks).repartition("bucket").sortWithinPartitions("bucket", F.col("rid").isNotNull())
+    return rows.mapInArrow(lambda it: _resolve(it, shared.value[0]), "rid bigint, s double")
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_entries: int = MAX_ENTRIES, common: int = COMMON) -> DataFrame:
@@ -366,7 +407,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     spark = docs.sparkSession
     out = held_out(id_col, 5)
     counts = cut(count(docs.filter(~out).select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), order))
-    trie, whole = load(counts, order, max_entries)
+    trie, rare = load(counts, order, max_entries)
     words = counts.filter(F.col("kind") == WORD).select("key", "n")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = int(sums[0]), int(sums[1])
@@ -384,7 +425,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     by = np.argsort(top.column("key").to_numpy())
     keys, logs = top.column("key").to_numpy()[by], np.log10(top.column("n").to_numpy()[by] + 0.5)
     ends = words.filter(F.col("key") == end).first()
-    shared = spark.sparkContext.broadcast((trie, whole, (keys, logs)))
+    shared = spark.sparkContext.broadcast((trie, not rare, (keys, logs)))
     name = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), out.alias("held_out"), F.col(text_col).alias("text"))
     got = rows.mapInArrow(lambda it: _score(it, *shared.value), f"id {name}, held_out boolean, {SCORED}")
@@ -392,8 +433,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     tail = got.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("rid", F.col("x.rest").alias("key"), F.col("x.times").alias("m"))
     seen = words.filter(F.col("band") < first).select("key", "n")
     found = tail.join(seen, "key", "left").select("rid", F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0).alias("k2"), (F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("b2"), F.lit(0.0).alias("s2"))
-    if not whole:
-        found = found.unionByName(_open_scores(got, counts, shared).select("rid", F.lit(0).alias("k2"), F.lit(0.0).alias("b2"), F.col("s").alias("s2")))
+    if rare:
+        found = found.unionByName(_open_scores(got, counts, shared, rare).select("rid", F.lit(0).alias("k2"), F.lit(0.0).alias("b2"), F.col("s").alias("s2")))
     found = found.groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("k2", "b2", "s2")])
     end_n = int(ends["n"]) if ends else 0
     all_ = got.select("rid", "id", "held_out", "n_tokens", "known", "base", "score").join(found, "rid", "left")
