@@ -41,7 +41,7 @@ from orrery.llm.toxicity import held_out
 from orrery.plans.fixpoint import cut
 
 ORDER, MAX_ENTRIES, COMMON, SYMBOLS = 5, 4_000_000, 65_536, 256
-MERGE, BUCKET = 2_000_000, 200_000
+MERGE, BUCKET, RUN = 2_000_000, 200_000, 1 << 17
 END_WORD = V.U(0xE0F)  # the hash that stands for the end token
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -371,7 +371,7 @@ def _score(batches: Iterator[pa.RecordBatch], trie: Trie, whole: bool, common: t
             part, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
             g, start = _grams(part, o, trie.order)
             uniq, inv = np.unique(g, return_inverse=True)
-            logp = log10_of(trie, uniq)
+            logp = np.concatenate([log10_of(trie, uniq[x : x + RUN]) for x in range(0, len(uniq), RUN)])
             left = np.zeros(len(uniq), bool) if whole else open_at(trie, uniq) >= 0
             logp[left] = 0
             total[i:j] = np.add.reduceat(logp[inv], start)
