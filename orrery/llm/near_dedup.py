@@ -14,9 +14,16 @@ Scale: texts of equal words are one node from the start (a hash aggregate).  A b
 never gives all pairs: each member is compared with the bucket's leader, the member that shares most
 sketches with most texts, found by aggregates.  A member that the alignment parts from its leader is
 compared with two more: the bucket's member of the least hash, and the one among its like in the finer
-bucket of two equal sketches.  So a bucket of n members gives n pairs a leader; links are lost only to the
-chance of the sketches and leaders (measured in the tests).  Classes are the connected components, by
-minimum labels with pointer jumping, each pass checkpointed.
+bucket of two equal sketches.  So a bucket of n members gives n pairs a leader.
+
+What sketches and leaders miss is found by an exact pass.  Two texts that reach the threshold share a k-mer
+among the first n - ceil(0.8 n) + 1 of each in any fixed order of k-mers.  The order is by rough frequency
+(counts of a sample, hashed into a table of fixed size), which only saves work, and then by hash.  Buckets of
+such k-mers whose members are all of one component are dropped by a window; of the others all pairs of
+different components that can still reach the threshold, by their sizes and the k-mers seen so far, are
+aligned.  So no link between two components is lost, and many variants of one text cost no pairs.  The pairs
+grow with the square only of texts of different components that share their rarest k-mers.
+Classes are the connected components, by minimum labels with pointer jumping, each pass checkpointed.
 
 Defined results: null and empty texts have no words and are one class; texts of less than five words are
 one k-mer, so they link only to equal words.  A null id belongs to its text's class, whose id is the least
@@ -30,13 +37,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import vectors as V
 from orrery.plans.fixpoint import cut
 
 K, MINIMA, TABLES, SIMILARITY = 5, 4, 24, 0.8
+#: Rows of which k-mers are counted, about, and the bits of the table of counts.
+SAMPLE, COUNT_BITS = 10_000, 20
+#: Nodes that are broadcast to find their texts; more are joined.
+BROADCAST_NODES = 100_000
 _SEED = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), np.int64).astype(V.U)
 
 
@@ -69,24 +80,56 @@ def sketches(kmers: np.ndarray, minima: int = MINIMA, tables: int = TABLES) -> n
     return V.mix(out + V.U(m) + np.arange(tables, dtype=V.U) * V.U(V._INVERSE))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], k: int, minima: int, tables: int) -> Iterator[pa.RecordBatch]:
+def rarest(kmers: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first labelled k-mers in the fixed order, so many that texts which reach least share one of them."""
+    m = len(kmers) - int(np.ceil(least * len(kmers) - 1e-9)) + 1
+    order = (counts[(kmers >> V.U(64 - COUNT_BITS)).astype(np.int64)] << V.U(58)) | (kmers >> V.U(6))
+    at = np.argpartition(order, m - 1)[:m] if m < len(kmers) else np.arange(len(kmers))
+    return kmers[at[np.lexsort((kmers[at], order[at]))]]
+
+
+def _texts_mers(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """Labelled k-mers of each text of plain words."""
+    raw, off = V.batch_texts(column)
+    for i, j in V.chunks(off):
+        part, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+        s, e, doc = V.words(part, o)
+        h = V.span_hash(part, s, e)
+        at = np.searchsorted(doc, np.arange(j - i + 1))
+        for d in range(j - i):
+            w = h[at[d] : at[d + 1]]
+            yield labelled(V.windows(w, min(k, len(w)))) if len(w) else w
+
+
+def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        raw, off = V.batch_texts(b.column(2))
-        ns: list[int] = []
-        keys: list[np.ndarray] = []
-        for i, j in V.chunks(off):
-            part, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
-            s, e, doc = V.words(part, o)
-            h = V.span_hash(part, s, e)
-            at = np.searchsorted(doc, np.arange(j - i + 1))
-            for d in range(j - i):
-                w = h[at[d] : at[d + 1]]
-                mers = labelled(V.windows(w, min(k, len(w)))) if len(w) else w
-                ns.append(len(mers))
-                keys.append(sketches(mers, minima, tables) if len(mers) else np.zeros(0, V.U))
-        flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "sig", "n", "keys"])
+        mers = [np.zeros(0, V.U), *_texts_mers(b.column(0), k)]
+        spot, c = np.unique((np.concatenate(mers) >> V.U(64 - COUNT_BITS)).astype(np.int32), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(spot, pa.int32()), pa.array(c, pa.int64())], names=["spot", "c"])
+
+
+def rough_counts(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
+    """Logarithms of how often the k-mers of each spot of the table occur in about SAMPLE rows."""
+    step = max(1, docs.count() // SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(step)) == 0).select(plain_words(F.col(text_col))).mapInArrow(lambda it: _count(it, k), "spot int, c bigint")
+    got = some.groupBy("spot").agg(F.sum("c").alias("c")).toArrow()  # bounded by the table
+    out = np.zeros(1 << COUNT_BITS, V.U)
+    out[got.column("spot").to_numpy()] = np.log2(got.column("c").to_numpy()).astype(V.U)
+    return out
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)), pa.array(flat))
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], k: int, minima: int, tables: int, counts: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        none = np.zeros(0, V.U)
+        mers = list(_texts_mers(b.column(2), k))
+        keys = [sketches(x, minima, tables) if len(x) else none for x in mers]
+        rare = [rarest(x, counts, least) if len(x) else none for x in mers]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in mers], pa.int32()), _lists(keys), _lists(rare)], names=["id", "sig", "n", "keys", "rare"])
 
 
 def kmers_of(text: str, k: int = K) -> list[tuple]:
@@ -147,15 +190,33 @@ def _checked(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
     return x.mapInArrow(lambda it: _verify(it, k, least), "a bigint, b bigint, sim double").filter(F.col("sim") >= least)
 
 
-def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, minima: int = MINIMA, tables: int = TABLES, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, nodes, links): members (id, sig) of all rows, nodes (nid, sig, least, c), links (a, b, sim) of nids.
+def _across(nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b) of all nodes of different components that may reach least: nodes (nid, n, rare), roots (node, root)."""
+    of = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("nid", "n", F.coalesce("root", "nid").alias("root"), F.posexplode("rare").alias("i", "h"))
+    # A window rather than an aggregate and a join: the rows are dealt out once.
+    same = Window.partitionBy("h")
+    of = cut(of.withColumns({"lo": F.min("root").over(same), "hi": F.max("root").over(same)}).filter("lo <> hi").drop("lo", "hi"))
+    x, y = (of.select("h", *[F.col(c).alias(c + e) for c in ("nid", "n", "root", "i")]) for e in "xy")
+    need = F.lit(least / (1 + least)) * (F.col("nx") + F.col("ny")) - 1e-9
+    rest = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
+    # Before a shared k-mer at most as many are shared as there are in the one that has fewer, and so after it.
+    may = (F.least("nx", "ny") >= least * F.greatest("nx", "ny")) & (F.least("ix", "iy") + rest >= need)
+    pairs = x.join(y, "h").filter((F.col("nidx") < F.col("nidy")) & (F.col("rootx") != F.col("rooty")) & may)
+    pairs = pairs.groupBy(F.col("nidx").alias("a"), F.col("nidy").alias("b"), "nx", "ny").agg(F.count("*").alias("c"), F.max("ix").alias("ix"), F.max("iy").alias("iy"))
+    # All that they share up to the last one is counted.
+    return pairs.filter(F.col("c") - 1 + rest >= need).select("a", "b")
+
+
+def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, minima: int = MINIMA, tables: int = TABLES, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members, nodes, links, roots): members (id, sig) of all rows, nodes (nid, sig, least, c), links (a, b, sim) of nids, roots (node, root) of the linked nodes.
 
     nodes: the different word sequences, with the least id and the number of their rows.
     """
     V.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), plain_words(F.col(text_col)).alias("norm")).withColumn("sig", F.md5("norm"))
-    sketched = cut(rows.select("id", "sig", "norm").mapInArrow(lambda it: _sketch(it, k, minima, tables), f"id {dict(docs.dtypes)[id_col]}, sig string, n int, keys array<bigint>"))
-    nodes = sketched.groupBy("sig").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("id").alias("least"), F.count("*").alias("c"))
+    counts = docs.sparkSession.sparkContext.broadcast(rough_counts(docs, text_col, k))
+    sketched = cut(rows.select("id", "sig", "norm").mapInArrow(lambda it: _sketch(it, k, minima, tables, counts.value, similarity), f"id {dict(docs.dtypes)[id_col]}, sig string, n int, keys array<bigint>, rare array<bigint>"))
+    nodes = sketched.groupBy("sig").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("rare").alias("rare"), F.min("id").alias("least"), F.count("*").alias("c"))
     nodes = cut(nodes.withColumn("nid", F.monotonically_increasing_id()))  # fixed once it is written
     slots = nodes.select("nid", "n", F.posexplode("keys").alias("t", "key"))
     shared = slots.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -169,10 +230,14 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     # Second leaders, for members that the alignment parts from the first.
     other = slots.groupBy("key").agg(F.min(F.struct(F.xxhash64("nid").alias("o"), "nid", "n")).alias("l"))
     other = cut(other.select("key", F.col("l.nid").alias("b2"), F.col("l.n").alias("bn2")))
-    # One row's text for each node that takes part; the id spreads the rows of a frequent text.
+
+    def texts_of(part: DataFrame) -> DataFrame:
+        """One row's text for each node of part (nid, sig, least); the id spreads the rows of a frequent text."""
+        x = rows.join(part.withColumnRenamed("sig", "_s"), (F.col("sig") == F.col("_s")) & F.col("id").eqNullSafe(F.col("least"))).groupBy("sig", "id", "nid").agg(F.max("norm").alias("norm"))
+        return cut(x.select("nid", "norm"))
+
     part = met.select("a").union(met.select("b")).union(other.select("b2")).distinct().join(nodes, F.col("a") == F.col("nid")).select("nid", "sig", "least")
-    texts = rows.join(part.withColumnRenamed("sig", "_s"), (F.col("sig") == F.col("_s")) & F.col("id").eqNullSafe(F.col("least"))).groupBy("sig", "id", "nid").agg(F.max("norm").alias("norm"))
-    texts = cut(texts.select("nid", "norm"))
+    texts = texts_of(part)
     ok = cut(_checked(first, texts, k, similarity))
     left = met.join(ok.select("a", "b"), ["a", "b"], "left_anti").select("a", "n", "t", "key")
     plain = left.join(other, "key").select("a", "n", F.col("b2").alias("b"), F.col("bn2").alias("bn"))
@@ -182,7 +247,22 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     finer = keys.join(finer.select("key", "key2", "l.b", "l.bn"), ["key", "key2"]).select("a", "n", "b", "bn")
     again = plain.unionByName(finer).filter(near & (F.col("a") != F.col("b"))).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     ok2 = cut(_checked(again, texts, k, similarity))
-    return sketched.select("id", "sig"), nodes.select("nid", "sig", "least", F.col("c")), ok.unionByName(ok2)
+    found = ok.unionByName(ok2)
+    roots = components(found)
+    # The exact pass: all other pairs between components.
+    over = cut(_across(nodes, roots, similarity))
+    if not over.isEmpty():
+        new = over.select("a").union(over.select("b")).distinct().join(texts, F.col("a") == F.col("nid"), "left_anti").join(nodes, F.col("a") == F.col("nid")).select("nid", "sig", "least")
+        new = cut(new)
+        new = F.broadcast(new) if new.count() <= BROADCAST_NODES else new
+        ok3 = cut(_checked(over, texts.unionByName(texts_of(new)), k, similarity))
+        found = found.unionByName(ok3)
+        to = [roots.select(F.col("node").alias(c), F.col("root").alias("r" + c)) for c in "ab"]
+        joined = components(ok3.join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+        whole = roots.unionByName(joined.select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("_r"))
+        joined = joined.withColumnRenamed("node", "_n").withColumnRenamed("root", "_to")
+        roots = cut(whole.join(joined, F.col("_r") == F.col("_n"), "left").select("node", F.coalesce("_to", "_r").alias("root")))
+    return sketched.select("id", "sig"), nodes.select("nid", "sig", "least", F.col("c")), found, roots
 
 
 def components(edges: DataFrame, max_passes: int = 200) -> DataFrame:
@@ -204,8 +284,7 @@ def components(edges: DataFrame, max_passes: int = 200) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per document: id, class_id (the least id of its class), class_size, n_texts (different in it)."""
-    members, every, found = links(docs, id_col=id_col, text_col=text_col, **how)
-    roots = components(found)
+    members, every, _, roots = links(docs, id_col=id_col, text_col=text_col, **how)
     nodes = every.join(roots, every["nid"] == roots["node"], "left").select("sig", F.coalesce("root", "nid").alias("root"), "least", "c")
     classes = nodes.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("c").alias("class_size"), F.count("*").alias("n_texts"))
     named = nodes.select("sig", "root").join(classes, "root").drop("root")

@@ -100,6 +100,13 @@ def test_near_duplicates_against_brute_force(spark):
     assert full[rows[-1][0]] == full[rows[-2][0]] and full[rows[-8][0]] == full[rows[-6][0]]
 
 
+def test_near_duplicates_missed_by_sketches(spark):
+    """With one table of sketches most links come from the exact pass alone."""
+    rows = near_rows()[:-2]
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(table(spark, rows), tables=1).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_near_duplicates_whole_table(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = queries.op6_near_dedup(spark, sf_dir).collect()
