@@ -5,7 +5,8 @@ the sequence of their identifiers is matched against ordered rules.  All of it h
 by built-in functions: no shuffle, so neither hot sources nor copies matter, and memory is one row's.
 
 Two readings are made: in one every line end also ends a sentence, in the other only blank lines do
-(texts wrapped at a column).  A rule's count is the greater of both.
+(texts wrapped at a column); lines of punctuation alone, as within comment blocks, count as blank.  A known
+sentence that holds a stop itself ("v. 2.0") is known by the sequence of its pieces.  A rule's count is the greater of both.
 
 Defined results: null and empty texts have no sentences (empty licences, 0 hits).  Repeated rows give
 repeated results.  A rule matches when its sentences occur in its order, others between them allowed;
@@ -14,6 +15,8 @@ it counts as often as it fits without overlap.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +67,8 @@ RULES: dict[str, list[list[str]]] = {
     "Unlicense": [["unlicense-1"]],
 }
 #: A full stop ends a sentence before white space or the end; so do line ends (all, or blank lines).
-END_LINES, END_BLANKS = r"[.!?;]+(?=\s|$)|[\r\n]+", r"[.!?;]+(?=\s|$)|[\r\n]\s*[\r\n]"
+STOP = r"[.!?;]+(?=\s|$)"
+END_LINES, END_BLANKS = rf"{STOP}|[\r\n]+", rf"{STOP}|[\r\n][\s\p{{Punct}}]*[\r\n]"
 #: Cuts are marked by a control character, which so ends a sentence where a text holds it.
 MARK = "\x01"
 JUNK = r"[^a-z0-9\x01]+"
@@ -79,6 +83,10 @@ def identifiers(text: Column, sentences: dict[str, str], ends: str) -> Column:
     """array<int>: the 1-based numbers of the known sentences in the order of the text."""
     known = F.array(*[F.lit(normalise(s)) for s in sentences.values()])
     flat = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ends, MARK), JUNK, " ")
+    for sentence in sentences.values():
+        pieces = [x for x in map(normalise, re.split(STOP, sentence)) if x]
+        if len(pieces) > 1:  # its pieces become one sentence again
+            flat = F.regexp_replace(flat, rf"(?<![^{MARK}]) ?{f' ?{MARK} ?'.join(pieces)} ?(?={MARK}|$)", normalise(sentence))
     # The lookup is by equal bytes among constants; the blanks beside the cuts go first.
     return F.filter(F.transform(F.split(flat, MARK), lambda s: F.array_position(known, F.trim(s)).cast("int")), lambda i: i > 0)
 
