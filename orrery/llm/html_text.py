@@ -12,8 +12,11 @@ invented words.  Training is deterministic, takes seconds on the driver and does
 the weights that go to the workers are a few kilobytes.
 
 Defined results: a null page is the empty page, whose text is empty.  Scripts, styles, comments of the
-markup and the head have no blocks.  Tags that aren't closed end with their parent; stray ends are
-ignored.  Repeated rows give repeated rows.  Pages are independent, so skew of any column is of no effect.
+markup and titles have no blocks, whatever they hold; nor have frames, form fields and templates.  Formulas,
+drawings' words, and what stands in for objects, canvases and scripts are text like other text.  Tags that
+aren't closed end with their parent; stray ends are ignored; a tag that the page breaks off in goes, and so
+does the rest after a comment, script or style without an end.  The scan is one pass over the page, in time
+proportional to its length.  Repeated rows give repeated rows.  Pages are independent, so skew of any column is of no effect.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,25 +36,101 @@ from pyspark.sql import functions as F
 
 from orrery.llm import vectors as V
 
-PATH_DIM, WORD_DIM, MEASURES, HIDDEN, GROUP = 40, 8, 6, 14, 128
-# Tags within a line of text, tags without an end, tags whose content is no text, and what a new block ends.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+PATH_DIM, WORD_DIM, MEASURES, HIDDEN, GROUP, NEAREST = 40, 8, 6, 14, 128, 32
+# Tags within a line of text, tags without an end, tags whose content is no text of the page, and what a new block ends.
+INLINE = frozenset("a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math nobr object q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title".split())
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+HIDDEN_TAGS = frozenset("template select datalist".split())
+DRAWN = frozenset("svg math".split())
+DRAWN_NOTES = frozenset("script style title desc metadata annotation annotation-xml".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP, _BLANK, _BARE = re.compile(r"[>=]"), re.compile(r"\s*"), re.compile(r"[^\s>]*")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
+def pieces(page: str) -> Iterator[tuple[str, str, str, bool]]:
+    """(text, tag, attributes, is an end): text up to the next tag, then the tag ('' at the end of the page).
+
+    One pass: a position is never gone back to, and a closing mark that is once not found isn't looked for again.
+    Quotes count only after an equals sign; one that isn't closed is a plain character.  The content of RAW
+    elements, comments and declarations are passed over; a RAW element without an end is a tag without content,
+    except that scripts and styles go on to the end of the page.
+    """
+    n, at, start, gone = len(page), 0, 0, set()
+    last = {q: page.rfind(q) for q in ("\"", "'", "]]>")}
+    text: list[str] = []
+    drawn = ""
+    while (i := page.find("<", at)) >= 0:
+        m = _TAG.match(page, i)
+        if m is None:
+            if page.startswith("<!--", i):
+                end = page.find(">", i) + 1 if page.startswith((">", "->"), i + 4) else page.find("-->", i + 4) + 3
+                end = end if end > i else n
+            elif page.startswith("<![CDATA[", i) and last["]]>"] > i:
+                end = page.find("]]>", i) + 3
+            elif page.startswith(("<!", "<?", "</"), i):
+                end = page.find(">", i) + 1 or n
+            else:  # a plain character
+                at = i + 1
+                continue
+            text.append(page[start:i])
+            at = start = end
+            continue
+        j = m.end()
+        while (stop := _STOP.search(page, j)) is not None and stop[0] == "=":
+            j = _BLANK.match(page, stop.end()).end()
+            q = page[j : j + 1]
+            if q in ("\"", "'"):
+                j = page.find(q, j + 1) + 1 if last[q] > j else j + 1
+            else:
+                j = _BARE.match(page, j).end()
+        text.append(page[start:i])
+        if stop is None:  # a tag that never ends
+            at = start = n
+            break
+        tag, attrs, ends = m[1].lower(), page[m.end() : stop.start()], page[i + 1] == "/"
+        at = start = stop.end()
+        closed = attrs.endswith("/")
+        if drawn and (tag in CLOSES_P or tag in SELF_CLOSING or (ends and tag == drawn)):
+            drawn = ""
+        elif drawn:
+            if drawn == "svg":
+                text.append(" ")
+            if ends or closed or tag not in DRAWN_NOTES:
+                continue
+        elif tag in DRAWN and not ends and not closed:
+            drawn = tag
+        if not ends and (tag in RAW or (drawn and tag in DRAWN_NOTES)) and tag not in gone:
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            if end is not None:
+                at = start = page.find(">", end.end()) + 1 or n
+            elif tag in ("script", "style"):
+                at = start = n
+            else:
+                gone.add(tag)
+            if drawn:
+                continue
+        yield "".join(text), tag, attrs, ends
+        text.clear()
+    text.append(page[start:])
+    yield "".join(text), "", "", False
+
+
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters within links) of the leaf blocks; path: the ancestors' tokens, outermost first."""
+    """(path, text, characters within links) of the leaf blocks; path: the ancestors' tokens, outermost first.
+
+    Of deeper paths the NEAREST outermost and innermost ancestors count.
+    """
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    still: Counter[str] = Counter()  # open elements by tag
     buf: list[str] = []
-    links, in_link, skip = 0, 0, ""
+    links = 0
 
     def flush() -> None:
         nonlocal links
@@ -59,64 +139,53 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             # Further white space characters end up as one space too.
             text = " ".join(text.split())
             if text:
-                out.append((tuple(t for _, ts in stack for t in ts), text, min(links, len(text))))
+                path = stack if len(stack) <= 2 * NEAREST else stack[:NEAREST] + stack[-NEAREST:]
+                out.append((tuple(t for _, ts in path for t in ts), text, min(links, len(text))))
             buf.clear()
         links = 0
 
-    for m in _TOKEN.finditer(page or ""):
-        name = m[2]
-        if name is None:
-            if not skip and not m[0].startswith(("<!", "<?")):
-                buf.append(m[0])
-                links += len(m[0]) if in_link else 0
-            continue
-        tag = name.lower()
-        if skip:
-            if m[1] and tag == skip:
-                skip = ""
+    def close(i: int) -> None:
+        for tag, _ in stack[i:]:
+            still[tag] -= 1
+        del stack[i:]
+
+    for text, tag, attrs, ends in pieces(page or ""):
+        if text and not any(still[t] for t in HIDDEN_TAGS):
+            buf.append(text)
+            links += len(text) if still["a"] else 0
+        if ends:
+            if tag not in INLINE:
+                flush()
+                if still[tag]:
+                    close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+            elif stack and stack[-1][0] == tag:
+                close(len(stack) - 1)
             continue
-        if m[1]:
-            if tag in INLINE:
-                in_link -= tag == "a" and in_link > 0
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-                continue
-            flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    in_link = 0
-                    break
+        if tag == "br":
+            buf.append(" ")
             continue
-        if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                skip = tag
+        if not tag or tag in RAW:
             continue
+        if tag == "a" and stack and stack[-1][0] == "a":  # links don't nest
+            close(len(stack) - 1)
         if tag not in INLINE:
-            if tag == "br":
-                buf.append(" ")
-                continue
             flush()
-            ends = SELF_CLOSING.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            if ends:
+            over = SELF_CLOSING.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
+            if any(still[t] for t in over):
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        del stack[i:]
+                    if stack[i][0] in over:
+                        close(i)
                         break
                     if stack[i][0] not in INLINE and stack[i][0] != "p":
                         break
         if tag in VOID:
             continue
-        in_link += tag == "a"
         tokens = (tag,)
-        if m[3] and "=" in m[3]:
-            tokens += tuple(f".{x.lower()}" for a in _ATTR.finditer(m[3]) for x in _NAME.findall(a[2] or a[3] or a[4] or ""))
+        if "=" in attrs:
+            tokens += tuple(f".{x.lower()}" for a in _ATTR.finditer(attrs) for x in _NAME.findall(a[2] or a[3] or a[4] or ""))
         if tag not in INLINE or tag == "a":
             stack.append((tag, tokens))
+            still[tag] += 1
     flush()
     return out
 
@@ -244,7 +313,7 @@ _MENU = ["nav", "ul class='menu'", "div class='nav'", "div id='navigation'", "di
 _HEAD = ["header", "div class='header'", "div id='site-header'", "div class='masthead'", "div class='banner'"]
 _FOOT = ["footer", "div class='footer'", "div id='footer'", "div class='copyright'", "div class='site-footer'"]
 _SIDE = ["aside", "div class='sidebar'", "div id='sidebar'", "div class='related'", "div class='widget'", "div class='recommended'", "section class='promo'"]
-_NOTE = ["div class='cookie-notice'", "div class='notice'", "div id='cookie-banner'", "div class='alert'", "div class='consent'", "div class='newsletter'", "div class='popup modal'"]
+_NOTE = ["div class='cookie-notice'", "div class='notice'", "div id='cookie-banner'", "div class='alert'", "div class='consent'", "div class='newsletter'", "div class='popup modal'", "noscript"]
 _ADS = ["div class='ad'", "div class='ads'", "div class='advert'", "div class='sponsored'", "div id='advertisement'", "aside class='ad'", "p class='ad'", "div class='ad-slot'"]
 _FORM = ["form", "form class='search'", "div class='login-form'", "form id='subscribe'"]
 _TALK = ["section class='comments'", "div class='comments'", "div id='comments'", "ol class='comment-list'", "div class='reader-comments'", "div class='discussion'"]
@@ -277,6 +346,8 @@ def lesson(rnd: random.Random) -> tuple[str, str]:
                 out.append(wrap(rnd.choice(["h2", "h3"]), keep(said(1, 6))))
             elif kind < 0.9:
                 out.append(wrap(rnd.choice(["ul", "ol"]), "".join(wrap("li", keep(said(2, 12))) for _ in range(rnd.randint(2, 5)))))
+            elif kind < 0.92:
+                out.append(wrap(rnd.choice(["noscript", "object", "figure"]), wrap("p", keep(said(3, 20)))))
             elif kind < 0.95:
                 out.append(wrap("blockquote", wrap("p", keep(said(5, 30)))))
             else:
