@@ -477,7 +477,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", out_col: str = "main_te
     from pyspark.sql.types import StringType, StructField, StructType
 
     spark = pages.sparkSession
-    V.bounded_batches(spark)
+    V.ship(spark)
     rows = pages.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in pages.columns if c not in (html_col, out_col)]).alias("row"), F.col(html_col).alias("html"))
     shared = spark.sparkContext.broadcast(labeller or train())
     schema = StructType([rows.schema["row"], StructField("main_text", StringType())])

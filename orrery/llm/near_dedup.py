@@ -212,7 +212,7 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
 
     nodes: the different word sequences, with the least id and the number of their rows.
     """
-    V.bounded_batches(docs.sparkSession)
+    V.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), plain_words(F.col(text_col)).alias("norm")).withColumn("sig", F.md5("norm"))
     counts = docs.sparkSession.sparkContext.broadcast(rough_counts(docs, text_col, k))
     sketched = cut(rows.select("id", "sig", "norm").mapInArrow(lambda it: _sketch(it, k, minima, tables, counts.value, similarity), f"id {dict(docs.dtypes)[id_col]}, sig string, n int, keys array<bigint>, rare array<bigint>"))

@@ -228,7 +228,7 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
 
 def count(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(kind, key, n): counts of all grams and words of a one-column DataFrame of texts."""
-    V.bounded_batches(texts.sparkSession)
+    V.ship(texts.sparkSession)
     part = texts.mapInArrow(lambda it: _count(it, order), "kind tinyint, key bigint, n bigint")
     return part.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 

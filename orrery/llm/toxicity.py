@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1, higher: toxic) in place of a column of that name."""
-    V.bounded_batches(docs.sparkSession)
+    V.ship(docs.sparkSession)
     keep = [c for c in docs.columns if c != "score"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

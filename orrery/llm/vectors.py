@@ -26,17 +26,14 @@ WORD = DIGIT.copy()
 WORD[65:91] = WORD[97:123] = WORD[128:] = True
 
 
-def bounded_batches(spark, rows: int = 1000) -> None:
-    """Fewer rows an Arrow batch, so that long texts don't add up; a smaller setting stays.
+def ship(spark) -> None:
+    """Lets Python workers find this package as the driver does, for sessions that were started elsewhere.
 
-    Workers also get the package's folder as a path, for sessions that were started elsewhere.
+    A path that a machine lacks is passed over there; clusters install the package or send it with --py-files.
     """
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,23 +164,111 @@ def test_inconsistent_slots(spark):
     assert got == {1}
 
 
+WORD = re.compile(r"[0-9](?:[.,](?=[0-9])|[0-9a-zA-Z\x80-\U0010ffff])*|[a-zA-Z\x80-\U0010ffff](?:[0-9](?:[.,](?=[0-9]))?|[a-zA-Z\x80-\U0010ffff])*")
+
+
+def brute_tokens(text):
+    """(words, tokens): a token is (first word, end, what it is looked up by, its value or None)."""
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    raw = WORD.findall(text or "")
+    words, out, i = [low(w) for w in raw], [], 0
+    kind = lambda w: "#" if low(w) in D.NUMBER_WORDS or re.fullmatch("[0-9.,]+", w) else "@" if "A" <= w[0] <= "Z" or "\xc0" <= w[0] <= "\xde" else ""
+    while i < len(raw):
+        k, j = kind(raw[i]), i + 1
+        while k and j < len(raw) and kind(raw[j]) == k:
+            j += 1
+        if not k and out and out[-1][2] == "<#>" and words[i] in D.UNITS:
+            out.append((i, j, "<unit>", ("unit", words[i])))
+        else:
+            out.append((i, j, f"<{k}>" if k else words[i], (k, *words[i:j]) if k else None))
+        i = j
+    return words, out
+
+
+def brute_windows(text, sizes, window=0):
+    words, tokens = brute_tokens(text)
+    token_of = [n for n, t in enumerate(tokens) for _ in range(t[0], t[1])]
+    for size in sizes:
+        if not window or (len(words) >= D.MIN_WORDS and (len(words) == size if size < window else len(words) >= size)):
+            for k in range(len(words) - size + 1):
+                yield True, size, token_of[k], k, k + size, tuple(words[k : k + size]), (), not any(t[3] for t in tokens[token_of[k] : token_of[k + size - 1] + 1])
+        if not window or (len(words) >= D.MIN_WORDS and (len(tokens) == size if size < window else len(tokens) >= size)):
+            for k in range(len(tokens) - size + 1):
+                part = tokens[k : k + size]
+                values = tuple(t[3] for t in part if t[3])
+                if values and size - len(values) >= 2:
+                    yield False, size, k, part[0][0], part[-1][1], tuple(t[2] for t in part), values
+
+
+def brute_contaminated(docs, items):
+    index, total = defaultdict(list), {}
+    for item, text in items:
+        total[item] = len(brute_tokens(text)[0])
+        for w in brute_windows(text, range(2, D.WINDOW + 1), D.WINDOW):
+            index[w[0], w[1], w[5]].append((item, w))
+    out = {}
+    for doc, text in docs:
+        groups = defaultdict(list)
+        for d in brute_windows(text, {k[1] for k in index}):
+            for item, w in index.get((d[0], d[1], d[5]), ()):
+                for g in (0, 1):
+                    groups[item, g, (d[2] - w[2] + g * D.BAND // 2) // D.BAND].append((w, d))
+        for (item, _, _), hits in groups.items():
+            votes = Counter(p for p in {(w[3], w[4], d[3], d[4], a, b) for w, d in hits for a, b in zip(w[6], d[6], strict=True)} for p in [p[4:]])
+            there, back = {}, {}
+            # Ties fall as they may: the operator breaks them by hashes.
+            for a, b in sorted(votes, key=lambda v: -votes[v]):
+                if a not in there and b not in back:
+                    there[a], back[b] = b, a
+            for literal in (False, True):
+                ok = [(w, d) for w, d in hits if (w[0] and (literal or w[7])) or (not w[0] and not literal and all(there.get(a) == b for a, b in zip(w[6], d[6], strict=True)))]
+                n = min(len({x for h in ok for x in range(h[side][3], h[side][4])}) for side in (0, 1)) if ok else 0
+                if n >= D.COVERAGE * total[item]:
+                    out[doc, item] = out.get((doc, item), False) or literal
+    return out
+
+
 def test_decontamination_whole_table(spark, sf_dir):
-    """Literal leaks by brute force: at least half of an item's 8-word windows on one alignment."""
-    word = re.compile(r"[0-9](?:[.,](?=[0-9])|[0-9a-z\x80-\U0010ffff])*|[a-z\x80-\U0010ffff](?:[0-9](?:[.,](?=[0-9]))?|[a-z\x80-\U0010ffff])*")
-    low = lambda t: word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-    index = defaultdict(list)
-    total = {}
-    for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect():
-        w = low(r["text"])
-        total[r["item_id"]] = len(w) - 7
-        for k in range(len(w) - 7):
-            index[tuple(w[k : k + 8])].append((r["item_id"], k))
-    want = set()
-    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
-        w, hits = low(r["text"]), defaultdict(set)
-        for k in range(len(w) - 7):
-            for item, p in index.get(tuple(w[k : k + 8]), ()):
-                hits[item, k - p].add(p)
-        want |= {(r["doc_id"], item) for (item, _), ps in hits.items() if len(ps) >= 0.5 * total[item]}
-    got = {(r["doc_id"], r["item_id"]) for r in queries.op2_decontaminate(spark, sf_dir).filter("verbatim").collect()}
-    assert got == want and want
+    rows = {t: [tuple(r) for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(i, "text").collect()] for t, i in (("documents", "doc_id"), ("benchmark", "item_id"))}
+    got = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in queries.op2_decontaminate(spark, sf_dir).collect()}
+    want = brute_contaminated(rows["documents"], rows["benchmark"])
+    # An item that stands twice in a text may reach the coverage verbatim in one place and not in another.
+    assert got.keys() == want.keys() and want and all(want[k] for k, v in got.items() if v)
+
+
+NAMES = "Alice Bob Carol David Emma Frank Grace Henry Ivy Jack Karen Leo Mona Nick Olga Paul Rosa Sam Tina Victor".split()
+PLACES = ["Paris", "New York", "Rome", "San Francisco", "Lyon", "Rio de Janeiro", "Oslo", "Buenos Aires"]
+SHAPES = [
+    "{A} has {n} apples. {B} gives {A2} {m} more. {A} eats {k} of them. How many apples does {A} have left?",
+    "A train leaves {P} at {n} with {m} people and after {k} {u} it meets another train from {Q}; how many people does {B} count in both trains together?",
+    "A class has {x} boys and {y} girls. If {z} of them leave for lunch, how many children are still in the room with {A}?",
+    "{A} buys {n} {u} of rice for {m} dollars and {B} buys {k} {u} of beans. What does {A} pay for each of the bags?",
+    "Compute {n} + {m} * {k} and then divide the result by {m} plus {n}; round down.",
+    "{A} and {B} travel from {P} to {Q}. {A} drives {n} {u} in {m} hours, while {B} needs {k} hours. Who is faster?",
+    "In {P} there are {n} houses with {m} windows each, painted by {A}.",
+]
+
+
+def made(rnd, shape):
+    a, b = rnd.sample(NAMES, 2)
+    p, q = rnd.sample(PLACES, 2)
+    n, m, k = rnd.sample(range(2, 4000), 3)
+    x, y, z = rnd.sample([w for w in D.NUMBER_WORDS if w not in ("zero", "one")], 3)
+    return shape.format(A=a, A2=a, B=b, P=p, Q=q, n=n, m=m, k=k, x=x, y=y, z=z, u=rnd.choice(["km", "miles", "kg", "pounds", "litres"]))
+
+
+def test_recall_of_reparameterised_items(spark):
+    """Other names, numbers and units, with words around them: nearly all are caught, and nothing else."""
+    rnd = random.Random(5)
+    items = [(i, made(rnd, s)) for i, s in enumerate(SHAPES)]
+    vocab = [f"word{i}" for i in range(400)] + NAMES + [str(i) for i in range(50)]
+    docs, want = [], set()
+    for i in range(300):
+        j = i % len(SHAPES)
+        docs.append((i, " ".join(rnd.choices(vocab, k=rnd.randint(0, 60))) + ". " + made(rnd, SHAPES[j]) + " Then " + " ".join(rnd.choices(vocab, k=rnd.randint(0, 60)))))
+        want.add((i, j))
+    docs += [(1000 + i, " ".join(rnd.choices(vocab, k=200))) for i in range(300)]
+    got = D.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert found == set(brute_contaminated(docs, items))
+    assert len(found & want) >= 0.9 * len(want) and not found - want
