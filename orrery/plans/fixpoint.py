@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; if unset (as in tests), one in the warehouse."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; if unset (as in tests), one in the warehouse."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(checkpoint_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
