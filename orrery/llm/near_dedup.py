@@ -8,26 +8,31 @@ in it with high probability only if they share k-mers in the same order.  Equal
 A candidate is verified by a banded alignment of both k-mer sequences.  As labelled k-mers occur once,
 the longest common subsequence is the longest increasing one over their positions; matches off the
 diagonal by more than the threshold allows cannot belong to an alignment that reaches it and are left
-out first.  The similarity is common / (n1 + n2 - common) over the aligned k-mers; 0.8 links.
+out first.  The similarity is common / (n1 + n2 - common) over the aligned k-mers; 0.8 links.  K-mers are
+compared by 64-bit hashes of their words and number.
 
 Scale: texts of equal words are one node from the start (a hash aggregate).  A bucket of equal sketches
 never gives all pairs: each member is compared with the bucket's leader, the member that shares most
 sketches with most texts, found by aggregates.  A member that the alignment parts from its leader is
 compared with two more: the bucket's member of the least hash, and the one among its like in the finer
-bucket of two equal sketches.  So a bucket of n members gives n pairs a leader.
+bucket of two equal sketches.  So a bucket of n members gives n pairs a leader.  Texts come to the pairs
+that need them: they are found by row keys, broadcast if counted to at most BROADCAST_NODES, and a leader
+with many pairs is dealt to as many tasks as it has runs of SPLIT pairs.
 
 What sketches and leaders miss is found by an exact pass.  Two texts that reach the threshold share a k-mer
 among the first n - ceil(0.8 n) + 1 of each in any fixed order of k-mers.  The order is by rough frequency
-(counts of a sample, hashed into a table of fixed size), which only saves work, and then by hash.  Buckets of
+(from a fixed share of the rows; it only saves work, no result depends on it), and then by hash.  Buckets of
 such k-mers whose members are all of one component are dropped by a window; of the others all pairs of
 different components that can still reach the threshold, by their sizes and the k-mers seen so far, are
 aligned.  So no link between two components is lost, and many variants of one text cost no pairs.  The pairs
 grow with the square only of texts of different components that share their rarest k-mers.
-Classes are the connected components, by minimum labels with pointer jumping, each pass checkpointed.
+Classes are the connected components, by minimum labels with pointer jumping.  Each phase's tables are
+written to the shared folder and removed when no later phase reads them.
 
 Defined results: null and empty texts have no words and are one class; texts of less than five words are
 one k-mer, so they link only to equal words.  A null id belongs to its text's class, whose id is the least
-that is not null.  Repeated rows get equal rows.  Empty tables give empty results; other columns pass.
+that is not null.  Repeated rows get equal rows.  Empty tables give empty results; other columns, whatever
+their names, pass.
 """
 
 from __future__ import annotations
@@ -41,13 +46,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import vectors as V
-from orrery.plans.fixpoint import cut
+from orrery.plans.scratch import Scratch
 
 K, MINIMA, TABLES, SIMILARITY = 5, 4, 24, 0.8
-#: Rows of which k-mers are counted, about, and the bits of the table of counts.
-SAMPLE, COUNT_BITS = 10_000, 20
-#: Nodes that are broadcast to find their texts; more are joined.
-BROADCAST_NODES = 100_000
+#: One row in so many has its k-mers counted; the bits of the table of counts.
+COUNTED, COUNT_BITS = 32, 22
+#: Nodes that are broadcast (a long key and two short columns) to find their texts; more are joined.
+BROADCAST_NODES = 500_000
+#: Pairs of one leader that one task aligns.
+SPLIT = 1000
 _SEED = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), np.int64).astype(V.U)
 
 
@@ -83,7 +90,7 @@ def sketches(kmers: np.ndarray, minima: int = MINIMA, tables: int = TABLES) -> n
 def rarest(kmers: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
     """The first labelled k-mers in the fixed order, so many that texts which reach least share one of them."""
     m = len(kmers) - int(np.ceil(least * len(kmers) - 1e-9)) + 1
-    order = (counts[(kmers >> V.U(64 - COUNT_BITS)).astype(np.int64)] << V.U(58)) | (kmers >> V.U(6))
+    order = (counts[(kmers >> V.U(64 - COUNT_BITS)).astype(np.int64)].astype(V.U) << V.U(58)) | (kmers >> V.U(6))
     at = np.argpartition(order, m - 1)[:m] if m < len(kmers) else np.arange(len(kmers))
     return kmers[at[np.lexsort((kmers[at], order[at]))]]
 
@@ -101,20 +108,19 @@ def _texts_mers(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield labelled(V.windows(w, min(k, len(w)))) if len(w) else w
 
 
-def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _sample(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        mers = [np.zeros(0, V.U), *_texts_mers(b.column(0), k)]
-        spot, c = np.unique((np.concatenate(mers) >> V.U(64 - COUNT_BITS)).astype(np.int32), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(spot, pa.int32()), pa.array(c, pa.int64())], names=["spot", "c"])
+        mers, c = np.unique(np.concatenate([np.zeros(0, V.U), *_texts_mers(b.column(0), k)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(mers.view(np.int64)), pa.array(c, pa.int64())], names=["h", "c"])
 
 
 def rough_counts(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
-    """Logarithms of how often the k-mers of each spot of the table occur in about SAMPLE rows."""
-    step = max(1, docs.count() // SAMPLE)
-    some = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(step)) == 0).select(plain_words(F.col(text_col))).mapInArrow(lambda it: _count(it, k), "spot int, c bigint")
-    got = some.groupBy("spot").agg(F.sum("c").alias("c")).toArrow()  # bounded by the table
-    out = np.zeros(1 << COUNT_BITS, V.U)
-    out[got.column("spot").to_numpy()] = np.log2(got.column("c").to_numpy()).astype(V.U)
+    """For each spot of the table the logarithm of the greatest count of a k-mer there, in the counted rows."""
+    some = docs.filter(F.pmod(F.xxhash64(f"`{text_col}`"), F.lit(COUNTED)) == 0).select(plain_words(F.col(f"`{text_col}`")))
+    often = some.mapInArrow(lambda it: _sample(it, k), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1")
+    got = often.groupBy(F.shiftrightunsigned("h", 64 - COUNT_BITS).alias("spot")).agg(F.max("c").alias("c")).toArrow()  # bounded by the table
+    out = np.zeros(1 << COUNT_BITS, np.uint8)
+    out[got.column("spot").to_numpy()] = np.minimum(np.log2(got.column("c").to_numpy()), 63).astype(np.uint8)
     return out
 
 
@@ -125,77 +131,78 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int, minima: int, tables: int, counts: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        none = np.zeros(0, V.U)
-        mers = list(_texts_mers(b.column(2), k))
-        keys = [sketches(x, minima, tables) if len(x) else none for x in mers]
-        rare = [rarest(x, counts, least) if len(x) else none for x in mers]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in mers], pa.int32()), _lists(keys), _lists(rare)], names=["id", "sig", "n", "keys", "rare"])
-
-
-def kmers_of(text: str, k: int = K) -> list[tuple]:
-    """Labelled k-mers of plain words."""
-    w = text.split(" ") if text else []
-    k = min(k, len(w))
-    seen: dict[tuple, int] = {}
-    out = []
-    for i in range(len(w) - k + 1 if w else 0):
-        g = tuple(w[i : i + k])
-        c = seen.get(g, 0)
-        seen[g] = c + 1
-        out.append((g, c))
-    return out
-
-
-def similarity(a: list, b: list, least: float = SIMILARITY) -> float:
-    """Aligned k-mers / all k-mers of two labelled sequences; 0 if it can't reach least."""
+        # Few rows at a time: the lists of long texts add up.
+        for i in range(0, b.num_rows, 500):
+            x = b.slice(i, 500)
+            none = np.zeros(0, V.U)
+            mers = list(_texts_mers(x.column(3), k))
+            keys = [sketches(m, minima, tables) if len(m) else none for m in mers]
+            rare = [rarest(m, counts, least) if len(m) else none for m in mers]
+            yield pa.RecordBatch.from_arrays([*x.columns[:3], pa.array([len(m) for m in mers], pa.int32()), _lists(keys), _lists(rare)], names=["id", "row", "sig", "n", "keys", "rare"])
+
+
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, by: np.ndarray | None = None) -> float:
+    """Aligned k-mers / all k-mers of two labelled sequences; 0 if it can't reach least.  by: what sorts b."""
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0
     need = least / (1 + least) * (n + m)  # common k-mers at the threshold
     if min(n, m) < need - 1e-9:
         return 0.0
+    by = np.argsort(b, kind="stable") if by is None else by
+    at = by[np.minimum(np.searchsorted(b, a, sorter=by), m - 1)]
     # An alignment with that many matches leaves this many of each side out, hence the band.
-    band_a, band_b = n - need + 1e-9, m - need + 1e-9
-    where = {x: i for i, x in enumerate(b)}
-    at = [j for i, x in enumerate(a) if (j := where.get(x)) is not None and -band_a <= j - i <= band_b]
+    off = at - np.arange(n)
+    at = at[(b[at] == a) & (off >= -(n - need + 1e-9)) & (off <= m - need + 1e-9)]
     if len(at) < need - 1e-9:
         return 0.0
-    tails: list[int] = []
-    for j in at:
-        p = bisect_left(tails, j)
-        if p == len(tails):
-            tails.append(j)
-        else:
-            tails[p] = j
-    common = len(tails)
+    common = len(at)
+    if not (at[1:] > at[:-1]).all():
+        tails: list[int] = []
+        for j in at.tolist():
+            p = bisect_left(tails, j)
+            if p == len(tails):
+                tails.append(j)
+            else:
+                tails[p] = j
+        common = len(tails)
     got = common / (n + m - common)
     return got if got >= least - 1e-12 else 0.0
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        last, ref = None, []
-        sims = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            if y != last:
-                last, ref = y, kmers_of(y, k)
-            sims.append(similarity(kmers_of(x, k), ref, least))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
-
-
-def _checked(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """(a, b, sim) of the pairs that the alignment links."""
-    x = pairs.join(texts.select(F.col("nid").alias("a"), F.col("norm").alias("ta")), "a")
-    x = x.join(texts.select(F.col("nid").alias("b"), F.col("norm").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return x.mapInArrow(lambda it: _verify(it, k, least), "a bigint, b bigint, sim double").filter(F.col("sim") >= least)
-
-
-def _across(nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    for whole in batches:
+        for i in range(0, whole.num_rows, 500):
+            x = whole.slice(i, 500)
+            last, by, ref, sims = None, None, None, []
+            # The rows come by leader, whose k-mers are made once a run.
+            ids = x.column(1).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            refs = _texts_mers(x.column(3).take(pa.array(starts)), k)
+            for leader, mers in zip(ids.tolist(), _texts_mers(x.column(2), k), strict=True):
+                if leader != last:
+                    last, ref = leader, next(refs)
+                    by = np.argsort(ref, kind="stable")
+                sims.append(similarity(mers, ref, least, by))
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
+
+
+def _checked(scratch: Scratch, pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b, sim) of the different pairs that the alignment links."""
+    parts = pairs.groupBy("b").agg(F.expr(f"(count(*) - 1) div {SPLIT} + 1").alias("parts"))
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    refs = parts.join(texts.select(F.col("nid").alias("b"), F.col("norm").alias("tb")), "b").select("b", "tb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    x = dealt.join(texts.select(F.col("nid").alias("a"), F.col("norm").alias("ta")), "a").join(refs, ["b", "part"]).select("a", "b", "ta", "tb")
+    return scratch.keep(x.mapInArrow(lambda it: _verify(it, k, least), "a bigint, b bigint, sim double").filter(F.col("sim") >= least))
+
+
+def _across(scratch: Scratch, nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(a, b) of all nodes of different components that may reach least: nodes (nid, n, rare), roots (node, root)."""
     of = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("nid", "n", F.coalesce("root", "nid").alias("root"), F.posexplode("rare").alias("i", "h"))
     # A window rather than an aggregate and a join: the rows are dealt out once.
     same = Window.partitionBy("h")
-    of = cut(of.withColumns({"lo": F.min("root").over(same), "hi": F.max("root").over(same)}).filter("lo <> hi").drop("lo", "hi"))
+    of = scratch.keep(of.withColumns({"lo": F.min("root").over(same), "hi": F.max("root").over(same)}).filter("lo <> hi").drop("lo", "hi"))
+    scratch.settle()
     x, y = (of.select("h", *[F.col(c).alias(c + e) for c in ("nid", "n", "root", "i")]) for e in "xy")
     need = F.lit(least / (1 + least)) * (F.col("nx") + F.col("ny")) - 1e-9
     rest = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
@@ -204,7 +211,35 @@ def _across(nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     pairs = x.join(y, "h").filter((F.col("nidx") < F.col("nidy")) & (F.col("rootx") != F.col("rooty")) & may)
     pairs = pairs.groupBy(F.col("nidx").alias("a"), F.col("nidy").alias("b"), "nx", "ny").agg(F.count("*").alias("c"), F.max("ix").alias("ix"), F.max("iy").alias("iy"))
     # All that they share up to the last one is counted.
-    return pairs.filter(F.col("c") - 1 + rest >= need).select("a", "b")
+    out = scratch.keep(pairs.filter(F.col("c") - 1 + rest >= need).select("a", "b"))
+    scratch.drop(of)
+    return out
+
+
+def _nodes(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, k: int, minima: int, tables: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """members (id, sig) of all rows; nodes (nid, sig, row, n, keys, rare, least, c): the different word sequences."""
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("row"), plain_words(text).alias("norm")).select("id", "row", F.unhex(F.md5("norm")).alias("sig"), "norm")
+    counts = docs.sparkSession.sparkContext.broadcast(rough_counts(docs, text_col, k))
+    schema = f"id {dict(docs.dtypes)[id_col]}, row bigint, sig binary, n int, keys array<bigint>, rare array<bigint>"
+    sketched = scratch.keep(rows.mapInArrow(lambda it: _sketch(it, k, minima, tables, counts.value, least), schema))
+    nodes = sketched.groupBy("sig").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "keys", "rare")], F.min("id").alias("least"), F.count("*").alias("c"))
+    nodes = scratch.keep(nodes.withColumn("nid", F.monotonically_increasing_id()))  # fixed once it is written
+    members = scratch.keep(sketched.select("id", "sig"))
+    scratch.drop(sketched)
+    return members, nodes
+
+
+def _texts(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, part: DataFrame) -> DataFrame:
+    """(nid, norm): the plain words of the nodes of part (nid, sig, row)."""
+    part = scratch.keep(part)
+    wanted = F.broadcast(part) if part.count() <= BROADCAST_NODES else part
+    text = F.col(f"`{text_col}`")
+    found = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row"), text.alias("text")).join(wanted, "row")
+    found = found.select("nid", "sig", plain_words(F.col("text")).alias("norm")).filter(F.unhex(F.md5("norm")) == F.col("sig"))
+    out = scratch.keep(found.groupBy("nid").agg(F.max("norm").alias("norm")))
+    scratch.drop(part)
+    return out
 
 
 def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, minima: int = MINIMA, tables: int = TABLES, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -213,82 +248,96 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     nodes: the different word sequences, with the least id and the number of their rows.
     """
     V.ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), plain_words(F.col(text_col)).alias("norm")).withColumn("sig", F.md5("norm"))
-    counts = docs.sparkSession.sparkContext.broadcast(rough_counts(docs, text_col, k))
-    sketched = cut(rows.select("id", "sig", "norm").mapInArrow(lambda it: _sketch(it, k, minima, tables, counts.value, similarity), f"id {dict(docs.dtypes)[id_col]}, sig string, n int, keys array<bigint>, rare array<bigint>"))
-    nodes = sketched.groupBy("sig").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("rare").alias("rare"), F.min("id").alias("least"), F.count("*").alias("c"))
-    nodes = cut(nodes.withColumn("nid", F.monotonically_increasing_id()))  # fixed once it is written
-    slots = nodes.select("nid", "n", F.posexplode("keys").alias("t", "key"))
-    shared = slots.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    slots = cut(slots.join(shared, "key"))
+    scratch = Scratch(docs.sparkSession)
+    members, nodes = _nodes(scratch, docs, id_col, text_col, k, minima, tables, similarity)
+    scratch.settle()
+    every = nodes.select("nid", "n", F.posexplode("keys").alias("t", "key"))
+    shared = every.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    slots = scratch.keep(every.join(shared, "key"))
     # The leader is the member in the largest buckets over all tables: the text closest to the group's common form.
     weight = slots.groupBy("nid").agg(F.sum(F.log2("size")).alias("w"))
     lead = slots.join(weight, "nid").groupBy("key").agg(F.max(F.struct("w", "nid", "n")).alias("l"))
     near = F.least("n", "bn") >= similarity * F.greatest("n", "bn")  # a shorter text can't reach the threshold
-    met = cut(slots.join(lead, "key").select(F.col("nid").alias("a"), "n", "t", "key", F.col("l.nid").alias("b"), F.col("l.n").alias("bn")).filter("a <> b"))
-    first = met.filter(near).select("a", "b").distinct()
+    met = scratch.keep(slots.join(lead, "key").select(F.col("nid").alias("a"), "n", "t", "key", F.col("l.nid").alias("b"), F.col("l.n").alias("bn")).filter("a <> b"))
+    first = scratch.keep(met.filter(near).select("a", "b").distinct())
     # Second leaders, for members that the alignment parts from the first.
     other = slots.groupBy("key").agg(F.min(F.struct(F.xxhash64("nid").alias("o"), "nid", "n")).alias("l"))
-    other = cut(other.select("key", F.col("l.nid").alias("b2"), F.col("l.n").alias("bn2")))
-
-    def texts_of(part: DataFrame) -> DataFrame:
-        """One row's text for each node of part (nid, sig, least); the id spreads the rows of a frequent text."""
-        x = rows.join(part.withColumnRenamed("sig", "_s"), (F.col("sig") == F.col("_s")) & F.col("id").eqNullSafe(F.col("least"))).groupBy("sig", "id", "nid").agg(F.max("norm").alias("norm"))
-        return cut(x.select("nid", "norm"))
-
-    part = met.select("a").union(met.select("b")).union(other.select("b2")).distinct().join(nodes, F.col("a") == F.col("nid")).select("nid", "sig", "least")
-    texts = texts_of(part)
-    ok = cut(_checked(first, texts, k, similarity))
+    other = scratch.keep(other.select("key", F.col("l.nid").alias("b2"), F.col("l.n").alias("bn2")))
+    scratch.drop(slots)
+    every = shared = slots = weight = lead = None
+    scratch.settle()
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """ids: one column of nids."""
+        return _texts(scratch, docs, id_col, text_col, ids.toDF("nid").distinct().join(nodes.select("nid", "sig", "row"), "nid"))
+
+    texts = texts_of(first.select("a").union(first.select("b")))
+    ok = _checked(scratch, first, texts, k, similarity)
+    scratch.settle()
     left = met.join(ok.select("a", "b"), ["a", "b"], "left_anti").select("a", "n", "t", "key")
     plain = left.join(other, "key").select("a", "n", F.col("b2").alias("b"), F.col("bn2").alias("bn"))
     # And leaders within buckets of two equal sketches, where texts that only share a passage seldom meet.
     keys = left.join(nodes.select(F.col("nid").alias("a"), "keys"), "a").select("a", "n", "key", F.get("keys", (F.col("t") + 1) % tables).alias("key2"))
     finer = keys.groupBy("key", "key2").agg(F.max(F.struct(F.xxhash64("a", F.lit(1)).alias("o"), F.col("a").alias("b"), F.col("n").alias("bn"))).alias("l"), F.count("*").alias("size")).filter("size > 1")
     finer = keys.join(finer.select("key", "key2", "l.b", "l.bn"), ["key", "key2"]).select("a", "n", "b", "bn")
-    again = plain.unionByName(finer).filter(near & (F.col("a") != F.col("b"))).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    ok2 = cut(_checked(again, texts, k, similarity))
+    again = scratch.keep(plain.unionByName(finer).filter(near & (F.col("a") != F.col("b"))).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    scratch.drop(met, other)
+    more = again.select("a").union(again.select("b")).toDF("nid").join(texts, "nid", "left_anti")
+    texts2 = texts.unionByName(texts_of(more))
+    ok2 = _checked(scratch, again, texts2, k, similarity)
+    scratch.drop(first, again)
+    plain = keys = finer = left = None
+    scratch.settle()
     found = ok.unionByName(ok2)
-    roots = components(found)
+    roots = components(found, scratch)
     # The exact pass: all other pairs between components.
-    over = cut(_across(nodes, roots, similarity))
+    over = _across(scratch, nodes, roots, similarity)
     if not over.isEmpty():
-        new = over.select("a").union(over.select("b")).distinct().join(texts, F.col("a") == F.col("nid"), "left_anti").join(nodes, F.col("a") == F.col("nid")).select("nid", "sig", "least")
-        new = cut(new)
-        new = F.broadcast(new) if new.count() <= BROADCAST_NODES else new
-        ok3 = cut(_checked(over, texts.unionByName(texts_of(new)), k, similarity))
+        more = over.select("a").union(over.select("b")).toDF("nid").join(texts2, "nid", "left_anti")
+        ok3 = _checked(scratch, over, texts2.unionByName(texts_of(more)), k, similarity)
         found = found.unionByName(ok3)
         to = [roots.select(F.col("node").alias(c), F.col("root").alias("r" + c)) for c in "ab"]
-        joined = components(ok3.join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+        joined = components(ok3.join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), scratch)
         whole = roots.unionByName(joined.select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("_r"))
         joined = joined.withColumnRenamed("node", "_n").withColumnRenamed("root", "_to")
-        roots = cut(whole.join(joined, F.col("_r") == F.col("_n"), "left").select("node", F.coalesce("_to", "_r").alias("root")))
-    return sketched.select("id", "sig"), nodes.select("nid", "sig", "least", F.col("c")), found, roots
+        roots = scratch.keep(whole.join(joined, F.col("_r") == F.col("_n"), "left").select("node", F.coalesce("_to", "_r").alias("root")))
+    scratch.settle()
+    return members, nodes.select("nid", "sig", "least", "c"), found, roots
 
 
-def components(edges: DataFrame, max_passes: int = 200) -> DataFrame:
-    """(node, root) of every node of edges (a, b): root is the least node of its component."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+def components(edges: DataFrame, scratch: Scratch | None = None, max_passes: int = 10_000) -> DataFrame:
+    """(node, root) of every node of edges (a, b): root is the least node of its component.
+
+    Passes are about the logarithm of the longest path; the bound on them only ends a loop that a fault keeps going.
+    """
+    scratch = scratch or Scratch(edges.sparkSession)
+    both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     for _ in range(max_passes):
         seen = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("m"))
         near = label.join(seen, label["node"] == seen["a"], "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("m", "root")).alias("root"))
         # Pointer jump: the label of the label.
         jump = label.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        new = cut(near.join(jump, near["root"] == jump["_n"], "left").select("node", "old", F.least("root", F.coalesce("_r", "root")).alias("root")))
+        new = scratch.keep(near.join(jump, near["root"] == jump["_n"], "left").select("node", "old", F.least("root", F.coalesce("_r", "root")).alias("root")))
         changed = not new.filter("old <> root").isEmpty()
-        label = new.select("node", "root")
         if not changed:
-            return label
+            scratch.drop(both)
+            return new.select("node", "root")
+        scratch.drop(label)
+        label = new
     raise RuntimeError(f"components did not settle in {max_passes} passes")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per document: id, class_id (the least id of its class), class_size, n_texts (different in it)."""
     members, every, _, roots = links(docs, id_col=id_col, text_col=text_col, **how)
-    nodes = every.join(roots, every["nid"] == roots["node"], "left").select("sig", F.coalesce("root", "nid").alias("root"), "least", "c")
-    classes = nodes.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("c").alias("class_size"), F.count("*").alias("n_texts"))
-    named = nodes.select("sig", "root").join(classes, "root").drop("root")
-    return members.join(named, "sig").select(F.col("id").alias(id_col), "class_id", "class_size", "n_texts", F.col("sig").alias("words_md5"))
+    scratch = Scratch(docs.sparkSession)
+    linked = scratch.keep(every.join(roots, every["nid"] == roots["node"]).select("sig", "root", "least", "c"))
+    # Written, so that the join below deals out both sides anew and one large class can be split.
+    classes = scratch.keep(linked.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("c").alias("class_size"), F.count("*").alias("n_texts")))
+    named = linked.select("sig", "root").join(classes, "root").select("sig", "class_id", "class_size", "n_texts")
+    single = every.join(roots, every["nid"] == roots["node"], "left_anti").select("sig", F.col("least").alias("class_id"), F.col("c").alias("class_size"), F.lit(1).cast("bigint").alias("n_texts"))
+    return members.join(named.unionByName(single), "sig").select(F.col("id").alias(id_col), "class_id", "class_size", "n_texts", F.lower(F.hex("sig")).alias("words_md5"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -296,6 +345,10 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     What goes is found by (id, words); a class whose documents repeat that pair keeps the repeats.
     """
+    scratch = Scratch(docs.sparkSession)
     got = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    out = got.filter((F.col("class_size") > 1) & ~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_gone"), F.col("words_md5").alias("_sig")).distinct()
-    return docs.join(out, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.md5(plain_words(F.col(text_col))) == F.col("_sig")), "left_anti")
+    out = got.filter((F.col("class_size") > 1) & ~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("gone"), F.col("words_md5").alias("sig"))
+    out = scratch.keep(out.distinct())
+    out = F.broadcast(out) if out.count() <= BROADCAST_NODES else out
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.md5(plain_words(F.col(f"`{text_col}`"))).alias("words"))
+    return boxed.join(out, F.col("id").eqNullSafe(F.col("gone")) & (F.col("words") == F.col("sig")), "left_anti").select("row.*")
