@@ -3,6 +3,7 @@
 A text is cut into sentences, each is normalised and looked up among the known licence sentences, and
 the sequence of their identifiers is matched against ordered rules.  All of it happens within a row
 by built-in functions: no shuffle, so neither hot sources nor copies matter, and memory is one row's.
+Texts without any of a few words, of which every known sentence holds one, are known to have none at once.
 
 Two readings are made: in one every line end also ends a sentence, in the other only blank lines do
 (texts wrapped at a column); lines of punctuation alone, as within comment blocks, count as blank.  A known
@@ -10,12 +11,16 @@ sentence that holds a stop itself ("v. 2.0") is known by the sequence of its pie
 
 Defined results: null and empty texts have no sentences (empty licences, 0 hits).  Repeated rows give
 repeated results.  A rule matches when its sentences occur in its order, others between them allowed;
-it counts as often as it fits without overlap.
+it counts as often as it fits without overlap.  Where another licence's longer rule holds a rule's sentences,
+its matches are taken off: a text of three BSD clauses isn't one of two.  Other columns, whatever their names,
+pass; n_sentences and licenses replace columns of these names.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +55,30 @@ SENTENCES: dict[str, str] = {
     "mpl-1": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "isc-1": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "unlicense-1": "This is free and unencumbered software released into the public domain",
+    "gpl2-1": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl2-short": "Licensed under the GNU General Public License v2.0",
+    "lgpl21-1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl21-2": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "lgpl3-1": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl3-short": "Licensed under the GNU Lesser General Public License v3.0",
+    "agpl3-1": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-short": "Licensed under the GNU Affero General Public License v3.0",
+    "epl-1": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl-short": "Licensed under the Eclipse Public License 2.0",
+    "bsl-short": "Distributed under the Boost Software License, Version 1.0",
+    "zlib-1": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-2": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-3": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "0bsd-1": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "bsd3-short": "Licensed under the BSD 3-Clause License",
+    "bsd2-short": "Licensed under the BSD 2-Clause License",
+    "mpl-short": "Licensed under the Mozilla Public License 2.0",
+    "isc-short": "Licensed under the ISC License",
+    "cc-by-sa-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nd-long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "cc-by-nd-short": "Licensed under CC BY-ND 4.0",
+    "cc-by-nc-sa-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "cc-by-nc-sa-short": "Licensed under CC BY-NC-SA 4.0",
 }
 #: Licence -> its rules; each rule is an ordered sequence of sentence names.
 RULES: dict[str, list[list[str]]] = {
@@ -58,14 +87,28 @@ RULES: dict[str, list[list[str]]] = {
     "GPL-3.0": [["gpl3-short"], ["gpl3-short-2"], ["gpl-1", "gpl-2"]],
     "CC-BY-NC-4.0": [["cc-by-nc-short"], ["cc-by-nc-long"]],
     "CC-BY-4.0": [["cc-by-short"], ["cc-by-long"]],
-    "CC-BY-SA-4.0": [["cc-by-sa-short"]],
+    "CC-BY-SA-4.0": [["cc-by-sa-short"], ["cc-by-sa-long"]],
+    "CC-BY-ND-4.0": [["cc-by-nd-short"], ["cc-by-nd-long"]],
+    "CC-BY-NC-SA-4.0": [["cc-by-nc-sa-short"], ["cc-by-nc-sa-long"]],
     "CC0-1.0": [["cc0-short"]],
-    "BSD-3-Clause": [["bsd-intro", "bsd-1", "bsd-2", "bsd-3"]],
-    "BSD-2-Clause": [["bsd-intro", "bsd-1", "bsd-2"]],
-    "MPL-2.0": [["mpl-1"]],
-    "ISC": [["isc-1"]],
+    "BSD-3-Clause": [["bsd-intro", "bsd-1", "bsd-2", "bsd-3"], ["bsd3-short"]],
+    "BSD-2-Clause": [["bsd-intro", "bsd-1", "bsd-2"], ["bsd2-short"]],
+    "MPL-2.0": [["mpl-1"], ["mpl-short"]],
+    "ISC": [["isc-1"], ["isc-short"]],
     "Unlicense": [["unlicense-1"]],
+    "GPL-2.0": [["gpl2-1", "gpl-2"], ["gpl2-short"]],
+    "LGPL-2.1": [["lgpl21-1", "lgpl21-2"]],
+    "LGPL-3.0": [["lgpl3-1"], ["lgpl3-short"]],
+    "AGPL-3.0": [["agpl3-1"], ["agpl3-short"]],
+    "EPL-2.0": [["epl-1"], ["epl-short"]],
+    "BSL-1.0": [["bsl-short"]],
+    "Zlib": [["zlib-1", "zlib-2", "zlib-3"]],
+    "0BSD": [["0bsd-1"]],
 }
+# Each licence also by its tag in a line of its own.
+for _name, _rules in RULES.items():
+    SENTENCES[f"spdx {_name}"] = f"SPDX-License-Identifier: {_name}"
+    _rules.append([f"spdx {_name}"])
 #: A full stop ends a sentence before white space or the end; so do line ends (all, or blank lines).
 STOP = r"[.!?;]+(?=\s|$)"
 END_LINES, END_BLANKS = rf"{STOP}|[\r\n]+", rf"{STOP}|[\r\n][\s\p{{Punct}}]*[\r\n]"
@@ -79,6 +122,18 @@ def normalise(sentence: str) -> str:
     return " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in sentence.lower()).split())
 
 
+def anchors(sentences: dict[str, str], letters: int = 7) -> list[str]:
+    """A few words, of so many letters if the sentences have such, of which every sentence holds one."""
+    left = [normalise(x) for x in sentences.values()]
+    words = sorted({w for x in left for w in ([w for w in x.split() if len(w) >= letters] or x.split())})
+    out = []
+    while left:
+        best = max(words, key=lambda w: (sum(w in x for x in left), len(w)))
+        out.append(best)
+        left = [x for x in left if best not in x]
+    return out
+
+
 def identifiers(text: Column, sentences: dict[str, str], ends: str) -> Column:
     """array<int>: the 1-based numbers of the known sentences in the order of the text."""
     known = F.array(*[F.lit(normalise(s)) for s in sentences.values()])
@@ -86,7 +141,7 @@ def identifiers(text: Column, sentences: dict[str, str], ends: str) -> Column:
     for sentence in sentences.values():
         pieces = [x for x in map(normalise, re.split(STOP, sentence)) if x]
         if len(pieces) > 1:  # its pieces become one sentence again
-            flat = F.regexp_replace(flat, rf"(?<![^{MARK}]) ?{f' ?{MARK} ?'.join(pieces)} ?(?={MARK}|$)", normalise(sentence))
+            flat = F.regexp_replace(flat, rf"(?<![^{MARK}]) ?{f'[ {MARK}]*{MARK}[ {MARK}]*'.join(pieces)} ?(?={MARK}|$)", normalise(sentence))
     # The lookup is by equal bytes among constants; the blanks beside the cuts go first.
     return F.filter(F.transform(F.split(flat, MARK), lambda s: F.array_position(known, F.trim(s)).cast("int")), lambda i: i > 0)
 
@@ -100,16 +155,42 @@ def count_rule(ids: Column, rule: list[int]) -> Column:
     return F.floor(F.aggregate(ids, F.lit(0), lambda p, i: F.when(i == F.element_at(r, (p % n + 1).cast("int")), p + 1).otherwise(p)) / n).cast("int")
 
 
-def scan(docs: DataFrame, *, text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: dict[str, list[list[str]]] = RULES) -> DataFrame:
-    """docs with n_sentences (known sentences found) and licenses: map of licence -> matches.
+def _holds(long: list[str], short: list[str]) -> bool:
+    """Whether the sentences of short occur in long in their order."""
+    rest = iter(long)
+    return all(x in rest for x in short)
+
 
-    The columns are added under these names; equal names in docs are replaced.
-    """
+def longer_rules(rules: dict[str, list[list[str]]], lic: str, rule: list[str]) -> list[list[str]]:
+    """The rules of other licences that hold all of the rule's sentences, and more."""
+    return [r for other, rs in rules.items() if other != lic for r in rs if len(r) > len(rule) and _holds(r, rule)]
+
+
+def scan(docs: DataFrame, *, text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: dict[str, list[list[str]]] = RULES) -> DataFrame:
+    """docs with n_sentences (known sentences found) and licenses: map of licence -> matches."""
     number = {name: i for i, name in enumerate(sentences, 1)}
-    out = docs.withColumns({"_a": identifiers(F.col(text_col), sentences, END_LINES), "_b": identifiers(F.col(text_col), sentences, END_BLANKS)})
-    found = [F.struct(F.lit(lic).alias("k"), F.greatest(*[sum((count_rule(F.col(c), [number[x] for x in r]) for r in rs), F.lit(0)) for c in ("_a", "_b")]).alias("v")) for lic, rs in rules.items()]
-    some = F.when((F.size("_a") > 0) | (F.size("_b") > 0), F.map_from_entries(F.filter(F.array(*found), lambda x: x["v"] > 0))).otherwise(F.create_map().cast("map<string,int>"))
-    return out.withColumns({"n_sentences": F.greatest(F.size("_a"), F.size("_b")), "licenses": some}).drop("_a", "_b")
+    text = F.col(f"`{text_col}`")
+    names = [c for c in docs.columns if c not in ("n_sentences", "licenses")]
+    low = F.lower(F.coalesce(text, F.lit("")))
+    some = reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in anchors(sentences)], F.lit(False))
+    none = F.array().cast("array<int>")
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.when(some, F.array(identifiers(text, sentences, END_LINES), identifiers(text, sentences, END_BLANKS))).otherwise(F.array(none, none)).alias("ids"))
+
+    def matches(lic: str) -> Callable[[Column], Column]:
+        def of(ids: Column) -> Column:
+            parts = []
+            for r in rules[lic]:
+                n = count_rule(ids, [number[x] for x in r])
+                over = [count_rule(ids, [number[x] for x in long]) for long in longer_rules(rules, lic, r)]
+                parts.append(F.greatest(n - sum(over[1:], over[0]), F.lit(0)) if over else n)
+            return sum(parts[1:], parts[0])
+
+        return of
+
+    found = F.array(*[F.struct(F.lit(lic).alias("k"), F.array_max(F.transform("ids", matches(lic))).alias("v")) for lic in rules if rules[lic]])
+    any_ = F.exists("ids", lambda x: F.size(x) > 0)
+    licenses = F.when(any_, F.map_from_entries(F.filter(found, lambda x: x["v"] > 0))).otherwise(F.create_map().cast("map<string,int>"))
+    return boxed.select("row.*", F.array_max(F.transform("ids", lambda x: F.size(x))).alias("n_sentences"), licenses.alias("licenses"))
 
 
 def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -119,12 +200,23 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for report(scan(documents))."""
+    """DuckDB SQL for report(scan(documents)): every text is searched for the sentences, without cutting it into pieces."""
     number = {name: i for i, name in enumerate(SENTENCES, 1)}
-    known = "[" + ", ".join(f"'{normalise(s)}'" for s in SENTENCES.values()) + "]"
-    cut = lambda ends: f"list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(lower(coalesce(text, '')), '{ends}', chr(1), 'g'), '[^a-z0-9\\x01]+', ' ', 'g'), chr(1)), lambda s: coalesce(list_position({known}, trim(s)), 0)), lambda i: i > 0)"
-    # RE2 has no look-ahead: a stop is ended by consuming the white space, kept apart by the marks' own line.
-    lines, blanks = cut(r"[.!?;]+(\s|$)|[\r\n]+"), cut(r"[.!?;]+(\s|$)|[\r\n]\s*[\r\n]")
-    one = lambda ids, r: f"list_reduce(list_prepend(0, {ids}), lambda p, h: CASE WHEN h = [{', '.join(str(number[x]) for x in r)}][p % {len(r)} + 1] THEN p + 1 ELSE p END) // {len(r)}"
-    counts = ", ".join(f"{{'k': '{lic}', 'v': greatest({', '.join('+'.join(one(c, r) for r in rs) for c in ('a', 'b'))})}}" for lic, rs in sorted(RULES.items()))
-    return f"WITH s AS (SELECT doc_id, {lines} AS a, {blanks} AS b FROM documents), f AS (SELECT doc_id, greatest(len(a), len(b)) AS n_sentences, list_filter([{counts}], lambda x: x.v > 0) AS m FROM s) SELECT doc_id, n_sentences, len(m) AS n_licenses, array_to_string(list_transform(m, lambda x: x.k || ':' || x.v), ',') AS licenses FROM f"
+    whole = {name: normalise(x) for name, x in SENTENCES.items()}
+    # An end is two marks, so that sentences that follow each other are both found between marks.
+    pieces = {name: "[ \\x01]*\\x01[ \\x01]*".join(x for x in map(normalise, re.split(STOP, SENTENCES[name])) if x) for name in SENTENCES}
+    # Longer ones first: RE2 takes the first alternative that fits.
+    search = "\\x01 ?(" + "|".join(sorted(pieces.values(), key=len, reverse=True)) + ") ?\\x01"
+    names = "[" + ", ".join(f"'{whole[n]}'" for n in SENTENCES) + "]"
+    plain = "trim(regexp_replace(x, '[ \\x01]+', ' ', 'g'))"
+    # RE2 has no look-ahead: a stop takes the white space after it along, which is no part of a sentence.
+    ids = lambda ends: f"list_transform(regexp_extract_all(chr(1) || regexp_replace(regexp_replace(lower(replace(coalesce(text, ''), chr(1), chr(1) || chr(1))), '{ends}', chr(1) || chr(1), 'g'), '[^a-z0-9\\x01]+', ' ', 'g') || chr(1), '{search}'), lambda x: list_position({names}, {plain}))"
+    lines, blanks = ids(r"[.!?;]+(?:\s|$)|[\r\n]+"), ids(r"[.!?;]+(?:\s|$)|[\r\n][\s[:punct:]]*[\r\n]")
+    one = lambda c, r: f"(list_reduce(list_prepend(0, {c}), lambda p, h: CASE WHEN h = [{', '.join(str(number[x]) for x in r)}][p % {len(r)} + 1] THEN p + 1 ELSE p END) // {len(r)})"
+
+    def rule(c: str, lic: str, r: list[str]) -> str:
+        over = longer_rules(RULES, lic, r)
+        return f"greatest({one(c, r)} - ({' + '.join(one(c, x) for x in over)}), 0)" if over else one(c, r)
+
+    counts = ", ".join(f"{{'k': '{lic}', 'v': greatest({', '.join('+'.join(rule(c, lic, r) for r in rs) for c in ('a', 'b'))})}}" for lic, rs in sorted(RULES.items()))
+    return f"WITH s AS MATERIALIZED (SELECT doc_id, {lines} AS a, {blanks} AS b FROM documents), f AS (SELECT doc_id, greatest(len(a), len(b)) AS n_sentences, list_filter([{counts}], lambda x: x.v > 0) AS m FROM s) SELECT doc_id, n_sentences, len(m) AS n_licenses, array_to_string(list_transform(m, lambda x: x.k || ':' || x.v), ',') AS licenses FROM f"

@@ -1,5 +1,7 @@
 import textwrap
 
+import duckdb
+
 from orrery.llm import license_scan as L
 
 NAMED = {
@@ -18,6 +20,19 @@ NAMED = {
 }
 
 
+# The others by each of their rules, as the table has it.
+NAMED |= {name: "\n\n".join(L.SENTENCES[x] + "." for x in rules[0]) for name, rules in L.RULES.items() if name not in NAMED}
+
+
+def test_every_rule_and_sentence_fires(spark):
+    """Each rule's text gives its licence, once, and no other; each sentence of the table is found."""
+    rows = [(f"{name} {i}", name, "\n\n".join(L.SENTENCES[x] + "." for x in rule)) for name, rules in L.RULES.items() for i, rule in enumerate(rules)]
+    rows += [(f"sentence {n}", None, f"before. {x}. after") for n, x in L.SENTENCES.items()]
+    got = L.scan(spark.createDataFrame(rows, "id string, name string, text string")).collect()
+    assert [r["id"] for r in got if r["name"] and r["licenses"] != {r["name"]: 1}] == []
+    assert [r["id"] for r in got if not r["name"] and r["n_sentences"] != 1] == []
+
+
 def test_every_licence_wrapped_and_commented(spark):
     assert set(NAMED) == set(L.RULES)
     rows = []
@@ -25,9 +40,19 @@ def test_every_licence_wrapped_and_commented(spark):
         lines = "\n\n".join(textwrap.fill(x, 70) for x in text.split("\n\n")).split("\n")
         rows += [(name, "plain", "\n".join(lines)), (name, "hash", "\n".join(f"# {x}".rstrip() for x in lines) + "\n\nimport os\n"), (name, "star", "/*\n" + "\n".join(f" * {x}".rstrip() for x in lines) + "\n */\nint x;\n")]
     got = L.scan(spark.createDataFrame(rows, "name string, kind string, text string")).collect()
-    assert [(r["name"], r["kind"]) for r in got if r["licenses"].get(r["name"]) != 1] == []
+    assert [(r["name"], r["kind"]) for r in got if r["licenses"] != {r["name"]: 1}] == []
 
 
 def test_pieces_alone_are_no_sentence(spark):
     rows = [("Version v. 2.0. And 2.0. More",), ("the Mozilla Public License, v. 2.0.",)]
     assert [(r["n_sentences"], r["licenses"]) for r in L.scan(spark.createDataFrame(rows, "text string")).collect()] == [(0, {}), (0, {})]
+
+
+def test_sql_on_the_same_texts(spark, tmp_path):
+    """The SQL finds by search what the operator finds by cutting."""
+    rows = [(i, t) for i, t in enumerate([*NAMED.values(), *["\n".join(f"# {x}".rstrip() for x in t.split("\n")) for t in NAMED.values()], None, "", "A. Released under the MIT License. Released under the MIT License.\nB", "x\x01Released under the MIT License\x01Licensed under CC BY 4.0"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = sorted(con.execute(L.oracle()).fetchall())
+    assert sorted(tuple(r) for r in L.report(L.scan(df)).collect()) == want
