@@ -39,9 +39,24 @@ def unescape(text: Column) -> Column:
     return out
 
 
-def as_events(messages: DataFrame, conv: str = "conv_id", seq: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A table of whole messages as a log."""
-    return messages.select(F.col(conv).alias("conv_id"), F.col(seq).cast("bigint").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("msg_id"), F.col(role).alias("role"), F.col(text).alias("text"))
+#: Where messages without a turn go: before all others of their conversation.
+FIRST, STEPS = -(1 << 40), 8
+
+
+def as_events(messages: DataFrame, conv: str = "conv_id", seq: str = "turn", role: str = "role", text: str = "text", streamed: str = "assistant") -> DataFrame:
+    """A table of whole messages as the log that would have led to them.
+
+    A message of the role ``streamed`` comes in pieces, is given up, and comes again; any other is sent half
+    written and then edited.  Each row is a message of its own: its number only tells it from the others.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    half = F.expr("char_length(t) div 2")
+    event = lambda step, kind, part: F.struct((F.col("at") + step).alias("seq"), F.lit(kind).alias("kind"), part.alias("text"))
+    head, tail = F.substring("t", F.lit(1), half), F.substring("t", half + 1, F.char_length("t"))
+    rows = messages.select(F.col(conv).alias("conv_id"), (F.coalesce(F.col(seq).cast("bigint"), F.lit(FIRST)) * STEPS).alias("at"), F.monotonically_increasing_id().cast("string").alias("msg_id"), F.col(role).alias("role"), whole.alias("t"))
+    spoken = F.array(event(0, "message", F.lit("")), event(1, "delta", head), event(2, "regenerate", F.lit("")), event(3, "delta", head), event(4, "delta", tail))
+    typed = F.array(event(0, "message", head), event(1, "edit", F.col("t")))
+    return rows.select("conv_id", "msg_id", "role", F.explode(F.when(F.col("role") == streamed, spoken).otherwise(typed)).alias("e")).select("conv_id", "e.seq", "e.kind", "msg_id", "role", "e.text")
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
@@ -50,7 +65,7 @@ def reconstruct(events: DataFrame) -> DataFrame:
     events: conv_id, seq, kind, msg_id (null: a message of its own), role, text.
     """
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
-    rows = events.select("conv_id", "msg_id", F.when(F.col("msg_id").isNull(), F.col("seq")).alias("_own"), F.struct("seq", order.alias("k"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("e"))
+    rows = events.filter(F.col("kind").isin(*KINDS)).select("conv_id", "msg_id", F.when(F.col("msg_id").isNull(), F.col("seq")).alias("_own"), F.struct("seq", order.alias("k"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("e"))
     logs = rows.groupBy("conv_id", "msg_id", "_own").agg(F.array_sort(F.collect_list("e")).alias("log"))
     # Only what follows the last event that sets the text matters: the text is one join of pieces.
     last = F.aggregate("log", F.struct(F.lit(0).alias("i"), F.lit(1).alias("at")), lambda a, e: F.struct((a["i"] + 1).alias("i"), F.when(e["k"].isin(1, 2, 3), a["i"] + 1).otherwise(a["at"]).alias("at")))["at"]

@@ -24,9 +24,10 @@ def op2_decontaminate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, d: str) -> DataFrame:
-    events = chat_format.as_events(_read(spark, d, "conversations"))
+    messages = _read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat_format.PLANTED).alias("text"))
-    return chat_format.digest(chat_format.render(chat_format.reconstruct(events.unionByName(chat_format.as_events(planted)))))
+    events = chat_format.as_events(messages.unionByName(planted))
+    return chat_format.digest(chat_format.render(chat_format.reconstruct(events)))
 
 
 def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:

@@ -126,6 +126,17 @@ def test_round_trip(spark):
     assert formatted(spark, []).count() == 0
 
 
+def test_whole_messages_through_the_fold(spark):
+    """A table of messages, told as streamed, given up, typed and edited events, gives its texts back."""
+    rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(NASTY)] + [(2, 0, None, None), (2, 0, "assistant", "abc"), (2, 0, "assistant", "abc"), (2, None, "assistant", "x"), (None, 0, "user", "q")]
+    events = chat_format.as_events(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").withColumn("kind", F.lit("k")).withColumn("at", F.lit(0)))
+    assert {r["kind"] for r in events.select("kind").distinct().collect()} == set(chat_format.KINDS)
+    events = events.unionByName(events.limit(1).withColumn("kind", F.lit("reaction")))
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat_format.reconstruct(events).collect()}
+    assert got[1] == [("assistant" if i % 2 else "user", t) for i, t in enumerate(NASTY)] and got[None] == [("user", "q")]
+    assert got[2] == [("assistant", "x"), ("", ""), ("assistant", "abc"), ("assistant", "abc")]
+
+
 # --- exact dedup --------------------------------------------------------------------------------
 
 COPIES = [(1, "A b", "s"), (2, "a B", "s"), (3, "É", "s"), (4, "é", "s"), (5, None, "s"), (6, "", "s"), (7, "x" * 100_000, "s"), (8, "X" * 100_000, "s"), (9, "one", "s"), (9, "one", "s")]
