@@ -5,9 +5,11 @@ ASCII count as a space), hashed to 2^HASH_BITS slots.  From document counts in b
 gets its smoothed log-count ratio r; the slots with the most significant ratios are kept.  A document's
 value for a slot is r * log(1 + count), and a logistic regression with an L2 penalty is fitted on these.
 
-Training uses a bounded sample of labelled rows: at most ``max_train`` of each class, those of a range of
-hashes of their id, so the fit costs the same at every size; the intercept is then corrected to the
-classes' shares among all labelled rows.  Scoring reads every whole text once, in vectors of bounded
+Training uses a bounded sample of labelled rows: of a class of at most ``max_train`` all, of a larger one those
+of a range of hashes of their id that holds about nine tenths of ``max_train``.  So the fit, on the driver, costs
+the same at every size and holds the whole texts of at most 2 * ``max_train`` rows; the scores are calibrated to
+the classes' shares among all labelled rows.  Of the 2^HASH_BITS slots the MAX_FEATURES most significant are
+features: a choice of the model, like its orders.  Scoring reads every whole text once, in vectors of bounded
 size; the model that goes to the workers has at most MAX_FEATURES weights.
 
 Defined results: null and empty texts get the score of a text without features.  Without labelled rows
@@ -108,26 +110,30 @@ def _values(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.
 def fit(texts: list[str | None], labels: np.ndarray, share: float, **how) -> Model:
     """share: that of label 1 among all labelled rows, to which the scores are calibrated.
 
-    Given enough rows, a model of three quarters of them scores the others, and a logistic curve over
-    those scores becomes the scale and the intercept of the model of all rows.
+    A model without every fourth row of each class (the second of it at least) scores these, and a logistic curve
+    over the scores becomes the scale and the intercept of the model of all rows.  The curve is held to the plain
+    one (scale 1, no shift) the more, the fewer rows of the smaller class it is fitted on.
     """
     y = np.asarray(labels)
     model = _fit(texts, y, share, **how)
-    if min(y.sum(), len(y) - y.sum()) < 60:
+    if not y.sum() or y.all():
         return model
-    test = np.arange(len(y)) % 4 == 3
+    nth = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) - 1
+    test = nth % 4 == 1
     part = _fit([t for t, x in zip(texts, test, strict=True) if not x], y[~test], 0.5, **how)
     row, col, val = _values(rest := [t for t, x in zip(texts, test, strict=True) if x], part.lookup())
     z, t = np.bincount(row, val * part.weights[col], len(rest)) + part.bias, y[test]
-    weigh = np.where(t == 1, share / t.sum(), (1 - share) / (len(t) - t.sum()))
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps, slightly ridged
+    weigh = np.where(t == 1, share / max(t.sum(), 1), (1 - share) / max(len(t) - t.sum(), 1))
+    held = 10 / max(1, min(t.sum(), len(t) - t.sum())) ** 2
+    start = b = float(np.log(share / (1 - share)))  # the plain curve: part's scores are for even shares
+    a = 1.0
+    for _ in range(50):  # Newton steps
         q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
         e, h = weigh * (q - t), weigh * q * (1 - q) + 1e-9
-        g = np.array([(e * z).sum() + 1e-4 * (a - 1), e.sum()])
-        step = np.linalg.solve(np.array([[(h * z * z).sum() + 1e-4, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]]), g)
+        g = np.array([(e * z).sum() + held * (a - 1), e.sum() + held * (b - start)])
+        step = np.linalg.solve(np.array([[(h * z * z).sum() + held, (h * z).sum()], [(h * z).sum(), h.sum() + held]]), g)
         a, b = max(0.05, a - step[0]), b - step[1]
-    even = model.bias - np.log(share / (1 - share))
+    even = model.bias - start
     return Model(model.slots, model.weights * a, float(a * even + b))
 
 
@@ -181,7 +187,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
     """labels: the rows that may be learned from."""
-    marks = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
+    marks = labels.filter(F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("_y"))
     n = {r["_y"]: r["count"] for r in marks.groupBy("_y").count().collect()}
     # A share of the hashes that gives somewhat fewer rows than may be used: no sort, no task that gathers
     # candidates of all others.  The limit is a guard that doesn't bind.
@@ -191,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         share = 1 << 30 if few else int(0.9 * max_train / n[y] * (1 << 30))
         parts.append(marks.filter((F.col("_y") == y) & (F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share)).limit(max_train))
     sample = parts[0].unionByName(parts[1])  # at most 2 * max_train rows, hence the broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.max("_t").alias("_t")).orderBy("_id").select("_y", "_t").toArrow()
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t")).join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.max("_t").alias("_t")).orderBy("_id").select("_y", "_t").toArrow()
     total = sum(n.values())
     return fit(rows.column("_t").to_pylist(), rows.column("_y").to_numpy(), n.get(1, 0) / total if total else 0.0)
 
@@ -200,7 +206,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
     """docs with score (0 to 1, higher: toxic) in place of a column of that name."""
     V.ship(docs.sparkSession)
     keep = [c for c in docs.columns if c != "score"]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -210,11 +216,11 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
 
 def held_out(id_col: str = "doc_id", mod: int = 3):
     """Rows that nothing is learned from: crc32 of the id as text leaves the remainder 1."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod == 1
+    return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % mod == 1
 
 
-def reject(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **how) -> DataFrame:
+def reject(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the toxic ones; learned from the labels that aren't held out."""
-    model = train(docs, labels.filter(~held_out()), **how)
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text"))
+    model = train(docs, labels.filter(~held_out(id_col)), id_col=id_col, text_col=text_col, **how)
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("text"))
     return score(boxed, model).filter(F.col("score") < threshold).select("_row.*")

@@ -129,3 +129,64 @@ def test_toxicity_learns_only_what_it_may(spark):
     plain = toxicity.train(docs, labels.limit(0))
     assert all(r["score"] == pytest.approx(1e-6) for r in toxicity.score(docs, plain).collect())
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def plain_slots(text):
+    """Slot -> count of a text's n-grams, one at a time."""
+    chars = [ord(c) if ord(c) >= 128 or c.isalnum() else 32 for c in f" {(text or '').lower()} "]
+    out = {}
+    for n in toxicity.ORDERS:
+        for i in range(len(chars) - n + 1):
+            h = 0
+            for c in chars[i : i + n]:
+                h = (h * V._BASE + c + 1) % 2**64
+            s = ((h ^ (h >> 31)) * 0xD6E8FEB86659FD93 % 2**64) >> (64 - toxicity.HASH_BITS)
+            out[s] = out.get(s, 0) + 1
+    return out
+
+
+def test_toxicity_against_plain_ngrams(spark, sf_dir):
+    """The features by plain document counts, and every document's score by a plain sum over its n-grams."""
+    docs = {r["doc_id"]: plain_slots(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if remainder(r["doc_id"], 3) != 1}
+    model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~toxicity.held_out()))
+    df = ({}, {})
+    for i, y in labels.items():
+        for s in docs[i]:
+            df[y][s] = df[y].get(s, 0) + 1
+    n = [sum(y == k for y in labels.values()) for k in (0, 1)]
+    strength = {}
+    for s in df[0].keys() | df[1].keys():
+        a, b = df[1].get(s, 0) + 1, df[0].get(s, 0) + 1
+        if a + b - 2 >= 3:
+            strength[s] = abs(math.log(a / (n[1] + 2)) - math.log(b / (n[0] + 2))) / math.sqrt(1 / a + 1 / b)
+    least = min(strength[s] for s in model.slots.tolist())
+    assert len(model.slots) == min(toxicity.MAX_FEATURES, len(strength))
+    assert {s for s, v in strength.items() if v > least + 1e-9} <= set(model.slots.tolist())
+    weight = dict(zip(model.slots.tolist(), model.weights.tolist(), strict=True))
+    got = queries.op4_toxicity(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    for r in got:
+        z = model.bias + sum(weight.get(s, 0.0) * math.log1p(c) for s, c in docs[r["doc_id"]].items())
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-4, abs=1e-9)
+        assert r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == (remainder(r["doc_id"], 3) == 1)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 8, 40, 400])
+def test_calibration_at_every_size(rows):
+    """Few rows or many, scores are ordered and lie around the share; there is no size at which they jump."""
+    rnd = random.Random(rows)
+    made = lambda y: " ".join(rnd.choices(["awful", "hate", "stupid", "idiot"] if y else ["kind", "fine", "gentle", "calm"], k=6) + rnd.choices(["the", "of", "and", "day"], k=10))
+    labels = np.array([0, 1] * rows)
+    model = toxicity.fit([made(y) for y in labels], labels, 0.3)
+    row, col, val = toxicity._values(["awful hate stupid", "kind fine gentle", ""], model.lookup())
+    bad, good, none = 1 / (1 + np.exp(-(np.bincount(row, val * model.weights[col], 3) + model.bias)))
+    assert good <= none <= bad and (rows < 3 or good < 0.3 < bad) and 0 < none < 1
+
+
+def test_reject_with_other_names(spark):
+    rows = [(f"d{i}", ("awful hate stupid idiot " if i % 2 else "kind fine gentle calm ") * 5, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "`my id` string, body string, score int").withColumn("text", F.lit("x")).withColumn("_row", F.lit(1))
+    labels = df.select("my id", (F.col("score") % 2).alias("toxic"))
+    left = toxicity.reject(df, labels, id_col="my id", text_col="body")
+    assert left.columns == df.columns and {r["score"] % 2 for r in left.collect()} == {0} and left.count() == 30
