@@ -6,12 +6,13 @@ occur.  Postings (trigram, document) are kept for the trigrams that occur in que
 document by counting, and the candidates are verified by the regex itself.  A rule without mandatory
 trigrams scans every text.  The index holds lower-cased trigrams, so it only ever admits too much.
 
-Scale: postings and intersections are keyed by document, so no trigram, however common, gathers in a
-task; texts are shuffled once, to meet their candidates.  The rule table is a constant of the code.
+Scale: postings and intersections are narrow rows keyed by document, so no trigram, however common, gathers in
+a task.  The candidates that come of it are written; counted to at most BROADCAST_CANDIDATES they are broadcast and
+no text moves, beyond that the texts are shuffled once to meet them.  The rule table is a constant of the code.
 
 Defined results: null is the empty text, which has no spans.  Spans are code points, end exclusive,
 leftmost and non-overlapping within a kind.  Documents that repeat an id are each verified by their own
-text; a null id is looked up like others.  Other columns are not read.
+text, whichever of them is a candidate; a null id is looked up like others.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.plans.scratch import Scratch
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -51,6 +54,8 @@ MORE = [
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 ]
 RULES = BASE + MORE
+#: Documents that are candidates of any rule, and are broadcast.
+BROADCAST_CANDIDATES = 500_000
 LIMIT = 32  # strings that a part of a regex may expand to
 
 
@@ -157,7 +162,8 @@ def candidates(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str) -
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
     """(id, text, spans): spans is array<struct<start, k, end>>, k the number of the rule, sorted."""
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cand = candidates(rows, rules, id_col, "text")
+    cand = Scratch(docs.sparkSession).keep(candidates(rows, rules, id_col, "text"))
+    cand = F.broadcast(cand) if cand.count() <= BROADCAST_CANDIDATES else cand
     both = rows.join(cand, rows[id_col].eqNullSafe(cand["_id"]), "left")
     found = []
     for i, r in enumerate(rules):
