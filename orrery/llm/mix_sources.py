@@ -11,7 +11,7 @@ in proportion to their weights.  No row is dropped or repeated.
 
 Scale: rows get their number within a source from counts per (source, bucket of the key's hash) and a
 row number within the bucket, so a source with a third of all rows is sorted by as many tasks as it
-has buckets.  The schedule is folded from one row that holds a count per source; it has at most
+has buckets; their number grows with the table, their size doesn't.  The schedule is folded from one row that holds a count per source; it has at most
 2 * sources * (sum of weights) numbers and is refused beyond ``max_sources``, hence its broadcast.
 
 Defined results: a null source is a source of its own, after all others.  Rows are ordered within a
@@ -22,12 +22,14 @@ come as the empty id.  Empty tables give empty results; columns keep their names
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Production weights: blocks a round; sources that are not named get DEFAULT_WEIGHT.
 WEIGHTS = {"src0": 8, "src1": 4, "src2": 4, "src3": 2, "src4": 2}
-DEFAULT_WEIGHT, BLOCK_ROWS, MAX_SOURCES, HASH_DIGITS = 1, 16, 256, 3
+DEFAULT_WEIGHT, BLOCK_ROWS, MAX_SOURCES, BUCKET_ROWS = 1, 16, 256, 4096
 
 _ROUND = "struct<lo:array<bigint>,m:array<bigint>,reps:bigint,slot:bigint,total:bigint>"
 #: One step: whole rounds while every live source can fill its part, else a round of what is left.
@@ -65,7 +67,7 @@ def schedule(counts: DataFrame, weights: dict[str, int], default_weight: int, bl
     return each.select("_s", F.expr("transform(filter(rounds, x -> x.r.m[j] > 0), x -> named_struct('lo', x.r.lo[j], 'm', x.r.m[j], 'reps', x.r.reps, 'slot', x.r.slot, 'total', x.r.total, 'pos', transform(filter(x.o, o -> o.j = j), o -> o.t)))").alias("phases"))
 
 
-def mix(docs: DataFrame, *, weights: dict[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", max_sources: int = MAX_SOURCES, hash_digits: int = HASH_DIGITS) -> DataFrame:
+def mix(docs: DataFrame, *, weights: dict[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", max_sources: int = MAX_SOURCES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs with block (number of its block within its source), slot (of that block in the mix) and mix_pos.
 
     mix_pos orders the rows of the mix; it is slot * block_rows + place in the block, so a source's short
@@ -74,9 +76,11 @@ def mix(docs: DataFrame, *, weights: dict[str, int] = WEIGHTS, default_weight: i
     names = [c for c in docs.columns if c not in ("block", "slot", "mix_pos")]
     last = F.lit("￿")  # after all names, for the null source
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col(source_col), last).alias("_s"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_k"), F.col(id_col).alias("_id"))
-    rows = rows.withColumn("_b", F.substring("_k", 1, hash_digits))
+    # So many digits that a bucket of the hashes has about bucket_rows rows at every size.
+    digits = max(1, ceil(log(max(docs.count(), 1) / bucket_rows, 16)))
+    rows = rows.withColumn("_b", F.substring("_k", 1, digits))
     sizes = rows.groupBy("_s", "_b").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 16 ** hash_digits rows
+    before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket, of about bucket_rows / 16 or more
     offsets = sizes.select("_s", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_o"))
     plan = schedule(sizes.groupBy("_s").agg(F.sum("n").alias("n")), weights, default_weight, block_rows, max_sources)
     numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_k", "_id")))

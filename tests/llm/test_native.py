@@ -89,6 +89,20 @@ def test_mix_whole_table(spark, sf_dir):
     assert got == brute_mix(rows, mix_sources.WEIGHTS, mix_sources.DEFAULT_WEIGHT, mix_sources.BLOCK_ROWS)
 
 
+def test_every_source_is_within_a_block_of_its_share(spark):
+    """Read from the result alone: while all sources have blocks, at each slot |blocks placed - share| < 1."""
+    weights = {"a": 7, "b": 5, "c": 3, "d": 2, "e": 1, "f": 1}
+    rows = [(i, s) for s, w in weights.items() for i in range(w * 40)]
+    got = mix_sources.mix(spark.createDataFrame(rows, "doc_id bigint, source string"), weights=weights, block_rows=2, bucket_rows=16).collect()
+    slots = sorted({(r["slot"], r["source"]) for r in got})
+    total = sum(weights.values())
+    assert [s for s, _ in slots] == list(range(20 * total)) and len(got) == len(rows) == len({r["mix_pos"] for r in got})
+    placed = dict.fromkeys(weights, 0)
+    for t, s in slots:
+        placed[s] += 1
+        assert all(abs(placed[x] - (t + 1) * w / total) < 1 for x, w in weights.items())
+
+
 # --- chat ---------------------------------------------------------------------------------------
 
 LOG = "conv_id bigint, seq bigint, kind string, msg_id string, role string, text string"
