@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 INFINITY = float("inf")
 
 
-def div(a: str, b: str) -> Column:
-    """Integer division of two column expressions given as SQL."""
-    return F.expr(f"({a}) div ({b})")
-
-
 def truncated_mean(total: str, count: str) -> Column:
     """Integer mean that passes through single precision before it is a bigint again."""
     return F.expr(f"CAST(CAST(({total}) div ({count}) AS FLOAT) AS BIGINT)")

@@ -23,21 +23,31 @@ def followers_fold(edges: DataFrame) -> DataFrame:
     return edges.groupBy("dst").agg(F.sum(F.lit(1).cast("bigint")).alias("n"))
 
 
+#: Values that one group of a part holds, about.
+GROUP_ROWS = 100_000
+
+
+def _parts(df: DataFrame, key: str) -> int:
+    """So many parts that the heaviest key's values come to about GROUP_ROWS each."""
+    top = df.groupBy(key).agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    return int(top) // GROUP_ROWS + 1
+
+
 def followers_group(edges: DataFrame) -> DataFrame:
     """In-degree by grouping first and summing each group.
 
-    Groups are gathered per (dst, salt) with the salt taken from src, so that no task holds a hub's
-    whole group; the parts' sums are then added.
+    Groups are gathered per (dst, salt), with as many salts as the heaviest key needs, so that no task holds a
+    hub's whole group; the parts' sums are then added.
     """
-    ones = edges.select("dst", F.pmod(F.xxhash64("src"), F.lit(64)).alias("salt"), F.lit(1).cast("bigint").alias("one"))
+    ones = edges.select("dst", F.pmod(F.xxhash64("src"), F.lit(_parts(edges, "dst"))).alias("salt"), F.lit(1).cast("bigint").alias("one"))
     parts = ones.groupBy("dst", "salt").agg(F.collect_list("one").alias("g"))
     summed = parts.select("dst", F.aggregate("g", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("part"))
     return summed.groupBy("dst").agg(F.sum("part").alias("n"))
 
 
-def aggregate_by_key(df: DataFrame, key: str, value: str, zero: Column, seq: Callable[[Column, Column], Column], comb: Callable[[Column, Column], Column] | None = None, *, out: str = "value", salts: int = 64) -> DataFrame:
+def aggregate_by_key(df: DataFrame, key: str, value: str, zero: Column, seq: Callable[[Column, Column], Column], comb: Callable[[Column, Column], Column] | None = None, *, out: str = "value") -> DataFrame:
     """Generic aggregate-by-key: seq folds values of a salted part, comb merges the parts."""
-    parts = df.groupBy(key, F.pmod(F.xxhash64(value), F.lit(salts)).alias("_salt")).agg(F.sort_array(F.collect_list(value)).alias("_g"))
+    parts = df.groupBy(key, F.pmod(F.xxhash64(value), F.lit(_parts(df, key))).alias("_salt")).agg(F.sort_array(F.collect_list(value)).alias("_g"))
     parts = parts.select(key, F.aggregate("_g", zero, seq).alias("_p"))
     return parts.groupBy(key).agg(F.aggregate(F.collect_list("_p"), zero, comb or seq).alias(out))
 

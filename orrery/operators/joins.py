@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.plans.fixpoint import cut
 from orrery.sources.edges import cap_ids
 
 
@@ -35,20 +36,33 @@ def simple_edges(edges: DataFrame, *, max_id: int | None = None) -> DataFrame:
     return cap_ids(edges, max_id).filter("src <> dst").distinct()
 
 
+def _by_degree(e: DataFrame) -> DataFrame:
+    """(src, dst, up): up if src comes before dst in the order of (degree, id), degree counting both ways."""
+    deg = e.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
+    x = e.join(deg.select(F.col("v").alias("src"), F.col("d").alias("ds")), "src")
+    x = x.join(deg.select(F.col("v").alias("dst"), F.col("d").alias("dd")), "dst")
+    return x.select("src", "dst", ((F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))).alias("up"))
+
+
 def triangle_list(edges: DataFrame, *, max_id: int | None = None, hint: str | None = None) -> DataFrame:
     """Directed 3-cycles a -> b -> c -> a, each once: a is its least vertex.
 
-    The order predicates cut the 2-paths before the closing join.  hint sets the join strategy
-    ('merge', 'shuffle_hash', 'broadcast'); by default Catalyst and AQE choose.
+    Each cycle is found at its vertex of the least (degree, id): there the edge in and the edge out both go to
+    greater vertices, of which even a hub has few, so its two-paths don't multiply; the edge between the other
+    two closes it.  hint sets the strategy of the closing joins ('merge', 'shuffle_hash', 'broadcast'); by
+    default Catalyst and AQE choose.
     """
-    e = simple_edges(edges, max_id=max_id)
-    ab = e.filter("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    bc = e.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    ca = e.filter("src > dst").select(F.col("src").alias("c"), F.col("dst").alias("a"))
+    e = cut(_by_degree(simple_edges(edges, max_id=max_id)))
+    out = e.filter("up").select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    into = e.filter("NOT up").select(F.col("dst").alias("x"), F.col("src").alias("z"))
+    close = e.select(F.col("src").alias("y"), F.col("dst").alias("z"))
     if hint:
-        bc, ca = bc.hint(hint), ca.hint(hint)
-    paths = ab.join(bc, "b").filter("a < c")
-    return paths.join(ca, ["c", "a"]).select("a", "b", "c")
+        into, close = into.hint(hint), close.hint(hint)
+    found = out.join(into, "x").filter("y <> z").join(close, ["y", "z"])
+    # x -> y -> z -> x, turned until the least vertex comes first.
+    a = F.least("x", "y", "z")
+    turned = F.when(a == F.col("x"), F.struct(F.col("x").alias("a"), F.col("y").alias("b"), F.col("z").alias("c"))).when(a == F.col("y"), F.struct(F.col("y").alias("a"), F.col("z").alias("b"), F.col("x").alias("c"))).otherwise(F.struct(F.col("z").alias("a"), F.col("x").alias("b"), F.col("y").alias("c")))
+    return found.select(turned.alias("t")).select("t.a", "t.b", "t.c")
 
 
 def triangle_count(edges: DataFrame, *, max_id: int | None = None, hint: str | None = None) -> DataFrame:
@@ -56,14 +70,14 @@ def triangle_count(edges: DataFrame, *, max_id: int | None = None, hint: str | N
     return triangle_list(edges, max_id=max_id, hint=hint).agg(F.count("*").alias("n"))
 
 
-def triangle_count_replicated(edges: DataFrame, *, max_id: int | None = None, broadcast_rows: int = 2_000_000) -> DataFrame:
+def triangle_count_replicated(edges: DataFrame, side: DataFrame | None = None, *, max_id: int | None = None, broadcast_rows: int = 2_000_000) -> DataFrame:
     """Map-side form: probe edges keep repeats, the replicated side has none; matches div 3.
 
-    The replicated side is broadcast only if its counted size is at most broadcast_rows; beyond, the
-    same joins shuffle.
+    side: the edges that are replicated, read from a file of their own (the probe's if None).  They are broadcast
+    only if their counted size is at most broadcast_rows; beyond, the same joins shuffle.
     """
     probe = _weighted(cap_ids(edges, max_id))
-    side = probe.select("src", "dst")
+    side = probe.select("src", "dst") if side is None else cap_ids(side, max_id).select("src", "dst").distinct()
     small = side.count() <= broadcast_rows
     fit = F.broadcast if small else (lambda df: df)
     ab = probe.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w")

@@ -10,17 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.scalar import nearest, truncated_mean
-from orrery.plans.fixpoint import cut
+from orrery.plans.fixpoint import cut, fixpoint
 
 
 def histogram(points: DataFrame) -> DataFrame:
     return points.groupBy("n").agg(F.count("*").alias("w"))
 
 
-def seeds(points: DataFrame, k: int) -> list[int]:
-    """j * (max div k) for j = 1..k."""
+def seeds(points: DataFrame, k: int, how: str = "even") -> list[int]:
+    """even: j * (max div k) for j = 1..k; powers: 10^j for j = 0..k-1."""
     top = points.agg(F.max("n")).first()[0]
-    return [] if top is None else [j * (int(top) // k) for j in range(1, k + 1)]
+    if top is None:
+        return []
+    return [j * (int(top) // k) for j in range(1, k + 1)] if how == "even" else [10**j for j in range(k)]
 
 
 def kmeans_seeds(points: DataFrame, k: int) -> DataFrame:
@@ -36,22 +38,31 @@ def _means(hist: DataFrame, centres: list[int]) -> DataFrame:
     return assign(hist, centres).groupBy("centroid").agg(truncated_mean("sum(n * w)", "sum(w)").alias("mean"), F.sum("w").alias("size"))
 
 
-def fit(points: DataFrame, k: int, max_iter: int = 10) -> tuple[list[int], list[int], int]:
-    """Centroids before and after the last pass, and the passes; an empty cluster disappears."""
+def _fit(points: DataFrame, k: int, max_iter: int, start: list[int] | None) -> tuple[DataFrame, list[int], list[tuple[int, int]], int]:
+    """The written histogram, the centroids before the last pass, (centroid, size) after it, and the passes."""
     hist = cut(histogram(points))
-    old = centres = seeds(hist, k)
-    for i in range(1, max_iter + 1):
-        rows = _means(hist, centres).orderBy("centroid").collect()  # at most k rows
-        old, centres = centres, [r["mean"] for r in rows]
-        if centres == old:
-            return old, centres, i
-    return old, centres, max_iter
 
+    def move(state: tuple[list[int], list[tuple[int, int]]], _: int) -> tuple[tuple[list[int], list[tuple[int, int]]], bool]:
+        _, last = state
+        old = [m for m, _ in last]
+        rows = [(r["mean"], r["size"]) for r in _means(hist, old).orderBy("centroid").collect()]  # at most k rows
+        return (old, rows), [m for m, _ in rows] == old
 
-def kmeans_centroids(points: DataFrame, k: int, max_iter: int = 10) -> DataFrame:
+    first = seeds(hist, k) if start is None else sorted(start)
+    (old, rows), i = fixpoint((first, [(c, 0) for c in first]), move, max_iter)
+    return hist, old, rows, i
+
+
+def fit(points: DataFrame, k: int, max_iter: int = 10, start: list[int] | None = None) -> tuple[list[int], list[int], int]:
+    """Centroids before and after the last pass, and the passes; an empty cluster disappears.  start: the first centroids."""
+    _, old, rows, i = _fit(points, k, max_iter, start)
+    return old, [m for m, _ in rows], i
+
+
+def kmeans_centroids(points: DataFrame, k: int, max_iter: int = 10, start: list[int] | None = None) -> DataFrame:
     """(centroid, size) after the last pass."""
-    old, _, _ = fit(points, k, max_iter)
-    return _means(histogram(points), old).select(F.col("mean").alias("centroid"), "size")
+    _, _, rows, _ = _fit(points, k, max_iter, start)
+    return points.sparkSession.createDataFrame(rows, "centroid bigint, size bigint")
 
 
 def kmeans_assign(points: DataFrame, k: int, max_iter: int = 10) -> DataFrame:
@@ -61,8 +72,6 @@ def kmeans_assign(points: DataFrame, k: int, max_iter: int = 10) -> DataFrame:
 
 def kmeans_sse(points: DataFrame, k: int, max_iter: int = 10) -> DataFrame:
     """Sum of squared errors of the last pass around its new means; one row."""
-    old, _, _ = fit(points, k, max_iter)
-    hist = histogram(points)
-    means = _means(hist, old)
-    err = assign(hist, old).join(F.broadcast(means), "centroid")  # at most k rows
+    hist, old, _, _ = _fit(points, k, max_iter, None)
+    err = assign(hist, old).join(F.broadcast(_means(hist, old)), "centroid")  # at most k rows
     return err.agg(F.coalesce(F.sum((F.col("n") - F.col("mean")) * (F.col("n") - F.col("mean")) * F.col("w")), F.lit(0)).cast("bigint").alias("sse"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.plans.fixpoint import cut
+from orrery.plans.fixpoint import cut, fixpoint
 from orrery.sources.edges import vertices
 from orrery.sources.generators import chain_graph, chain_ranks
 
@@ -14,19 +14,27 @@ def _contributions(weighted: DataFrame, ranks: DataFrame) -> DataFrame:
     return weighted.join(ranks, weighted["src"] == ranks["vertex"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("s"))
 
 
+def _placed(graph: DataFrame) -> DataFrame:
+    """The static graph dealt out by src once and written: no pass moves it again, only the ranks."""
+    n = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(graph.repartition(n, "src"))
+
+
 def chain_passes(spark: SparkSession, k: int, iterations: int = 10) -> tuple[DataFrame, list[float]]:
     """Ranks of chain_graph(k) after the passes, and the dangling mass of each pass."""
     n = k * k
-    graph = cut(chain_graph(spark, k).withColumn("share", F.lit(1.0)))
-    ranks, masses = chain_ranks(spark, k), []
-    for _ in range(iterations):
+    graph = _placed(chain_graph(spark, k).withColumn("share", F.lit(1.0)))
+
+    def spread(state: tuple[DataFrame, list[float]], _: int) -> tuple[tuple[DataFrame, list[float]], bool]:
+        ranks, masses = state
         got = cut(_contributions(graph, ranks))
-        row = got.filter("dst = 0").agg(F.sum("s")).first()
-        masses.append(float(row[0] or 0.0))
+        mass = float(got.filter("dst = 0").agg(F.sum("s")).first()[0] or 0.0)
         # The vertices come from a range: ranks is mentioned once a pass, so plans don't double.
         base = spark.range(0, n + 1).select(F.col("id").alias("vertex"))
-        ranks = base.join(got, base["vertex"] == got["dst"], "left").select("vertex", F.when(F.col("vertex") == 0, F.lit(0.0)).otherwise(F.coalesce("s", F.lit(0.0)) + F.lit(masses[-1] / n)).alias("rank"))
-    return ranks, masses
+        ranks = base.join(got, base["vertex"] == got["dst"], "left").select("vertex", F.when(F.col("vertex") == 0, F.lit(0.0)).otherwise(F.coalesce("s", F.lit(0.0)) + F.lit(mass / n)).alias("rank"))
+        return (ranks, [*masses, mass]), False
+
+    return fixpoint((chain_ranks(spark, k), []), spread, iterations)[0]
 
 
 def pagerank_chain(spark: SparkSession, k: int, iterations: int = 10) -> DataFrame:
@@ -62,16 +70,18 @@ def pagerank(edges: DataFrame, *, iterations: int = 10, damping: float = 1.0) ->
     """
     w = edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
     deg = w.groupBy("src").agg(F.sum("w").alias("d"))
-    graph = cut(w.join(deg, "src").select("src", "dst", (F.col("w") / F.col("d")).alias("share")))
+    graph = _placed(w.join(deg, "src").select("src", "dst", (F.col("w") / F.col("d")).alias("share")))
     all_v = cut(vertices(graph).join(deg.select(F.col("src").alias("vertex"), F.lit(True).alias("out")), "vertex", "left"))
     n = all_v.count()
     if n == 0:
         return all_v.select("vertex", F.lit(0.0).alias("rank"))
-    ranks = all_v.select("vertex", "out", F.lit(1.0 / n).alias("rank"))
-    for _ in range(iterations):
+
+    def spread(ranks: DataFrame, _: int) -> tuple[DataFrame, bool]:
         ranks = cut(ranks)
         lost = float(ranks.filter("out IS NULL").agg(F.sum("rank")).first()[0] or 0.0)
         got = _contributions(graph, ranks.select("vertex", "rank"))
         base = (1.0 - damping) / n + damping * lost / n
-        ranks = all_v.join(got, all_v["vertex"] == got["dst"], "left").select("vertex", "out", (F.lit(base) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("rank"))
-    return ranks.select("vertex", "rank")
+        new = all_v.join(got, all_v["vertex"] == got["dst"], "left").select("vertex", "out", (F.lit(base) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("rank"))
+        return new, False
+
+    return fixpoint(all_v.select("vertex", "out", F.lit(1.0 / n).alias("rank")), spread, iterations)[0].select("vertex", "rank")

@@ -6,37 +6,57 @@ vertex is final when first reached.  So a pass costs the frontier's edges, not t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.plans.fixpoint import cut
+from orrery.functions.scalar import INFINITY
+from orrery.plans.fixpoint import fixpoint
+from orrery.plans.scratch import Scratch
 from orrery.sources.edges import vertices
 
 SEP = ","
+#: Levels whose files are merged into one.
+MERGE = 8
 
 
 def _reach(edges: DataFrame, source, max_iter: int) -> tuple[DataFrame, DataFrame]:
+    """(vertex, dist, path) of all that is reached, and the steps.
+
+    Each level is written once; what was seen is the union of the levels, merged every MERGE levels, so a pass
+    writes its frontier and no more.
+    """
     kind = edges.schema["src"].dataType
-    steps = cut(edges.filter("src <> dst").distinct())
-    seen = cut(edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("vertex"), F.lit(0).cast("bigint").alias("dist"), F.lit(str(source)).alias("path")))
-    front = seen
-    for i in range(1, max_iter + 1):
+    scratch = Scratch(edges.sparkSession)
+    steps = scratch.keep(edges.filter("src <> dst").distinct())
+    start = scratch.keep(edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("vertex"), F.lit(0).cast("bigint").alias("dist"), F.lit(str(source)).alias("path")))
+
+    def expand(levels: list[DataFrame], i: int) -> tuple[list[DataFrame], bool]:
+        front, seen = levels[-1], reduce(DataFrame.unionByName, levels)
         # The path is the list of predecessors, nearest first, down to the source.
         to = F.when(F.col("dist") == 0, F.lit(str(source))).otherwise(F.concat_ws(SEP, F.col("vertex").cast("string"), F.col("path")))
         cand = front.join(steps, front["vertex"] == steps["src"]).select(F.col("dst").alias("vertex"), to.alias("path"))
         cand = cand.groupBy("vertex").agg(F.min("path").alias("path"))
-        new = cut(cand.join(seen.select("vertex"), "vertex", "left_anti").select("vertex", F.lit(i).cast("bigint").alias("dist"), "path"))
+        new = scratch.keep(cand.join(seen.select("vertex"), "vertex", "left_anti").select("vertex", F.lit(i).cast("bigint").alias("dist"), "path"))
         if new.isEmpty():
-            break
-        seen, front = cut(seen.unionByName(new)), new
-    return seen, steps
+            scratch.drop(new)
+            return levels, True
+        if len(levels) > MERGE:
+            whole = scratch.keep(seen)
+            scratch.drop(*levels)
+            levels = [whole]
+        return [*levels, new], False
+
+    levels, _ = fixpoint([start], expand, max_iter, must_settle=True)
+    return reduce(DataFrame.unionByName, levels), steps
 
 
 def sssp_distance(edges: DataFrame, source, *, unreachable: str = "inf", max_iter: int = 1_000_000) -> DataFrame:
     """(vertex, distance double) of every endpoint and the source; unreachable: 'inf' or 'null'."""
     seen, _ = _reach(edges, source, max_iter)
     every = vertices(edges).union(seen.filter("dist = 0").select("vertex")).distinct()
-    far = F.lit(float("inf")) if unreachable == "inf" else F.lit(None).cast("double")
+    far = F.lit(INFINITY) if unreachable == "inf" else F.lit(None).cast("double")
     return every.join(seen, "vertex", "left").select("vertex", F.coalesce(F.col("dist").cast("double"), far).alias("distance"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,12 +29,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], done: Callable[[DataFrame, DataFrame, int], bool], max_iter: int) -> tuple[DataFrame, int]:
-    """Apply step until done(old, new, pass) or max_iter passes; returns the state and the passes."""
-    state = cut(state)
+T = TypeVar("T")
+
+
+def fixpoint(state: T, step: Callable[[T, int], tuple[T, bool]], max_iter: int, *, must_settle: bool = False) -> tuple[T, int]:
+    """Apply step (state and pass -> state and whether it is the last) up to max_iter times; the state and the passes.
+
+    must_settle: raise rather than return a state that step has not called the last.
+    """
     for i in range(1, max_iter + 1):
-        new = cut(step(state, i))
-        old, state = state, new
-        if done(old, new, i):
+        state, done = step(state, i)
+        if done:
             return state, i
+    if must_settle:
+        raise RuntimeError(f"not settled in {max_iter} passes")
     return state, max_iter

@@ -20,19 +20,25 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self._spark = spark
         self._home = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+        self._made = 0
         self._paths: dict[int, tuple[DataFrame, str]] = {}
 
     def _path(self, name: str):
         path = self._spark._jvm.org.apache.hadoop.fs.Path(name)
         return path, path.getFileSystem(self._spark._jsc.hadoopConfiguration())
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """df, computed and written; what it was made of is no longer needed."""
-        if not self._paths:
+    def folder(self) -> str:
+        """A new name for a file or a folder, which goes when the driver's JVM ends."""
+        if not self._made:
             path, fs = self._path(self._home)
             fs.mkdirs(path)
             fs.deleteOnExit(path)
-        name = f"{self._home}/{len(self._paths)}"
+        self._made += 1
+        return f"{self._home}/{self._made}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, computed and written; what it was made of is no longer needed."""
+        name = self.folder()
         df.write.option("compression", "zstd").parquet(name)
         out = self._spark.read.schema(df.schema).parquet(name)
         self._paths[id(out)] = (out, name)

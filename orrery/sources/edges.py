@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.plans.scratch import Scratch
+
+#: The separator that stands for any run of white space.
+WHITESPACE = " \t"
 EDGE_SCHEMA = T.StructType([T.StructField("src", T.StringType()), T.StructField("dst", T.StringType())])
 
 
@@ -24,15 +28,18 @@ def _checked(edges: DataFrame, drop_malformed: bool) -> DataFrame:
 
 
 def read_edges(spark: SparkSession, path: str, *, sep: str = ",", drop_malformed: bool = False) -> DataFrame:
-    """Edge list from text.  A line without a second field raises, or goes if drop_malformed."""
+    """Edge list from text.  A line without a second field raises, or goes if drop_malformed.
+
+    Quotes are characters like others, as in a plain split by the separator.
+    """
     # enforceSchema keeps the first two fields whatever the width of the line.
-    raw = spark.read.schema(EDGE_SCHEMA).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
+    raw = spark.read.schema(EDGE_SCHEMA).option("sep", sep).option("quote", "").option("mode", "PERMISSIVE").csv(path)
     return _checked(raw, drop_malformed)
 
 
 def parse_edges(lines: DataFrame, *, drop_malformed: bool = False, sep: str = ",") -> DataFrame:
-    """Edge list from a DataFrame of text lines in column ``value``."""
-    part = F.split("value", sep)
+    """Edge list from a DataFrame of text lines in column ``value``; sep is a literal string, or WHITESPACE."""
+    part = F.split("value", r"\s+" if sep == WHITESPACE else rf"\Q{sep}\E")
     return _checked(lines.select(F.get(part, 0).alias("src"), F.get(part, 1).alias("dst")), drop_malformed)
 
 
@@ -62,18 +69,19 @@ def cust_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as edges user -> user of the next event.
+    """events as edges user -> user of the next event, in the order of ts and event_id.
 
-    The successor over the whole stream is found per day: within a day by lead(), and
-    across days through the first event of the next day that has any, so no task sorts the stream.
+    The events are dealt out by ranges of that order, so a range is a task's worth whatever a day holds;
+    the last event of a range meets the first of the next one that has any, one row a range.
     """
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id", "user_id")
-    ev = ev.withColumn("b", F.to_date("ts"))
+    # Written, so that the ranges are the same for both uses below.
+    ev = Scratch(spark).keep(ev.repartitionByRange("ts", "event_id").withColumn("b", F.spark_partition_id()))
     inner = ev.withColumn("nxt", F.lead("user_id").over(Window.partitionBy("b").orderBy("ts", "event_id")))
+    inner = inner.withColumn("last", F.lead("event_id").over(Window.partitionBy("b").orderBy("ts", "event_id")).isNull())
     firsts = ev.groupBy("b").agg(F.min(F.struct("ts", "event_id", "user_id")).alias("f"))
-    # One row a day: the window over all days is as small as the calendar.
     heads = firsts.select("b", F.lead("f.user_id").over(Window.partitionBy(F.lit(0)).orderBy("b")).alias("head"))
-    out = inner.join(heads, "b").select("user_id", F.coalesce("nxt", "head").alias("n"))
+    out = inner.join(heads, "b").select("user_id", F.when(F.col("last"), F.col("head")).otherwise(F.col("nxt")).alias("n"))
     return edges_of(out, "user_id", "n")
 
 

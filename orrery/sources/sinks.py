@@ -19,3 +19,13 @@ def write_tuples(df: DataFrame, path: str, *, mode: str = "errorifexists") -> No
 
 def write_parquet(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     df.write.mode(mode).parquet(path)
+
+
+def preview(df: DataFrame, rows: int = 20) -> list[str]:
+    """The first rows as text lines, for a console."""
+    return ["(" + ",".join("" if x is None else str(x) for x in r) + ")" for r in df.take(rows)]
+
+
+def lineage(df: DataFrame) -> str:
+    """The plan that df stands for."""
+    return df._jdf.queryExecution().toString()
