@@ -50,7 +50,7 @@ from orrery.plans.scratch import Scratch
 
 K, MINIMA, TABLES, SIMILARITY = 5, 4, 24, 0.8
 #: One row in so many has its k-mers counted; the bits of the table of counts.
-COUNTED, COUNT_BITS = 32, 22
+COUNTED, COUNT_BITS = 16, 22
 #: Nodes that are broadcast (a long key and two short columns) to find their texts; more are joined.
 BROADCAST_NODES = 500_000
 #: Pairs of one leader that one task aligns.
@@ -210,8 +210,10 @@ def _across(scratch: Scratch, nodes: DataFrame, roots: DataFrame, least: float)
     may = (F.least("nx", "ny") >= least * F.greatest("nx", "ny")) & (F.least("ix", "iy") + rest >= need)
     pairs = x.join(y, "h").filter((F.col("nidx") < F.col("nidy")) & (F.col("rootx") != F.col("rooty")) & may)
     pairs = pairs.groupBy(F.col("nidx").alias("a"), F.col("nidy").alias("b"), "nx", "ny").agg(F.count("*").alias("c"), F.max("ix").alias("ix"), F.max("iy").alias("iy"))
-    # All that they share up to the last one is counted.
-    out = scratch.keep(pairs.filter(F.col("c") - 1 + rest >= need).select("a", "b"))
+    # All that they share up to the last one is counted, and all that is shared of the list that ends first; so
+    # beyond that, they share at most what this text has outside its list.
+    outside = F.greatest(*[F.ceil(least * F.col(n) - 1e-9) - 1 for n in ("nx", "ny")])
+    out = scratch.keep(pairs.filter((F.col("c") - 1 + rest >= need) & (F.col("c") + outside >= need)).select("a", "b"))
     scratch.drop(of)
     return out
 
@@ -236,7 +238,8 @@ def _texts(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, part:
     wanted = F.broadcast(part) if part.count() <= BROADCAST_NODES else part
     text = F.col(f"`{text_col}`")
     found = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row"), text.alias("text")).join(wanted, "row")
-    found = found.select("nid", "sig", plain_words(F.col("text")).alias("norm")).filter(F.unhex(F.md5("norm")) == F.col("sig"))
+    # A null-safe test: of a plain one Catalyst would infer that the words aren't null, and make all texts' words.
+    found = found.select("nid", "sig", plain_words(F.col("text")).alias("norm")).filter(F.unhex(F.md5("norm")).eqNullSafe(F.col("sig")))
     out = scratch.keep(found.groupBy("nid").agg(F.max("norm").alias("norm")))
     scratch.drop(part)
     return out
