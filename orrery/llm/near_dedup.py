@@ -238,9 +238,9 @@ def _texts(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, part:
     wanted = F.broadcast(part) if part.count() <= BROADCAST_NODES else part
     text = F.col(f"`{text_col}`")
     found = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row"), text.alias("text")).join(wanted, "row")
-    # A null-safe test: of a plain one Catalyst would infer that the words aren't null, and make all texts' words.
-    found = found.select("nid", "sig", plain_words(F.col("text")).alias("norm")).filter(F.unhex(F.md5("norm")).eqNullSafe(F.col("sig")))
-    out = scratch.keep(found.groupBy("nid").agg(F.max("norm").alias("norm")))
+    found = found.select("nid", "sig", plain_words(F.col("text")).alias("norm"))
+    # Row keys may collide; the words must be the node's.  (A filter would be moved below and make the words twice.)
+    out = scratch.keep(found.groupBy("nid").agg(F.max(F.when(F.unhex(F.md5("norm")).eqNullSafe(F.col("sig")), F.col("norm"))).alias("norm")))
     scratch.drop(part)
     return out
 
