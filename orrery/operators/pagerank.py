@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.plans.fixpoint import cut, fixpoint
+from orrery.plans.scratch import Scratch
 from orrery.sources.edges import vertices
 from orrery.sources.generators import chain_graph, chain_ranks
 
@@ -23,18 +24,21 @@ def _placed(graph: DataFrame) -> DataFrame:
 def chain_passes(spark: SparkSession, k: int, iterations: int = 10) -> tuple[DataFrame, list[float]]:
     """Ranks of chain_graph(k) after the passes, and the dangling mass of each pass."""
     n = k * k
-    graph = _placed(chain_graph(spark, k).withColumn("share", F.lit(1.0)))
+    graph, scratch = _placed(chain_graph(spark, k).withColumn("share", F.lit(1.0))), Scratch(spark)
 
-    def spread(state: tuple[DataFrame, list[float]], _: int) -> tuple[tuple[DataFrame, list[float]], bool]:
-        ranks, masses = state
-        got = cut(_contributions(graph, ranks))
+    def spread(state: tuple[DataFrame, DataFrame | None, list[float]], _: int) -> tuple[tuple[DataFrame, DataFrame, list[float]], bool]:
+        ranks, before, masses = state
+        got = scratch.keep(_contributions(graph, ranks))
+        if before is not None:
+            scratch.drop(before)
         mass = float(got.filter("dst = 0").agg(F.sum("s")).first()[0] or 0.0)
         # The vertices come from a range: ranks is mentioned once a pass, so plans don't double.
         base = spark.range(0, n + 1).select(F.col("id").alias("vertex"))
         ranks = base.join(got, base["vertex"] == got["dst"], "left").select("vertex", F.when(F.col("vertex") == 0, F.lit(0.0)).otherwise(F.coalesce("s", F.lit(0.0)) + F.lit(mass / n)).alias("rank"))
-        return (ranks, [*masses, mass]), False
+        return (ranks, got, [*masses, mass]), False
 
-    return fixpoint((chain_ranks(spark, k), []), spread, iterations)[0]
+    ranks, _, masses = fixpoint((chain_ranks(spark, k), None, []), spread, iterations)[0]
+    return ranks, masses
 
 
 def pagerank_chain(spark: SparkSession, k: int, iterations: int = 10) -> DataFrame:
@@ -76,12 +80,18 @@ def pagerank(edges: DataFrame, *, iterations: int = 10, damping: float = 1.0) ->
     if n == 0:
         return all_v.select("vertex", F.lit(0.0).alias("rank"))
 
-    def spread(ranks: DataFrame, _: int) -> tuple[DataFrame, bool]:
-        ranks = cut(ranks)
+    scratch = Scratch(edges.sparkSession)
+
+    def spread(state: tuple[DataFrame, DataFrame | None], _: int) -> tuple[tuple[DataFrame, DataFrame], bool]:
+        made, before = state
+        ranks = scratch.keep(made)
+        if before is not None:
+            scratch.drop(before)
         lost = float(ranks.filter("out IS NULL").agg(F.sum("rank")).first()[0] or 0.0)
         got = _contributions(graph, ranks.select("vertex", "rank"))
         base = (1.0 - damping) / n + damping * lost / n
         new = all_v.join(got, all_v["vertex"] == got["dst"], "left").select("vertex", "out", (F.lit(base) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("rank"))
-        return new, False
+        return (new, ranks), False
 
-    return fixpoint(all_v.select("vertex", "out", F.lit(1.0 / n).alias("rank")), spread, iterations)[0].select("vertex", "rank")
+    first = all_v.select("vertex", "out", F.lit(1.0 / n).alias("rank"))
+    return fixpoint((first, None), spread, iterations)[0][0].select("vertex", "rank")
