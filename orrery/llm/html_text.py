@@ -478,8 +478,10 @@ def extract(pages: DataFrame, *, html_col: str = "html", out_col: str = "main_te
 
     spark = pages.sparkSession
     V.ship(spark)
-    rows = pages.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in pages.columns if c not in (html_col, out_col)]).alias("row"), F.col(html_col).alias("html"))
+    kept = [c for c in pages.columns if c not in (html_col, out_col)]
+    spare = "_" * (max(map(len, pages.columns), default=0) + 1)  # a struct has a field at least, and no name twice
+    rows = pages.select(F.struct(F.lit(0).alias(spare), *[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{html_col}`").alias("html"))
     shared = spark.sparkContext.broadcast(labeller or train())
     schema = StructType([rows.schema["row"], StructField("main_text", StringType())])
     got = rows.mapInArrow(lambda it: _extract(it, shared.value), schema)
-    return got.select("row.*", F.col("main_text").alias(out_col)).drop("_") if "_" not in pages.columns else got.select(*[F.col(f"row.`{c}`") for c in pages.columns if c not in (html_col, out_col)], F.col("main_text").alias(out_col))
+    return got.select(*[F.col(f"row.`{c}`") for c in kept], F.col("main_text").alias(out_col))

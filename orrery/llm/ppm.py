@@ -18,8 +18,10 @@ it lies depends on its size.  The most frequent contexts, whose entries are coun
 ``max_entries``, are broadcast (a suffix is at least as frequent, so they form a trie).  A gram whose context
 is not among them meets the rest by a shuffle on its shortest context that isn't broadcast (in buckets by its
 hash, packed): all training grams that end in this context are there, fewer than the least frequent broadcast
-context has, so a group is bounded, and the levels below are broadcast.  Each document sends its distinct ones once.  Words are dealt
-with likewise: at most the COMMON most frequent ones are broadcast, all others joined on 64-bit hashes.
+context has, and the levels below are broadcast.  That frequency, and so the largest group, grows with the corpus once
+the broadcast is full.  Each document sends its distinct ones once.  Words are dealt with likewise: at most the COMMON
+most frequent ones are broadcast, all others joined.  Words are counted by 64-bit hashes, which aren't compared: two of
+n different words share one with a probability of about n^2 / 2^65.
 
 Defined results: null is the empty text: its only token and symbol is the end.  Texts may hold zero bytes;
 they are coded as symbol 0, like the end.  Without training rows every symbol has 1/256.  Repeated rows
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import vectors as V
 from orrery.llm.toxicity import held_out
-from orrery.plans.fixpoint import cut
+from orrery.plans.scratch import Scratch
 
 ORDER, MAX_ENTRIES, COMMON, SYMBOLS = 5, 4_000_000, 65_536, 256
 MERGE, BUCKET, RUN = 2_000_000, 200_000, 1 << 17
@@ -233,7 +235,7 @@ def count(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return part.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def load(counts: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> tuple[Trie, int]:
+def load(counts: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES, scratch: Scratch | None = None) -> tuple[Trie, int]:
     """The trie of the most frequent contexts on the driver (order 6 at most, by the width of the keys), and how many entries it lacks.
 
     A context comes with all its symbols.  Contexts are taken by classes of frequency (16 a doubling), of which
@@ -243,7 +245,8 @@ def load(counts: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES)
     rows = counts.filter(F.col("kind") == GRAM).select(each.alias("x"), "n").groupBy("x.k", "x.key").agg(F.sum("n").alias("n"))
     # A context has at most 256 symbols, so is what is gathered here.
     ctx = rows.groupBy("k", F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("key", "n")).alias("e"))
-    ctx = cut(ctx.withColumn("band", F.when(F.col("k") == 0, 1 << 30).otherwise(F.floor(F.log2("total") * 16)).cast("int")))
+    scratch = scratch or Scratch(counts.sparkSession)
+    ctx = scratch.keep(ctx.withColumn("band", F.when(F.col("k") == 0, 1 << 30).otherwise(F.floor(F.log2("total") * 16)).cast("int")))
     sizes = {r["band"]: r["n"] for r in ctx.groupBy("band").agg(F.sum(F.size("e")).alias("n")).collect()}
     first, held = 1 << 30, 0
     for band in sorted(sizes, reverse=True):
@@ -251,6 +254,7 @@ def load(counts: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES)
             break
         first, held = band, held + sizes[band]
     t = ctx.filter(F.col("band") >= first).select("k", F.explode("e").alias("x")).select("k", "x.key", "x.n").toArrow()
+    scratch.drop(ctx)
     k, key, n = (t.column(c).to_numpy() for c in ("k", "key", "n"))
     return assemble([_merge(key[k == i], n[k == i]) for i in range(order + 1)]), sum(sizes.values()) - held
 
@@ -406,8 +410,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     """
     spark = docs.sparkSession
     out = held_out(id_col, 5)
-    counts = cut(count(docs.filter(~out).select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), order))
-    trie, rare = load(counts, order, max_entries)
+    scratch = Scratch(spark)
+    counts = scratch.keep(count(docs.filter(~out).select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), order))
+    trie, rare = load(counts, order, max_entries, scratch)
     words = counts.filter(F.col("kind") == WORD).select("key", "n")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = int(sums[0]), int(sums[1])
@@ -427,9 +432,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     ends = words.filter(F.col("key") == end).first()
     shared = spark.sparkContext.broadcast((trie, not rare, (keys, logs)))
     name = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), out.alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), out.alias("held_out"), F.col(f"`{text_col}`").alias("text"))
     got = rows.mapInArrow(lambda it: _score(it, *shared.value), f"id {name}, held_out boolean, {SCORED}")
-    got = cut(got.withColumn("rid", F.monotonically_increasing_id()))  # fixed once it is written
+    got = scratch.keep(got.withColumn("rid", F.monotonically_increasing_id()))  # fixed once it is written
     tail = got.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("rid", F.col("x.rest").alias("key"), F.col("x.times").alias("m"))
     seen = words.filter(F.col("band") < first).select("key", "n")
     found = tail.join(seen, "key", "left").select("rid", F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0).alias("k2"), (F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("b2"), F.lit(0.0).alias("s2"))
