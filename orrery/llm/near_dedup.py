@@ -22,8 +22,9 @@ with many pairs is dealt to as many tasks as it has runs of SPLIT pairs.
 What sketches and leaders miss is found by an exact pass.  Two texts that reach the threshold share a k-mer
 among the first n - ceil(0.8 n) + 1 of each in any fixed order of k-mers.  The order is by rough frequency
 (from a fixed share of the rows; it only saves work, no result depends on it), and then by hash.  Buckets of
-such k-mers whose members are all of one component are dropped by a window; of the others all pairs of
-different components that can still reach the threshold, by their sizes and the k-mers seen so far, are
+such k-mers whose members are all of one component are dropped by a window; in the others the members outside the
+largest component meet all of other components that can still reach the threshold, by their sizes and the
+number of k-mers left from the shared one on.  Pairs whose whole lists then share too little go, and the rest are
 aligned.  So no link between two components is lost, and many variants of one text cost no pairs.  The pairs
 grow with the square only of texts of different components that share their rarest k-mers.
 Classes are the connected components, by minimum labels with pointer jumping.  Each phase's tables are
@@ -198,23 +199,28 @@ def _checked(scratch: Scratch, pairs: DataFrame, texts: DataFrame, k: int, least
 
 def _across(scratch: Scratch, nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(a, b) of all nodes of different components that may reach least: nodes (nid, n, rare), roots (node, root)."""
-    of = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("nid", "n", F.coalesce("root", "nid").alias("root"), F.posexplode("rare").alias("i", "h"))
+    named = roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root")
+    of = nodes.join(named, nodes["nid"] == named["node"], "left").select("nid", "n", F.coalesce("root", "nid").alias("root"), F.coalesce("size", F.lit(1)).alias("size"), F.posexplode("rare").alias("i", "h"))
     # A window rather than an aggregate and a join: the rows are dealt out once.
     same = Window.partitionBy("h")
-    of = scratch.keep(of.withColumns({"lo": F.min("root").over(same), "hi": F.max("root").over(same)}).filter("lo <> hi").drop("lo", "hi"))
+    of = of.withColumns({"lo": F.min("root").over(same), "hi": F.max("root").over(same), "big": F.max(F.struct("size", "root")).over(same)})
+    of = scratch.keep(of.filter("lo <> hi").select("nid", "n", "root", "i", "h", (F.col("root") == F.col("big.root")).alias("main")))
     scratch.settle()
-    x, y = (of.select("h", *[F.col(c).alias(c + e) for c in ("nid", "n", "root", "i")]) for e in "xy")
+    x, y = (of.select("h", *[F.col(c).alias(c + e) for c in ("nid", "n", "root", "i", "main")]) for e in "xy")
     need = F.lit(least / (1 + least)) * (F.col("nx") + F.col("ny")) - 1e-9
-    rest = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
-    # Before a shared k-mer at most as many are shared as there are in the one that has fewer, and so after it.
-    may = (F.least("nx", "ny") >= least * F.greatest("nx", "ny")) & (F.least("ix", "iy") + rest >= need)
-    pairs = x.join(y, "h").filter((F.col("nidx") < F.col("nidy")) & (F.col("rootx") != F.col("rooty")) & may)
-    pairs = pairs.groupBy(F.col("nidx").alias("a"), F.col("nidy").alias("b"), "nx", "ny").agg(F.count("*").alias("c"), F.max("ix").alias("ix"), F.max("iy").alias("iy"))
-    # All that they share up to the last one is counted, and all that is shared of the list that ends first; so
-    # beyond that, they share at most what this text has outside its list.
-    outside = F.greatest(*[F.ceil(least * F.col(n) - 1e-9) - 1 for n in ("nx", "ny")])
-    out = scratch.keep(pairs.filter((F.col("c") - 1 + rest >= need) & (F.col("c") + outside >= need)).select("a", "b"))
+    # From the first k-mer that they share on, each still has as many as must be shared.
+    may = (F.least("nx", "ny") >= least * F.greatest("nx", "ny")) & (F.col("nx") - F.col("ix") >= need) & (F.col("ny") - F.col("iy") >= need)
+    # Members of a bucket's largest component only meet the others, so they are on one side alone.
+    pairs = x.filter(~F.col("mainx")).join(y, "h").filter((F.col("mainy") | (F.col("nidx") < F.col("nidy"))) & (F.col("rootx") != F.col("rooty")) & may)
+    pairs = scratch.keep(pairs.select(F.col("nidx").alias("a"), F.col("nidy").alias("b")).distinct())
     scratch.drop(of)
+    lists = [nodes.select(F.col("nid").alias(c), F.col("n").alias("n" + e), F.col("rare").alias("rare" + e)) for c, e in ("ax", "by")]
+    met = pairs.join(lists[0], "a").join(lists[1], "b")
+    # Of the list that ends first in the order, all that is shared is shared with the other list; so beyond that,
+    # they share at most what this text has outside its list.
+    outside = F.greatest(*[F.ceil(least * F.col(n) - 1e-9) - 1 for n in ("nx", "ny")])
+    out = scratch.keep(met.filter(F.size(F.array_intersect("rarex", "rarey")) + outside >= need).select("a", "b"))
+    scratch.drop(pairs)
     return out
 
 
