@@ -411,7 +411,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     spark = docs.sparkSession
     out = held_out(id_col, 5)
     scratch = Scratch(spark)
-    counts = scratch.keep(count(docs.filter(~out).select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), order))
+    with V.small_batches(spark):
+        counts = scratch.keep(count(docs.filter(~out).select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), order))
     trie, rare = load(counts, order, max_entries, scratch)
     words = counts.filter(F.col("kind") == WORD).select("key", "n")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -434,7 +435,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     name = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), out.alias("held_out"), F.col(f"`{text_col}`").alias("text"))
     got = rows.mapInArrow(lambda it: _score(it, *shared.value), f"id {name}, held_out boolean, {SCORED}")
-    got = scratch.keep(got.withColumn("rid", F.monotonically_increasing_id()))  # fixed once it is written
+    with V.small_batches(spark):
+        got = scratch.keep(got.withColumn("rid", F.monotonically_increasing_id()))  # fixed once it is written
     tail = got.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("rid", F.col("x.rest").alias("key"), F.col("x.times").alias("m"))
     seen = words.filter(F.col("band") < first).select("key", "n")
     found = tail.join(seen, "key", "left").select("rid", F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0).alias("k2"), (F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("b2"), F.lit(0.0).alias("s2"))

@@ -177,12 +177,14 @@ def _fit(texts: list[str | None], labels: np.ndarray, share: float, *, steps: in
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     table = model.lookup()
-    for b in batches:
-        texts = b.column(b.num_columns - 1).to_pylist()
-        row, col, val = _values(texts, table)
-        z = np.bincount(row, val * model.weights[col], len(texts)) + model.bias
-        s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], names=[*b.schema.names[:-1], "score"])
+    for whole in batches:
+        for i in range(0, whole.num_rows, 1000):  # what is made of a batch adds up
+            b = whole.slice(i, 1000)
+            texts = b.column(b.num_columns - 1).to_pylist()
+            row, col, val = _values(texts, table)
+            z = np.bincount(row, val * model.weights[col], len(texts)) + model.bias
+            s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], names=[*b.schema.names[:-1], "score"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Model:

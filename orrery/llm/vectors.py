@@ -7,6 +7,7 @@ Memory is bounded by CHUNK bytes of text (and by the longest single text).
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -36,6 +37,18 @@ def ship(spark) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+@contextmanager
+def small_batches(spark, rows: int = 1000):
+    """Fewer rows an Arrow batch for what is computed inside; a smaller setting stays, and the old one comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(old), rows) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["p"]) < n:
         m = 1 << (n - 1).bit_length()
