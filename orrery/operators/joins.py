@@ -23,12 +23,19 @@ def two_paths(edges: DataFrame, *, max_id: int | None = None) -> DataFrame:
 
 
 def closed_walks3(edges: DataFrame, *, max_id: int | None = None) -> DataFrame:
-    """Closed walks of three edges, each (2-path, closing edge) one; repeats and loops count.  One row n."""
-    e = _weighted(cap_ids(edges, max_id))
-    ab = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("w").alias("w1"))
-    bc = e.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("w").alias("w2"))
-    ca = e.select(F.col("src").alias("c"), F.col("dst").alias("a"), F.col("w").alias("w3"))
-    return ab.join(bc, "b").join(ca, ["c", "a"]).agg(F.coalesce(F.sum(F.col("w1") * F.col("w2") * F.col("w3")), F.lit(0)).cast("bigint").alias("n"))
+    """Closed walks of three edges, each (2-path, closing edge) one; repeats and loops count.  One row n.
+
+    A walk over three vertices is a directed triangle begun at any of them; one over two goes a loop and an edge
+    to and fro, begun at any of the three steps; one over a single vertex goes its loop three times.
+    """
+    e = cut(_weighted(cap_ids(edges, max_id)))
+    loops = e.filter("src = dst").select(F.col("src").alias("v"), F.col("w").alias("wl"))
+    flat = e.filter("src <> dst")
+    there = flat.join(loops, flat["src"] == loops["v"]).select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("w") * F.col("wl")).alias("w1"))
+    back = flat.select(F.col("src").alias("b"), F.col("dst").alias("a"), F.col("w").alias("w2"))
+    parts = [_cycles(flat).select(F.expr("3 * w").alias("n")), there.join(back, ["a", "b"]).select(F.expr("3 * w1 * w2").alias("n")), loops.select(F.expr("wl * wl * wl").alias("n"))]
+    sums = [p.agg(F.sum("n").alias("n")) for p in parts]
+    return sums[0].unionByName(sums[1]).unionByName(sums[2]).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
 
 
 def simple_edges(edges: DataFrame, *, max_id: int | None = None) -> DataFrame:
@@ -37,31 +44,38 @@ def simple_edges(edges: DataFrame, *, max_id: int | None = None) -> DataFrame:
 
 
 def _by_degree(e: DataFrame) -> DataFrame:
-    """(src, dst, up): up if src comes before dst in the order of (degree, id), degree counting both ways."""
+    """e (src, dst, w) with up: if src comes before dst in the order of (degree, id), degree counting both ways."""
     deg = e.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
     x = e.join(deg.select(F.col("v").alias("src"), F.col("d").alias("ds")), "src")
     x = x.join(deg.select(F.col("v").alias("dst"), F.col("d").alias("dd")), "dst")
-    return x.select("src", "dst", ((F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))).alias("up"))
+    return x.select("src", "dst", "w", ((F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))).alias("up"))
 
 
-def triangle_list(edges: DataFrame, *, max_id: int | None = None, hint: str | None = None) -> DataFrame:
-    """Directed 3-cycles a -> b -> c -> a, each once: a is its least vertex.
+def _cycles(e: DataFrame, hint: str | None = None) -> DataFrame:
+    """(x, y, z, w): each directed cycle x -> y -> z -> x of different edges (src, dst, w) without loops once; w: the product.
 
-    Each cycle is found at its vertex of the least (degree, id): there the edge in and the edge out both go to
-    greater vertices, of which even a hub has few, so its two-paths don't multiply; the edge between the other
-    two closes it.  hint sets the strategy of the closing joins ('merge', 'shuffle_hash', 'broadcast'); by
-    default Catalyst and AQE choose.
+    Each is found at its vertex of the least (degree, id): there the edge in and the edge out both go to greater
+    vertices, of which even a hub has few, so its two-paths don't multiply; the third edge closes it.
     """
-    e = cut(_by_degree(simple_edges(edges, max_id=max_id)))
-    out = e.filter("up").select(F.col("src").alias("x"), F.col("dst").alias("y"))
-    into = e.filter("NOT up").select(F.col("dst").alias("x"), F.col("src").alias("z"))
-    close = e.select(F.col("src").alias("y"), F.col("dst").alias("z"))
+    e = cut(_by_degree(e))
+    out = e.filter("up").select(F.col("src").alias("x"), F.col("dst").alias("y"), F.col("w").alias("w1"))
+    into = e.filter("NOT up").select(F.col("dst").alias("x"), F.col("src").alias("z"), F.col("w").alias("w3"))
+    close = e.select(F.col("src").alias("y"), F.col("dst").alias("z"), F.col("w").alias("w2"))
     if hint:
         into, close = into.hint(hint), close.hint(hint)
-    found = out.join(into, "x").filter("y <> z").join(close, ["y", "z"])
+    return out.join(into, "x").filter("y <> z").join(close, ["y", "z"]).select("x", "y", "z", F.expr("w1 * w2 * w3").alias("w"))
+
+
+def triangle_list(edges: DataFrame, *, max_id: int | None = None, hint: str | None = None) -> DataFrame:
+    """Directed 3-cycles a -> b -> c -> a, each once: a is its least vertex.
+
+    hint sets the strategy of the closing joins ('merge', 'shuffle_hash', 'broadcast'); by default Catalyst and AQE choose.
+    """
+    found = _cycles(simple_edges(edges, max_id=max_id).withColumn("w", F.lit(1)), hint)
     # x -> y -> z -> x, turned until the least vertex comes first.
     a = F.least("x", "y", "z")
-    turned = F.when(a == F.col("x"), F.struct(F.col("x").alias("a"), F.col("y").alias("b"), F.col("z").alias("c"))).when(a == F.col("y"), F.struct(F.col("y").alias("a"), F.col("z").alias("b"), F.col("x").alias("c"))).otherwise(F.struct(F.col("z").alias("a"), F.col("x").alias("b"), F.col("y").alias("c")))
+    turn = lambda p, q, r: F.struct(F.col(p).alias("a"), F.col(q).alias("b"), F.col(r).alias("c"))
+    turned = F.when(a == F.col("x"), turn("x", "y", "z")).when(a == F.col("y"), turn("y", "z", "x")).otherwise(turn("z", "x", "y"))
     return found.select(turned.alias("t")).select("t.a", "t.b", "t.c")
 
 

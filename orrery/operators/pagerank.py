@@ -17,8 +17,14 @@ def _contributions(weighted: DataFrame, ranks: DataFrame) -> DataFrame:
 
 def _placed(graph: DataFrame) -> DataFrame:
     """The static graph dealt out by src once and written: no pass moves it again, only the ranks."""
-    n = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(graph.repartition(n, "src"))
+    conf = graph.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    # A checkpoint of an adaptive plan doesn't tell how its rows are dealt out.
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(graph.repartition(int(conf.get("spark.sql.shuffle.partitions")), "src"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def chain_passes(spark: SparkSession, k: int, iterations: int = 10) -> tuple[DataFrame, list[float]]:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from orrery.functions.scalar import truncated_mean
 from orrery.operators import aggregate, joins, kmeans, pagerank, sssp
 from orrery.sources import edges as E
-from orrery.sources import sinks
+from orrery.sources import points, sinks
 from orrery.sources.generators import chain_graph
 from orrery.streaming.followers import followers_stream
 
@@ -164,3 +164,52 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("SELECT * FROM fs").collect()] == [(2, 2)]
+
+
+def test_hub_triangles(spark):
+    """A hub in the middle of the ids: both forms agree with a plain count."""
+    import random
+
+    rnd = random.Random(2)
+    pairs = [(rnd.randrange(60), 30) for _ in range(200)] + [(30, rnd.randrange(60)) for _ in range(200)] + [(rnd.randrange(60), rnd.randrange(60)) for _ in range(300)]
+    have = set(pairs)
+    want = {(a, b, c) for a, b in have for x, c in have if x == b and (c, a) in have and a < b and a < c and b != c}
+    assert {tuple(r) for r in joins.triangle_list(graph(spark, *pairs)).collect()} == want
+    walks = sum(1 for a, b in pairs for x, c in pairs if x == b for y, z in pairs if y == c and z == a)
+    assert joins.closed_walks3(graph(spark, *pairs)).first()["n"] == walks
+
+
+def test_separators_and_quotes(spark, tmp_path):
+    lines = spark.createDataFrame([("a|b|c",), ('"x|y"|z',)], "value string")
+    assert [tuple(r) for r in E.parse_edges(lines, sep="|").collect()] == [("a", "b"), ('"x', 'y"')]
+    assert tuple(E.parse_edges(spark.createDataFrame([("a \t b",)], "value string"), sep=E.WHITESPACE).first()) == ("a", "b")
+    (tmp_path / "q.csv").write_text('"a,b",c\n')
+    assert tuple(E.read_edges(spark, str(tmp_path / "q.csv")).first()) == ('"a', 'b"')
+
+
+def test_static_graph_stays(spark):
+    """A pass joins the graph where it lies: only the ranks are exchanged before that join."""
+    g = pagerank._placed(graph(spark, (1, 2), (2, 3)).withColumn("share", F.lit(1.0)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = pagerank._contributions(g, spark.range(9).select(F.col("id").alias("vertex"), F.lit(1.0).alias("rank")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning(vertex") == 1 and "hashpartitioning(src" not in text
+
+
+def test_files_and_command_line(spark, tmp_path, capsys):
+    from orrery.__main__ import main
+
+    points.write_centroids(spark, [7, 3, 5], str(tmp_path / "c"))
+    points.write_counts(spark.createDataFrame([("u", 4)], "k string, n bigint"), str(tmp_path / "n"))
+    assert points.read_centroids(spark, str(tmp_path / "c")) == [3, 5, 7] and [tuple(r) for r in points.read_counts(spark, str(tmp_path / "n")).collect()] == [("u", 4)]
+    assert main([]) == main(["nothing", "x"]) == 2 and main(["kmeans_seeds", "/root/testdata/sf0.001"]) == 0
+    assert len(capsys.readouterr().out.split()) == 4
+    assert "Range" in sinks.lineage(spark.range(2)) and sinks.preview(spark.range(30))[:2] == ["(0)", "(1)"]
+
+
+def test_passes_are_bounded_aloud(spark):
+    with pytest.raises(RuntimeError):
+        sssp.sssp_path(graph(spark, (1, 2), (2, 3), (3, 4)), 1, max_iter=2)
+    assert kmeans.seeds(spark.createDataFrame([(5,)], "n bigint"), 3, "powers") == [1, 10, 100]
