@@ -194,7 +194,8 @@ def _checked(scratch: Scratch, pairs: DataFrame, texts: DataFrame, k: int, least
     dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
     refs = parts.join(texts.select(F.col("nid").alias("b"), F.col("norm").alias("tb")), "b").select("b", "tb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
     x = dealt.join(texts.select(F.col("nid").alias("a"), F.col("norm").alias("ta")), "a").join(refs, ["b", "part"]).select("a", "b", "ta", "tb")
-    return scratch.keep(x.mapInArrow(lambda it: _verify(it, k, least), "a bigint, b bigint, sim double").filter(F.col("sim") >= least))
+    with V.small_batches(pairs.sparkSession):
+        return scratch.keep(x.mapInArrow(lambda it: _verify(it, k, least), "a bigint, b bigint, sim double").filter(F.col("sim") >= least))
 
 
 def _across(scratch: Scratch, nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
@@ -228,9 +229,11 @@ def _nodes(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, k: int
     """members (id, sig) of all rows; nodes (nid, sig, row, n, keys, rare, least, c): the different word sequences."""
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("row"), plain_words(text).alias("norm")).select("id", "row", F.unhex(F.md5("norm")).alias("sig"), "norm")
-    counts = docs.sparkSession.sparkContext.broadcast(rough_counts(docs, text_col, k))
+    with V.small_batches(docs.sparkSession):
+        counts = docs.sparkSession.sparkContext.broadcast(rough_counts(docs, text_col, k))
     schema = f"id {dict(docs.dtypes)[id_col]}, row bigint, sig binary, n int, keys array<bigint>, rare array<bigint>"
-    sketched = scratch.keep(rows.mapInArrow(lambda it: _sketch(it, k, minima, tables, counts.value, least), schema))
+    with V.small_batches(docs.sparkSession):
+        sketched = scratch.keep(rows.mapInArrow(lambda it: _sketch(it, k, minima, tables, counts.value, least), schema))
     nodes = sketched.groupBy("sig").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "keys", "rare")], F.min("id").alias("least"), F.count("*").alias("c"))
     nodes = scratch.keep(nodes.withColumn("nid", F.monotonically_increasing_id()))  # fixed once it is written
     members = scratch.keep(sketched.select("id", "sig"))
