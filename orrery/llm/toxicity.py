@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import vectors as V
+from orrery.plans.scratch import release
 
 ORDERS, HASH_BITS, MAX_FEATURES, MAX_TRAIN, THRESHOLD = (4, 5, 6), 22, 20_000, 2000, 0.7
 CHARS = 1 << 20
@@ -144,15 +145,17 @@ def _fit(texts: list[str | None], labels: np.ndarray, share: float, *, steps: in
     if not n1 or not n0:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(none, np.zeros(0), float(np.log(p / (1 - p))))
-    df = np.zeros((2, 1 << HASH_BITS), np.int32)
+    df = np.zeros((2, 1 << HASH_BITS), np.uint16 if len(y) < 1 << 16 else np.int32)
     for slots, label in zip(_document_slots(texts), labels, strict=True):
         df[int(label), slots] += 1
-    kept = np.flatnonzero(df.sum(0) >= min(3, len(y)))
+    kept = np.flatnonzero(df[0] + df[1] >= min(3, len(y)))
     a, b = df[1, kept] + 1.0, df[0, kept] + 1.0
+    del df
     ratio = np.log(a / (n1 + 2)) - np.log(b / (n0 + 2))
     strong = np.argsort(-np.abs(ratio) / np.sqrt(1 / a + 1 / b), kind="stable")[:MAX_FEATURES]
     strong.sort()
     slots, ratio = kept[strong].astype(np.int32), ratio[strong]
+    del kept, a, b
     table = np.zeros(1 << HASH_BITS, np.uint16)
     table[slots] = np.arange(1, len(slots) + 1)
     row, col, val = _values(texts, table)
@@ -201,7 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sample = parts[0].unionByName(parts[1])  # at most 2 * max_train rows, hence the broadcast
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t")).join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.max("_t").alias("_t")).orderBy("_id").select("_y", "_t").toArrow()
     total = sum(n.values())
-    return fit(rows.column("_t").to_pylist(), rows.column("_y").to_numpy(), n.get(1, 0) / total if total else 0.0)
+    model = fit(rows.column("_t").to_pylist(), rows.column("_y").to_numpy(), n.get(1, 0) / total if total else 0.0)
+    del rows
+    release(docs.sparkSession)  # of the texts and the vectors of the fit
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:

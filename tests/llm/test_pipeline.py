@@ -1,8 +1,14 @@
+import ctypes
+import gc
+import pathlib
+import time
+
 import corpus_pipeline
 from test_native import brute_mix
 from test_pairs import brute_classes, plain
 
 from orrery.llm import mix_sources, queries
+from orrery.plans.scratch import Scratch
 
 
 def test_run_against_brute_force(spark, sf_dir):
@@ -41,3 +47,37 @@ def test_stages_on_odd_rows(spark, sf_dir):
                 assert out.columns == docs.columns
                 docs = out
         assert sorted(r["doc_id"] for r in out.collect()) == ([2, 3] if given else [])
+
+
+def test_freed_memory_of_the_driver_goes_back(spark, sf_dir):
+    """What the C allocator still holds of freed memory goes to the system when tables settle and as a stage begins."""
+
+    def held(pid="self"):
+        return sum(int(x.split()[1]) for x in pathlib.Path(f"/proc/{pid}/smaps_rollup").read_text().splitlines() if x.startswith("Pss_Anon")) / 1024
+
+    jvm, libc = spark._jvm, ctypes.CDLL(None)
+    java = jvm.java.lang.ProcessHandle.current().pid()
+    buffers = [jvm.java.nio.ByteBuffer.allocateDirect(60_000) for _ in range(2000)]
+    buffers = buffers[49::50]  # some stay, so the allocator can't just shorten its heap
+    gc.collect()
+    jvm.System.gc()
+    time.sleep(1)
+    before = held(java)
+    Scratch(spark).settle()
+    assert before - held(java) > 60
+    assert len(buffers) == 40
+
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        blocks = [libc.malloc(60_000) for _ in range(2000)]
+        for b in blocks:
+            ctypes.memset(b, 1, 60_000)
+        for i, b in enumerate(blocks):
+            if i % 50 != 49:
+                libc.free(b)
+        before = held()
+        stage(spark, docs, sf_dir)
+        assert before - held() > 60
+        for b in blocks[49::50]:
+            libc.free(b)
