@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat_format, decontaminate, exact_dedup, html_text, license_scan, mix_sources, near_dedup, ppm, secret_scan, toxicity
+from orrery.llm import chat_format, decontaminate, exact_dedup, html_text, license_scan, mix_sources, near_dedup, ppm, secret_scan, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -65,8 +65,13 @@ def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return license_scan.report(license_scan.scan(docs))
 
 
+def op11_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    got = substring_dedup.remove_repeats(_read(spark, d, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_chat_format, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_html_text, op8_ppm, op9_secret_scan, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_chat_format, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_html_text, op8_ppm, op9_secret_scan, op10_license_scan, op11_substring_dedup)}
 
 
 OP5_SQL = """WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
