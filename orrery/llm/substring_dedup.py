@@ -11,7 +11,8 @@ k-mers, so equal windows meet under one key wherever they are; neighbouring wind
 1. ``chunks``: documents in rows of about CHUNK bytes, written once.
 2. Keys of a chunk, once each, go to buckets of keys; keys of one document only are dropped there (a segment none of
    whose windows can be elsewhere), and the others are sent back to the chunks that asked.
-3. A chunk's segments under such keys, equal ones once with the least and greatest id, go to buckets of segments.
+3. A chunk's segments under such keys, equal ones once with the least and greatest id, go to buckets of segments; their
+   places go past these, under a key of the chunk's own.
    A key with more than HEAVY segments is cut into single windows, filed by their own hash, so that a passage that
    very many documents continue differently isn't one bucket.
 4. Each bucket builds transforms of some TRANSFORM bytes and sends the least ids of its windows back.
@@ -55,11 +56,12 @@ _SLICE = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, U)
 
-CHUNKS = "c bigint, ids binary, nulls binary, off binary, body binary"
+CHUNKS = "c bigint, size bigint, ids binary, nulls binary, off binary, body binary"
 ASKS = "a bigint, c bigint, keys binary, counts binary"
 SHARED = "c bigint, keys binary, heavy binary"
-PIECES = "b bigint, c bigint, entry binary, key binary, size binary, low binary, high binary, body binary, doc binary, start binary, seg binary, h_seg binary, h_at binary, h_entry binary"
-LEAST = "c bigint, entry binary, first binary, last binary, low binary"
+PLACES = "doc binary, start binary, seg binary, h_seg binary, h_at binary, h_entry binary"
+PIECES = f"b bigint, c bigint, entry binary, key binary, size binary, low binary, more binary, body binary, {PLACES}"
+LEAST = f"c bigint, entry binary, first binary, last binary, low binary, {PLACES}"
 OUT = "id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
 
@@ -72,6 +74,18 @@ def _column(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(_arr(x, kind) for x in table[name].to_pylist() if x)])
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _zip(body: bytes) -> bytes:
+    """Texts are moved compressed; what they were in bytes is known from their sizes."""
+    return _ZSTD.compress(body, asbytes=True)
+
+
+def _unzip(body: bytes, size: int) -> bytes:
+    return _ZSTD.decompress(body, decompressed_size=size, asbytes=True) if size else b""
+
+
 def _rows(schema: str, rows: list[dict]) -> pa.Table:
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64() if x.endswith("bigint") else pa.binary() for x in schema.split(", ")]
@@ -143,7 +157,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal first, held, size
         ids, nulls, lens, raws = zip(*held, strict=True)
         off = np.concatenate([[0], np.cumsum(np.concatenate(lens))]).astype(np.int64)
-        row = {"c": first, "ids": np.concatenate(ids).tobytes(), "nulls": np.concatenate(nulls).tobytes(), "off": off.tobytes(), "body": b"".join(raws)}
+        row = {"c": first, "size": int(off[-1]), "ids": np.concatenate(ids).tobytes(), "nulls": np.concatenate(nulls).tobytes(), "off": off.tobytes(), "body": _zip(b"".join(raws))}
         first, held, size = first + 1, [], 0
         return _rows(CHUNKS, [row]).to_batches()[0]
 
@@ -168,7 +182,7 @@ def _ask(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator
     """A chunk's keys, each with its segments' number if two documents share it here, else 1."""
     for batch in batches:
         for r in batch.to_pylist():
-            key, _, _, doc = _segments(_arr(r["body"], np.uint8), _arr(r["off"], np.int64), size)
+            key, _, _, doc = _segments(_arr(_unzip(r["body"], r["size"]), np.uint8), _arr(r["off"], np.int64), size)
             order = np.argsort(key)
             key, doc = key[order], doc[order]
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -202,19 +216,19 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 def _cut(chunk: pa.Table, shared: pa.Table, size: int, buckets: int) -> pa.Table:
-    """A chunk's segments under shared keys: the texts, once each, to their buckets; their places to the chunk itself."""
+    """A chunk's segments under shared keys: the texts, once each, to their buckets; their places past these to the chunk itself."""
     if not chunk.num_rows or not shared.num_rows:
         return _rows(PIECES, [])
     r = chunk.to_pylist()[0]
-    ids = _arr(r["ids"], np.int64)
-    key, start, count, doc = _segments(_arr(r["body"], np.uint8), _arr(r["off"], np.int64), size)
+    ids, body = _arr(r["ids"], np.int64), _unzip(r["body"], r["size"])
+    key, start, count, doc = _segments(_arr(body, np.uint8), _arr(r["off"], np.int64), size)
     known, heavy = _column(shared, "keys", U), _column(shared, "heavy", bool)
     order = np.argsort(known)
     known, heavy = known[order], heavy[order]
     at = np.minimum(np.searchsorted(known, key), len(known) - 1)
     hit = known[at] == key
     key, start, count, doc, heavy = key[hit], start[hit], count[hit], doc[hit], heavy[at[hit]]
-    body, texts = r["body"], {}
+    texts: dict[bytes, int] = {}
     seg = np.fromiter((texts.setdefault(body[s : s + w + size - 1], len(texts)) for s, w in zip(start.tolist(), count.tolist(), strict=True)), np.int64, len(start))
     n = len(texts)
     low, high, keys, cut = np.full(n, LAST), np.full(n, np.iinfo(np.int64).min), np.zeros(n, U), np.zeros(n, bool)
@@ -242,11 +256,12 @@ def _cut(chunk: pa.Table, shared: pa.Table, size: int, buckets: int) -> pa.Table
     bucket = ((keys[sent] >> U(20)) % U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     sent, bucket = sent[order], bucket[order]
-    rows = [{"c": r["c"], "doc": doc.astype(np.int32).tobytes(), "start": start.astype(np.int32).tobytes(), "seg": seg.astype(np.int32).tobytes(), "h_seg": np.array(h_seg, np.int32).tobytes(), "h_at": np.array(h_at, np.int32).tobytes(), "h_entry": np.array(h_entry, np.int32).tobytes()}] if len(seg) else []
+    rows = [{"b": -1 - r["c"], "c": r["c"], "doc": doc.astype(np.int32).tobytes(), "start": start.astype(np.int32).tobytes(), "seg": seg.astype(np.int32).tobytes(), "h_seg": np.array(h_seg, np.int32).tobytes(), "h_at": np.array(h_at, np.int32).tobytes(), "h_entry": np.array(h_entry, np.int32).tobytes()}] if len(seg) else []
     for i, j in _runs(bucket):
         e = sent[i:j]
         t = [texts[x] for x in e.tolist()]
-        rows.append({"b": int(bucket[i]), "c": r["c"], "entry": e.astype(np.int32).tobytes(), "key": keys[e].tobytes(), "size": np.fromiter(map(len, t), np.int32, len(t)).tobytes(), "low": low[e].tobytes(), "high": high[e].tobytes(), "body": b"".join(t)})
+        lens = np.fromiter(map(len, t), np.int32, len(t))
+        rows.append({"b": int(bucket[i]), "c": r["c"], "entry": np.diff(e, prepend=0).astype(np.int32).tobytes(), "key": (keys[e] >> U(32)).astype(np.uint32).tobytes(), "size": lens.tobytes(), "low": low[e].tobytes(), "more": (high[e] - low[e]).tobytes(), "body": _zip(b"".join(t))})
     return _rows(PIECES, rows)
 
 
@@ -379,9 +394,12 @@ def least_ids(texts: list[bytes], low: np.ndarray, size: int) -> tuple[np.ndarra
 
 def _search(table: pa.Table, size: int) -> pa.Table:
     """Least ids of the windows of a bucket's segments, in runs, to the chunks that hold some of a greater id."""
-    key, entry, low, high, lens = (_column(table, n, k) for n, k in (("key", U), ("entry", np.int32), ("low", np.int64), ("high", np.int64), ("size", np.int32)))
-    c = np.repeat(table["c"].to_numpy(), [len(x) // 8 for x in table["key"].to_pylist()])
-    body, ends = b"".join(table["body"].to_pylist()), np.cumsum(lens, dtype=np.int64)
+    if table["b"][0].as_py() < 0:  # a chunk's own places
+        return _rows(LEAST, table.select([x.split()[0] for x in f"c bigint, {PLACES}".split(", ")]).to_pylist())
+    key, low, more, lens = (_column(table, n, k) for n, k in (("key", np.uint32), ("low", np.int64), ("more", np.int64), ("size", np.int32)))
+    entry = np.concatenate([np.cumsum(_arr(x, np.int32), dtype=np.int32) for x in table["entry"].to_pylist()])
+    high, c = low + more, np.repeat(table["c"].to_numpy(), [len(x) // 4 for x in table["key"].to_pylist()])
+    body, ends = b"".join(_unzip(x, int(_arr(z, np.int32).sum())) for x, z in zip(table["body"].to_pylist(), table["size"].to_pylist(), strict=True)), np.cumsum(lens, dtype=np.int64)
     starts = ends - lens
     order = np.argsort(key, kind="stable")
     fresh = np.append(True, key[order][1:] != key[order][:-1])
@@ -419,7 +437,7 @@ def _search(table: pa.Table, size: int) -> pa.Table:
 def _unite(chunk: pa.Table, more: pa.Table, size: int) -> pa.Table:
     """A chunk's documents with their covered bytes removed."""
     r = chunk.to_pylist()[0]
-    ids, nulls, off, raw = _arr(r["ids"], np.int64), _arr(r["nulls"], bool), _arr(r["off"], np.int64), _arr(r["body"], np.uint8)
+    ids, nulls, off, raw = _arr(r["ids"], np.int64), _arr(r["nulls"], bool), _arr(r["off"], np.int64), _arr(_unzip(r["body"], r["size"]), np.uint8)
     doc, start, seg, h_seg, h_at, h_entry = (_column(more, n, np.int32).astype(np.int64) for n in ("doc", "start", "seg", "h_seg", "h_at", "h_entry"))
     entry, first, last = (_column(more, n, np.int32).astype(np.int64) for n in ("entry", "first", "last"))
     low = _column(more, "low", np.int64)
@@ -467,16 +485,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     table = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     with small_batches(spark):
         chunks = scratch.keep(table.mapInArrow(_pack, CHUNKS))
-    total = chunks.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    total = chunks.agg(F.sum("size")).first()[0] or 0
     buckets = int(total) // BUCKET + 1
     with small_batches(spark, 1):
-        asks = chunks.select("c", "off", "body").mapInArrow(lambda it: _ask(it, min_bytes, buckets), ASKS)
+        asks = chunks.select("c", "size", "off", "body").mapInArrow(lambda it: _ask(it, min_bytes, buckets), ASKS)
         shared = scratch.keep(asks.groupBy("a").applyInArrow(_answer, SHARED))
         scratch.settle()
-        pieces = scratch.keep(chunks.select("c", "ids", "off", "body").groupBy("c").cogroup(shared.groupBy("c")).applyInArrow(lambda a, b: _cut(a, b, min_bytes, buckets), PIECES))
+        pieces = chunks.drop("nulls").groupBy("c").cogroup(shared.groupBy("c")).applyInArrow(lambda a, b: _cut(a, b, min_bytes, buckets), PIECES)
+        least = scratch.keep(pieces.groupBy("b").applyInArrow(lambda t: _search(t, min_bytes), LEAST))
         scratch.drop(shared)
         scratch.settle()
-        least = scratch.keep(pieces.filter("b IS NOT NULL").groupBy("b").applyInArrow(lambda t: _search(t, min_bytes), LEAST))
-    more = pieces.filter("b IS NULL").select("c", "doc", "start", "seg", "h_seg", "h_at", "h_entry").unionByName(least, allowMissingColumns=True)
-    out = chunks.groupBy("c").cogroup(more.groupBy("c")).applyInArrow(lambda a, b: _unite(a, b, min_bytes), OUT)
+    out = chunks.groupBy("c").cogroup(least.groupBy("c")).applyInArrow(lambda a, b: _unite(a, b, min_bytes), OUT)
     return out.withColumnRenamed("id", id_col)
