@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat_format, decontaminate, exact_dedup, html_text, license_scan, mix_sources, near_dedup, ppm, secret_scan, substring_dedup, toxicity
+from orrery.llm import chat_format, decontaminate, exact_dedup, html_text, license_scan, mix_sources, near_dedup, ppm, secret_scan, source_divergence, substring_dedup, toxicity, vector_codes
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -70,8 +70,18 @@ def op11_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    got, books = vector_codes.compress(_read(spark, d, "embeddings"))
+    sha = F.sha2(F.lit(vector_codes.codebooks_text(books)), 256)
+    return got.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", sha.alias("codebooks_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return source_divergence.audit(_read(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_chat_format, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_html_text, op8_ppm, op9_secret_scan, op10_license_scan, op11_substring_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_chat_format, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_html_text, op8_ppm, op9_secret_scan, op10_license_scan, op11_substring_dedup, op12_vector_codes, op13_source_divergence)}
 
 
 OP5_SQL = """WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -80,4 +90,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS tex
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mix_sources.oracle(), "op3_chat_format": chat_format.oracle(), "op5_exact_dedup": OP5_SQL, "op9_secret_scan": secret_scan.oracle(), "op10_license_scan": license_scan.oracle()}
+    return {"op1_mix_sources": mix_sources.oracle(), "op3_chat_format": chat_format.oracle(), "op5_exact_dedup": OP5_SQL, "op9_secret_scan": secret_scan.oracle(), "op10_license_scan": license_scan.oracle(), "op12_vector_codes": vector_codes.oracle(), "op13_source_divergence": source_divergence.oracle()}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import chat_format, decontaminate, exact_dedup, html_text, license_scan, mix_sources, near_dedup, ppm, secret_scan, toxicity
+from orrery.llm import chat_format, decontaminate, exact_dedup, html_text, license_scan, mix_sources, near_dedup, ppm, secret_scan, source_divergence, substring_dedup, toxicity, vector_codes
 
 LONG = "word salad " * 100_000
 ROWS = [
@@ -35,6 +35,9 @@ OPERATORS = {
     "ppm": (lambda s, d: ppm.score(d), False, 9),
     "secrets": (lambda s, d: secret_scan.scan(d), False, 9),
     "licences": (lambda s, d: license_scan.scan(d), True, 9),
+    "substrings": (lambda s, d: substring_dedup.remove_repeats(d), False, 9),
+    "codes": (lambda s, d: vector_codes.compress(d.withColumn("v", F.expr("array(toxic, doc_id)").cast("array<double>")), id_col="doc_id", vector_col="v", label_col="source", parts=2)[0], False, 7),
+    "divergence": (lambda s, d: source_divergence.audit(d.withColumn("lang", F.lit(None).cast("string")), min_docs=2), False, 28),
 }
 
 
