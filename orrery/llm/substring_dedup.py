@@ -44,7 +44,7 @@ from orrery.plans.scratch import Scratch
 U = np.uint64
 MIN_BYTES = 50
 #: Bytes of documents in a chunk, of a bucket's share of the input, and of one transform, about.
-CHUNK, BUCKET, TRANSFORM = 4 << 20, 4 << 20, 1 << 20
+CHUNK, BUCKET, TRANSFORM = 8 << 20, 8 << 20, 1 << 20
 #: Segments of one key, beyond which it is cut into windows.
 HEAVY = 10_000
 #: Windows of a segment at most: longer runs under one key (periodic texts) are cut.
@@ -74,7 +74,7 @@ def _column(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(_arr(x, kind) for x in table[name].to_pylist() if x)])
 
 
-_ZSTD = pa.Codec("zstd", compression_level=1)
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def _zip(body: bytes) -> bytes:
@@ -86,6 +86,11 @@ def _unzip(body: bytes, size: int) -> bytes:
     return _ZSTD.decompress(body, decompressed_size=size, asbytes=True) if size else b""
 
 
+def _steps(x: np.ndarray, kind) -> bytes:
+    """x as differences, which compress well where it rises slowly."""
+    return np.diff(x, prepend=x.dtype.type(0)).astype(kind).tobytes()
+
+
 def _rows(schema: str, rows: list[dict]) -> pa.Table:
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64() if x.endswith("bigint") else pa.binary() for x in schema.split(", ")]
@@ -256,12 +261,12 @@ def _cut(chunk: pa.Table, shared: pa.Table, size: int, buckets: int) -> pa.Table
     bucket = ((keys[sent] >> U(20)) % U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     sent, bucket = sent[order], bucket[order]
-    rows = [{"b": -1 - r["c"], "c": r["c"], "doc": doc.astype(np.int32).tobytes(), "start": start.astype(np.int32).tobytes(), "seg": seg.astype(np.int32).tobytes(), "h_seg": np.array(h_seg, np.int32).tobytes(), "h_at": np.array(h_at, np.int32).tobytes(), "h_entry": np.array(h_entry, np.int32).tobytes()}] if len(seg) else []
+    rows = [{"b": -1 - r["c"], "c": r["c"], "doc": doc.astype(np.int32).tobytes(), "start": _steps(start, np.int32), "seg": _steps(seg, np.int32), "h_seg": np.array(h_seg, np.int32).tobytes(), "h_at": np.array(h_at, np.int32).tobytes(), "h_entry": np.array(h_entry, np.int32).tobytes()}] if len(seg) else []
     for i, j in _runs(bucket):
         e = sent[i:j]
         t = [texts[x] for x in e.tolist()]
         lens = np.fromiter(map(len, t), np.int32, len(t))
-        rows.append({"b": int(bucket[i]), "c": r["c"], "entry": np.diff(e, prepend=0).astype(np.int32).tobytes(), "key": (keys[e] >> U(32)).astype(np.uint32).tobytes(), "size": lens.tobytes(), "low": low[e].tobytes(), "more": (high[e] - low[e]).tobytes(), "body": _zip(b"".join(t))})
+        rows.append({"b": int(bucket[i]), "c": r["c"], "entry": _steps(e, np.int32), "key": (keys[e] >> U(32)).astype(np.uint32).tobytes(), "size": lens.tobytes(), "low": _steps(low[e], np.int64), "more": (high[e] - low[e]).tobytes(), "body": _zip(b"".join(t))})
     return _rows(PIECES, rows)
 
 
@@ -396,8 +401,8 @@ def _search(table: pa.Table, size: int) -> pa.Table:
     """Least ids of the windows of a bucket's segments, in runs, to the chunks that hold some of a greater id."""
     if table["b"][0].as_py() < 0:  # a chunk's own places
         return _rows(LEAST, table.select([x.split()[0] for x in f"c bigint, {PLACES}".split(", ")]).to_pylist())
-    key, low, more, lens = (_column(table, n, k) for n, k in (("key", np.uint32), ("low", np.int64), ("more", np.int64), ("size", np.int32)))
-    entry = np.concatenate([np.cumsum(_arr(x, np.int32), dtype=np.int32) for x in table["entry"].to_pylist()])
+    key, more, lens = (_column(table, n, k) for n, k in (("key", np.uint32), ("more", np.int64), ("size", np.int32)))
+    entry, low = (np.concatenate([np.cumsum(_arr(x, k), dtype=k) for x in table[n].to_pylist()]) for n, k in (("entry", np.int32), ("low", np.int64)))
     high, c = low + more, np.repeat(table["c"].to_numpy(), [len(x) // 4 for x in table["key"].to_pylist()])
     body, ends = b"".join(_unzip(x, int(_arr(z, np.int32).sum())) for x, z in zip(table["body"].to_pylist(), table["size"].to_pylist(), strict=True)), np.cumsum(lens, dtype=np.int64)
     starts = ends - lens
@@ -439,6 +444,7 @@ def _unite(chunk: pa.Table, more: pa.Table, size: int) -> pa.Table:
     r = chunk.to_pylist()[0]
     ids, nulls, off, raw = _arr(r["ids"], np.int64), _arr(r["nulls"], bool), _arr(r["off"], np.int64), _arr(_unzip(r["body"], r["size"]), np.uint8)
     doc, start, seg, h_seg, h_at, h_entry = (_column(more, n, np.int32).astype(np.int64) for n in ("doc", "start", "seg", "h_seg", "h_at", "h_entry"))
+    start, seg = np.cumsum(start), np.cumsum(seg)
     entry, first, last = (_column(more, n, np.int32).astype(np.int64) for n in ("entry", "first", "last"))
     low = _column(more, "low", np.int64)
     if len(h_seg) and len(entry):  # windows sent on their own, back to their segments
