@@ -1,50 +1,104 @@
-"""PageRank with redistributed dangling mass (C3: JOIN4, JOIN5, JOIN10, AGG7-AGG9, SRT1, SRT2, ITR1)."""
+"""PageRank with redistributed dangling mass (C3: JOIN4, JOIN5, JOIN10, AGG7-AGG9, SRT1, SRT2, ITR1, SNK9).
+
+The graph lies cut by vertices (``placement``), the ranks by vertex; a pass moves the ranks to the edges and the
+contributions back, and is one job: the lost mass, the sum of all ranks, how many changed and by how much at most are
+observed while the job writes the new ranks.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.plans.fixpoint import cut, fixpoint
+from orrery.operators.placement import Placed, place_graph
+from orrery.plans.fixpoint import fixpoint
 from orrery.plans.scratch import Scratch
-from orrery.sources.edges import vertices
 from orrery.sources.generators import chain_graph, chain_ranks
 
 
-def _contributions(weighted: DataFrame, ranks: DataFrame) -> DataFrame:
-    return weighted.join(ranks, weighted["src"] == ranks["vertex"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("s"))
+@dataclass
+class Pass:
+    """What was counted while a pass was written: mass that reached vertices without out-edges, sum of all ranks, changes."""
+
+    lost: float
+    mass: float
+    changed: int
+    most: float
+
+
+def _contributions(graph: Placed, ranks: DataFrame) -> DataFrame:
+    return graph.reach(ranks).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("s"))
+
+
+def _observed(seen: dict) -> Pass:
+    return Pass(float(seen["lost"] or 0.0), float(seen["mass"] or 0.0), int(seen["changed"] or 0), float(seen["most"] or 0.0))
+
+
+def passes(edges: DataFrame, *, iterations: int = 10, damping: float = 1.0, tolerance: float | None = None) -> tuple[DataFrame, list[Pass]]:
+    """(vertex, rank) of a general graph after the passes, and what each counted, the start as pass 0.
+
+    A vertex gives its rank in equal shares along its edges; repeated edges weigh as often as they occur; the rank of
+    sinks is shared by all.  tolerance: the loop ends when no rank changes by more than that.
+    """
+    scratch = Scratch(edges.sparkSession)
+    graph = place_graph(edges, scratch)
+    n = graph.n_nodes
+    if n == 0:
+        return graph.nodes.select("vertex", F.lit(0.0).alias("rank")), [Pass(0.0, 0.0, 0, 0.0)]
+    counters = (F.sum(F.when(F.col("slots") == 0, F.col("rank"))).alias("lost"), F.sum("rank").alias("mass"), F.count_if(F.col("delta") > 0).alias("changed"), F.max("delta").alias("most"))
+
+    def write(ranks: DataFrame) -> tuple[DataFrame, Pass]:
+        out, seen = scratch.place(ranks, graph.node_parts, "vertex", what=counters, side=("delta",))
+        return out, _observed(seen)
+
+    def spread(state: tuple[DataFrame, list[Pass]], _: int) -> tuple[tuple[DataFrame, list[Pass]], bool]:
+        ranks, told = state
+        got = _contributions(graph, ranks)
+        base = (1.0 - damping) / n + damping * told[-1].lost / n
+        rank = F.lit(base) + F.lit(damping) * F.coalesce("s", F.lit(0.0))
+        new = ranks.join(got, ranks["vertex"] == got["dst"], "left").select("vertex", "slots", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("delta"))
+        new, seen = write(new)
+        scratch.drop(ranks)
+        return (new, [*told, seen]), tolerance is not None and seen.most <= tolerance
 
+    start = write(graph.nodes.select("vertex", "slots", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("delta")))
+    (ranks, told), _ = fixpoint((start[0], [start[1]]), spread, iterations)
+    return ranks.select("vertex", "rank"), told
 
-def _placed(graph: DataFrame) -> DataFrame:
-    """The static graph dealt out by src once and written: no pass moves it again, only the ranks."""
-    conf = graph.sparkSession.conf
-    adaptive = conf.get("spark.sql.adaptive.enabled")
-    # A checkpoint of an adaptive plan doesn't tell how its rows are dealt out.
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return cut(graph.repartition(int(conf.get("spark.sql.shuffle.partitions")), "src"))
-    finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+def pagerank(edges: DataFrame, *, iterations: int = 10, damping: float = 1.0, tolerance: float | None = None) -> DataFrame:
+    """(vertex, rank) of a general graph."""
+    return passes(edges, iterations=iterations, damping=damping, tolerance=tolerance)[0]
+
+
+def pass_counters(edges: DataFrame, *, iterations: int = 10, damping: float = 1.0) -> DataFrame:
+    """(pass, lost, mass): the sinks' rank and the sum of all ranks after each pass, as counted by the passes themselves."""
+    rows = [(i, p.lost, p.mass) for i, p in enumerate(passes(edges, iterations=iterations, damping=damping)[1])]
+    return edges.sparkSession.createDataFrame(rows, "pass int, lost double, mass double")
 
 
 def chain_passes(spark: SparkSession, k: int, iterations: int = 10) -> tuple[DataFrame, list[float]]:
-    """Ranks of chain_graph(k) after the passes, and the dangling mass of each pass."""
-    n = k * k
-    graph, scratch = _placed(chain_graph(spark, k).withColumn("share", F.lit(1.0))), Scratch(spark)
+    """Ranks of chain_graph(k) after the passes, and the dangling mass of each pass: what reached the dummy 0.
+
+    The dummy has no rank of its own; its mass is shared by the k * k others.
+    """
+    n, scratch = k * k, Scratch(spark)
+    graph = place_graph(chain_graph(spark, k), scratch)
+    mass = F.sum(F.when(F.col("vertex") == 0, F.col("s"))).alias("lost")
 
-    def spread(state: tuple[DataFrame, DataFrame | None, list[float]], _: int) -> tuple[tuple[DataFrame, DataFrame, list[float]], bool]:
-        ranks, before, masses = state
-        got = scratch.keep(_contributions(graph, ranks))
-        if before is not None:
-            scratch.drop(before)
-        mass = float(got.filter("dst = 0").agg(F.sum("s")).first()[0] or 0.0)
-        # The vertices come from a range: ranks is mentioned once a pass, so plans don't double.
-        base = spark.range(0, n + 1).select(F.col("id").alias("vertex"))
-        ranks = base.join(got, base["vertex"] == got["dst"], "left").select("vertex", F.when(F.col("vertex") == 0, F.lit(0.0)).otherwise(F.coalesce("s", F.lit(0.0)) + F.lit(mass / n)).alias("rank"))
-        return (ranks, got, [*masses, mass]), False
+    def spread(state: tuple[DataFrame, list[float]], _: int) -> tuple[tuple[DataFrame, list[float]], bool]:
+        ranks, lost = state
+        got = _contributions(graph, ranks)
+        got = graph.nodes.join(got, graph.nodes["vertex"] == got["dst"], "left").select("vertex", "slots", F.coalesce("s", F.lit(0.0)).alias("s"))
+        got, seen = scratch.place(got, graph.node_parts, "vertex", what=(mass,))
+        lost = [*lost, float(seen["lost"] or 0.0)]
+        return (got.select("vertex", "slots", F.when(F.col("vertex") == 0, F.lit(0.0)).otherwise(F.col("s") + F.lit(lost[-1] / n)).alias("rank")), lost), False
 
-    ranks, _, masses = fixpoint((chain_ranks(spark, k), None, []), spread, iterations)[0]
-    return ranks, masses
+    first = graph.nodes.join(chain_ranks(spark, k), "vertex")
+    ranks, lost = fixpoint((first, []), spread, iterations)[0]
+    return ranks.select("vertex", "rank"), lost
 
 
 def pagerank_chain(spark: SparkSession, k: int, iterations: int = 10) -> DataFrame:
@@ -68,36 +122,11 @@ def pagerank_first(ranks: DataFrame, max_vertex: int = 100) -> DataFrame:
     return ranks.filter(F.col("vertex") <= max_vertex)
 
 
+def rank_of(ranks: DataFrame, *vertices) -> DataFrame:
+    """The ranks of the named vertices; one without a rank is not listed."""
+    return ranks.filter(F.col("vertex").isin(*vertices))
+
+
 def pagerank_mass(ranks: DataFrame) -> DataFrame:
     """The sum of all ranks: 1 after every pass."""
     return ranks.agg(F.sum("rank").alias("mass"))
-
-
-def pagerank(edges: DataFrame, *, iterations: int = 10, damping: float = 1.0) -> DataFrame:
-    """(vertex, rank) of a general graph; repeated edges weigh as often as they occur.
-
-    A vertex gives its rank in equal shares along its edges; the rank of sinks is shared by all.
-    """
-    w = edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
-    deg = w.groupBy("src").agg(F.sum("w").alias("d"))
-    graph = _placed(w.join(deg, "src").select("src", "dst", (F.col("w") / F.col("d")).alias("share")))
-    all_v = cut(vertices(graph).join(deg.select(F.col("src").alias("vertex"), F.lit(True).alias("out")), "vertex", "left"))
-    n = all_v.count()
-    if n == 0:
-        return all_v.select("vertex", F.lit(0.0).alias("rank"))
-
-    scratch = Scratch(edges.sparkSession)
-
-    def spread(state: tuple[DataFrame, DataFrame | None], _: int) -> tuple[tuple[DataFrame, DataFrame], bool]:
-        made, before = state
-        ranks = scratch.keep(made)
-        if before is not None:
-            scratch.drop(before)
-        lost = float(ranks.filter("out IS NULL").agg(F.sum("rank")).first()[0] or 0.0)
-        got = _contributions(graph, ranks.select("vertex", "rank"))
-        base = (1.0 - damping) / n + damping * lost / n
-        new = all_v.join(got, all_v["vertex"] == got["dst"], "left").select("vertex", "out", (F.lit(base) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("rank"))
-        return (new, ranks), False
-
-    first = all_v.select("vertex", "out", F.lit(1.0 / n).alias("rank"))
-    return fixpoint((first, None), spread, iterations)[0][0].select("vertex", "rank")

@@ -6,6 +6,7 @@ Every query runs over whole tables.  Edges are lineitem's part -> supplier pairs
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import isqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from orrery.sources import edges as E
 from orrery.sources import points, sinks
 from orrery.sources.generators import chain_graph, chain_ranks
 
-SOURCE, CHAIN, CLUSTERS, CAP = 1, 100, 4, 1000
+SOURCE, CLUSTERS, CAP, TOP = 1, 4, 1000, 100
 
 EDGES = "e AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem)"
 SIMPLE = f"{EDGES}, s AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst)"
@@ -28,6 +29,26 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_partkey").agg(F.count("*").alias("n"))
 
 
+def _chains(spark: SparkSession, d: str) -> int:
+    """k for chain graphs: k chains of k parts each, as many as the table part fills."""
+    return max(1, isqrt(spark.read.parquet(f"{d}/part.parquet").count()))
+
+
+def _ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of parts and suppliers."""
+    return pagerank.pagerank(E.part_supp(spark, d), damping=0.85)
+
+
+def _top_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Ordered by rounded ranks, so that sums in another order give the same rows."""
+    return pagerank.pagerank_top(_ranks(spark, d).withColumn("rank", F.round("rank", 9)), TOP)
+
+
+def _rank_of_last_supplier(spark: SparkSession, d: str) -> DataFrame:
+    last = spark.read.parquet(f"{d}/supplier.parquet").agg(F.max("s_suppkey")).first()[0]
+    return pagerank.rank_of(_ranks(spark, d), SOURCE, last).select("vertex", F.round("rank", 9).alias("rank"))
+
+
 def _through_file(spark: SparkSession, edges: DataFrame, sep: str, back: Callable[[str], DataFrame]) -> DataFrame:
     """Edges written as lines and read again."""
     path = Scratch(spark).folder()
@@ -88,13 +109,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "triangle_count_capped": lambda s, d: joins.triangle_count(ps(s, d), max_id=CAP),
         "triangle_list": lambda s, d: joins.triangle_list(ps(s, d)),
         "triangle_count_event_next": lambda s, d: joins.triangle_count(E.event_next(s, d)),
-        "chain_graph": lambda s, d: chain_graph(s, CHAIN),
-        "chain_ranks": lambda s, d: chain_ranks(s, CHAIN),
-        "pagerank_chain": lambda s, d: pagerank.pagerank_chain(s, CHAIN).select("vertex", F.round("rank", 12).alias("rank")),
-        "pagerank_top": lambda s, d: pagerank.pagerank_top(pagerank.pagerank_chain(s, CHAIN)).select("vertex", F.round("rank", 9).alias("rank")),
-        "pagerank_first100": lambda s, d: pagerank.pagerank_first(pagerank.pagerank_chain(s, CHAIN)).select("vertex", F.round("rank", 9).alias("rank")),
-        "pagerank_mass": lambda s, d: pagerank.pagerank_mass(pagerank.pagerank_chain(s, CHAIN)).select(F.round("mass", 9).alias("mass")),
-        "dangling_mass": lambda s, d: pagerank.dangling_mass(s, CHAIN).select("pass", F.round("mass", 12).alias("mass")),
+        "chain_graph": lambda s, d: chain_graph(s, _chains(s, d)),
+        "chain_ranks": lambda s, d: chain_ranks(s, _chains(s, d)),
+        "pagerank_chain": lambda s, d: pagerank.pagerank_chain(s, _chains(s, d)).select("vertex", F.round("rank", 12).alias("rank")),
+        "dangling_mass_chain": lambda s, d: pagerank.dangling_mass(s, _chains(s, d)).select("pass", F.round("mass", 12).alias("mass")),
+        "pagerank_top": _top_ranks,
+        "pagerank_first100": lambda s, d: pagerank.pagerank_first(_ranks(s, d), TOP).select("vertex", F.round("rank", 9).alias("rank")),
+        "pagerank_mass": lambda s, d: pagerank.pagerank_mass(_ranks(s, d)).select(F.round("mass", 9).alias("mass")),
+        "pagerank_rank_of": _rank_of_last_supplier,
+        "dangling_mass": lambda s, d: pagerank.pass_counters(ps(s, d), damping=0.85).select("pass", F.round("lost", 9).alias("lost"), F.round("mass", 9).alias("mass")),
         "pagerank_edges": lambda s, d: pagerank.pagerank(ps(s, d), damping=0.85).select("vertex", F.round("rank", 9).alias("rank")),
         "pagerank_reversed": lambda s, d: pagerank.pagerank(E.reverse(ps(s, d)), damping=0.85).select("vertex", F.round("rank", 9).alias("rank")),
         "sssp_distance": lambda s, d: sssp.sssp_distance(ps(s, d), SOURCE),
@@ -117,21 +140,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def _chain_sql(k: int, out: str, passes: int = 10) -> str:
-    n = k * k
-    ctes = [f"g AS (SELECT i AS src, CASE WHEN i % {k} = 0 THEN 0 ELSE i + 1 END AS dst FROM range(1, {n + 1}) t(i))", f"r0 AS MATERIALIZED (SELECT i AS vertex, CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / {n} END AS rank FROM range(0, {n + 1}) t(i))"]
+def _chain_sql(out: str, passes: int = 10) -> str:
+    ctes = [
+        "k AS MATERIALIZED (SELECT greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) AS k, greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) ** 2 AS n FROM part)",
+        "i AS MATERIALIZED (SELECT i, k, n FROM k, range(0, CAST(n AS BIGINT) + 1) t(i))",
+        "g AS MATERIALIZED (SELECT i AS src, CASE WHEN i % k = 0 THEN 0 ELSE i + 1 END AS dst FROM i WHERE i > 0)",
+        "r0 AS MATERIALIZED (SELECT i AS vertex, CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / n END AS rank FROM i)",
+    ]
     for p in range(1, passes + 1):
         ctes.append(f"c{p} AS MATERIALIZED (SELECT dst, sum(rank) AS s FROM g JOIN r{p - 1} ON src = vertex GROUP BY dst)")
-        ctes.append(f"r{p} AS MATERIALIZED (SELECT vertex, CASE WHEN vertex = 0 THEN 0.0::DOUBLE ELSE coalesce(s, 0) + (SELECT coalesce(sum(s), 0) FROM c{p} WHERE dst = 0) / {n} END AS rank FROM r0 LEFT JOIN c{p} ON vertex = dst)")
+        ctes.append(f"r{p} AS MATERIALIZED (SELECT vertex, CASE WHEN vertex = 0 THEN 0.0::DOUBLE ELSE coalesce(s, 0) + (SELECT coalesce(sum(s), 0) FROM c{p} WHERE dst = 0) / (SELECT n FROM k) END AS rank FROM r0 LEFT JOIN c{p} ON vertex = dst)")
     return f"WITH {', '.join(ctes)} {out.format(r=f'r{passes}')}"
 
 
-def _pagerank_sql(edges: str, passes: int = 10, damping: float = 0.85) -> str:
+def _pagerank_sql(edges: str, out: str = "SELECT vertex, round(rank, 9) AS rank FROM {r}", passes: int = 10, damping: float = 0.85) -> str:
     ctes = [edges, "d AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY src)", "g AS MATERIALIZED (SELECT e.src, dst, count(*)::DOUBLE / any_value(d) AS share FROM e JOIN d ON e.src = d.src GROUP BY e.src, dst)", "v AS MATERIALIZED (SELECT vertex, d.src IS NOT NULL AS o FROM (SELECT src AS vertex FROM e UNION SELECT dst FROM e) LEFT JOIN d ON vertex = d.src)", "r0 AS MATERIALIZED (SELECT vertex, o, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v)"]
     for p in range(1, passes + 1):
         ctes.append(f"c{p} AS MATERIALIZED (SELECT dst, sum(rank * share) AS s FROM g JOIN r{p - 1} ON src = vertex GROUP BY dst)")
         ctes.append(f"r{p} AS MATERIALIZED (SELECT vertex, o, ({1 - damping}::DOUBLE + {damping}::DOUBLE * (SELECT coalesce(sum(rank), 0) FROM r{p - 1} WHERE NOT o)) / (SELECT count(*) FROM v) + {damping}::DOUBLE * coalesce(s, 0) AS rank FROM v LEFT JOIN c{p} ON vertex = dst)")
-    return f"WITH {', '.join(ctes)} SELECT vertex, round(rank, 9) AS rank FROM r{passes}"
+    return f"WITH {', '.join(ctes)} {out.format(r=f'r{passes}')}"
 
 
 def _kmeans_sql(k: int, out: str, passes: int = 10, first: str = "") -> str:
@@ -180,13 +207,15 @@ def oracle_sql() -> dict[str, str]:
         "triangle_count_capped": f"WITH {EDGES}, s AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst AND src <= {CAP} AND dst <= {CAP}) SELECT count(*) AS n {TRIANGLES}",
         "triangle_list": f"WITH {SIMPLE} SELECT x.src AS a, x.dst AS b, y.dst AS c {TRIANGLES}",
         "triangle_count_event_next": f"WITH {nxt}, s AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst) SELECT count(*) AS n {TRIANGLES}",
-        "chain_graph": f"SELECT i AS src, CASE WHEN i % {CHAIN} = 0 THEN 0 ELSE i + 1 END AS dst FROM range(1, {CHAIN**2 + 1}) t(i)",
-        "chain_ranks": f"SELECT i AS vertex, CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / {CHAIN**2} END AS rank FROM range(0, {CHAIN**2 + 1}) t(i)",
-        "pagerank_chain": _chain_sql(CHAIN, "SELECT vertex, round(rank, 12) AS rank FROM {r}"),
-        "pagerank_top": _chain_sql(CHAIN, "SELECT vertex, round(rank, 9) AS rank FROM {r} ORDER BY round({r}.rank, 12) DESC, vertex LIMIT 100"),
-        "pagerank_first100": _chain_sql(CHAIN, "SELECT vertex, round(rank, 9) AS rank FROM {r} WHERE vertex <= 100"),
-        "pagerank_mass": _chain_sql(CHAIN, "SELECT round(sum(rank), 9) AS mass FROM {r}"),
-        "dangling_mass": _chain_sql(CHAIN, " UNION ALL ".join(f"SELECT {p}::INTEGER AS pass, round(coalesce(sum(s), 0), 12) AS mass FROM c{p} WHERE dst = 0" for p in range(1, 11))),
+        "chain_graph": _chain_sql("SELECT src, dst FROM g"),
+        "chain_ranks": _chain_sql("SELECT vertex, rank FROM r0"),
+        "pagerank_chain": _chain_sql("SELECT vertex, round(rank, 12) AS rank FROM {r}"),
+        "dangling_mass_chain": _chain_sql(" UNION ALL ".join(f"SELECT {p}::INTEGER AS pass, round(coalesce(sum(s), 0), 12) AS mass FROM c{p} WHERE dst = 0" for p in range(1, 11))),
+        "pagerank_top": _pagerank_sql(EDGES, f"SELECT vertex, round(rank, 9) AS rank FROM {{r}} ORDER BY round({{r}}.rank, 9) DESC, vertex LIMIT {TOP}"),
+        "pagerank_first100": _pagerank_sql(EDGES, f"SELECT vertex, round(rank, 9) AS rank FROM {{r}} WHERE vertex <= {TOP}"),
+        "pagerank_mass": _pagerank_sql(EDGES, "SELECT round(sum(rank), 9) AS mass FROM {r}"),
+        "pagerank_rank_of": _pagerank_sql(EDGES, f"SELECT vertex, round(rank, 9) AS rank FROM {{r}} WHERE vertex = {SOURCE} OR vertex = (SELECT max(s_suppkey) FROM supplier)"),
+        "dangling_mass": _pagerank_sql(EDGES, " UNION ALL ".join(f"SELECT {p}::INTEGER AS pass, round(coalesce(sum(rank) FILTER (NOT o), 0), 9) AS lost, round(sum(rank), 9) AS mass FROM r{p}" for p in range(11))),
         "pagerank_edges": _pagerank_sql(EDGES),
         "pagerank_reversed": _pagerank_sql(REVERSED),
         "sssp_distance": _bfs_sql(SOURCE, EDGES, far),

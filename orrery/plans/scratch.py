@@ -2,6 +2,9 @@
 
 A kept table cuts its lineage as a reliable checkpoint does, and outlives any executor; but it is stored by
 columns, compressed, is read again only where its columns are needed, and goes as soon as it isn't.
+
+A placed table is dealt out by key into buckets besides: joins and groupings by that key read it where it lies, without
+an exchange, however often a loop comes back to it.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ import gc
 import uuid
 
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from orrery.plans.fixpoint import checkpoint_folder
 
@@ -49,6 +52,7 @@ class Scratch:
         self._home = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
         self._made = 0
         self._paths: dict[int, tuple[DataFrame, str]] = {}
+        self._tables: dict[int, str] = {}
 
     def _path(self, name: str):
         path = self._spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -71,11 +75,32 @@ class Scratch:
         self._paths[id(out)] = (out, name)
         return out
 
+    def counted(self, df: DataFrame, *what: Column) -> tuple[DataFrame, dict]:
+        """As keep(), with the named aggregates of all rows: side outputs of the job that writes."""
+        seen = Observation()
+        return self.keep(df.observe(seen, *what)), seen.get
+
+    def place(self, df: DataFrame, parts: int, *by: str, what: tuple[Column, ...] = (), side: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
+        """(df, written in so many buckets by its columns ``by``; the aggregates ``what``, side outputs of that job).
+
+        Columns ``side`` are for the aggregates only and aren't written.  A df that is already dealt out so isn't moved;
+        others should be repartitioned by these columns first, or a task may write to every bucket.
+        """
+        seen, name, path = Observation(), f"placed_{uuid.uuid4().hex}", self.folder()
+        if what:
+            df = df.observe(seen, *what)
+        df.drop(*side).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, *by).saveAsTable(name)
+        out = self._spark.table(name)
+        self._paths[id(out)], self._tables[id(out)] = (out, path), name
+        return out, seen.get if what else {}
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove kept tables that no result reads any more."""
         for t in tables:
             held, name = self._paths[id(t)]
             if held is not None:
+                if id(t) in self._tables:
+                    self._spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(id(t))}")
                 path, fs = self._path(name)
                 fs.delete(path, True)
                 self._paths[id(t)] = (None, name)
@@ -83,3 +108,17 @@ class Scratch:
     def settle(self) -> None:
         """Let Spark's cleaner remove the shuffles of plans that are no longer referenced, and free the driver's memory."""
         release(self._spark)
+
+
+#: Rows of a part of a placed table, about, and pieces of heavy keys that a part gets.
+PART_ROWS, PIECES = 2_000_000, 16
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """So many parts that each gets PART_ROWS rows, but no fewer than exchanges are dealt into: then those fit."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+
+
+def piece_rows(rows: int, parts: int) -> int:
+    """Rows of a key that stay together: a heavier one is cut, so that no part is much larger than another."""
+    return max(1, rows // (parts * PIECES))

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions.scalar import truncated_mean
-from orrery.operators import aggregate, joins, kmeans, pagerank, sssp
+from orrery.operators import aggregate, joins, kmeans, pagerank, placement, sssp
+from orrery.plans.scratch import Scratch
 from orrery.sources import edges as E
 from orrery.sources import points, sinks
 from orrery.sources.generators import chain_graph
@@ -187,15 +188,89 @@ def test_separators_and_quotes(spark, tmp_path):
     assert tuple(E.read_edges(spark, str(tmp_path / "q.csv")).first()) == ('"a', 'b"')
 
 
-def test_static_graph_stays(spark):
-    """A pass joins the graph where it lies: only the ranks are exchanged before that join."""
-    g = pagerank._placed(graph(spark, (1, 2), (2, 3)).withColumn("share", F.lit(1.0)))
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        text = pagerank._contributions(g, spark.range(9).select(F.col("id").alias("vertex"), F.lit(1.0).alias("rank")))._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert text.count("Exchange hashpartitioning(vertex") == 1 and "hashpartitioning(src" not in text
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_static_graph_stays(spark, no_broadcast):
+    """A pass joins the graph where it lies: the ranks are exchanged before that join, their sums after it, and nothing else."""
+    scratch = Scratch(spark)
+    g = placement.place_graph(graph(spark, (1, 2), (2, 3)), scratch)
+    ranks, _ = scratch.place(g.nodes.select("vertex", "slots", F.lit(1.0).alias("rank")), g.node_parts, "vertex")
+    got = pagerank._contributions(g, ranks)
+    text = executed(ranks.join(got, ranks["vertex"] == got["dst"], "left"))
+    assert text.count("Exchange hashpartitioning") == 2 and "hashpartitioning(src" not in text
+    assert text.count("hashpartitioning(vertex#") == 1 and text.count("hashpartitioning(dst#") == 1
+
+
+def test_reached_vertices_stay(spark, no_broadcast):
+    """A pass of the search moves the frontier and what it finds; neither steps nor what was reached before."""
+    scratch = Scratch(spark)
+    g = placement.place_graph(graph(spark, (1, 2), (2, 3)), scratch)
+    level = lambda: scratch.place(g.nodes.select("vertex", "slots"), g.node_parts, "vertex")[0]
+    text = executed(sssp._next(g, level(), [level(), level(), level()], 4))
+    assert text.count("Exchange") == 2 and text.count("Bucketed: true") == 6
+
+
+def root_executions(spark):
+    """All queries and writes so far that ran anything; what they run inside counts with them."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    every = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {x.rootExecutionId() for x in (every.apply(i) for i in range(every.size())) if not x.jobs().isEmpty()}
+
+
+def test_a_pass_is_one_job(spark):
+    """Mass, changes and convergence come from the job that writes a pass."""
+    e = graph(spark, (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (1, 6))
+    before = root_executions(spark)
+    pagerank.passes(e, iterations=2)
+    middle = root_executions(spark)
+    _, told = pagerank.passes(e, iterations=5)
+    assert len(root_executions(spark) - middle) - len(middle - before) == 3
+    assert len(told) == 6 and all(abs(p.mass - 1) < 1e-12 for p in told) and told[0].changed == 0 and told[1].changed > 0
+    jobs = []
+    for far in (graph(spark, (1, 2), (2, 3)), graph(spark, (1, 2), (2, 3), (3, 4), (4, 5))):
+        before = root_executions(spark)
+        assert sssp._reach(far, 1, 99).found == [1] * (far.count() + 1)
+        jobs.append(len(root_executions(spark) - before))
+    assert jobs[1] - jobs[0] <= 2 + 2  # two more passes, and the merges of small levels
+
+
+def test_tolerance_ends_the_loop(spark):
+    ranks, told = pagerank.passes(graph(spark, (1, 2), (2, 1)), iterations=50, tolerance=1e-9)
+    assert len(told) == 2 and told[-1].most == 0 and {r["rank"] for r in ranks.collect()} == {0.5}
+
+
+def test_hub_is_cut(spark, monkeypatch):
+    """One vertex has half of all edges: no part of the placed edges is twice the median, and the ranks are as without a cut."""
+    e = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") % 5000).cast("bigint").alias("src"), (F.col("id") // 2).alias("dst"))
+    g = placement.place_graph(e, Scratch(spark))
+    sizes = sorted(r["count"] for r in g.edges.groupBy(F.input_file_name()).count().collect())
+    assert len(sizes) == g.edge_parts and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    assert g.nodes.filter("vertex = 7").first()["slots"] > g.edge_parts
+    cut = {r["vertex"]: r["rank"] for r in pagerank.pagerank(e, iterations=2).collect()}
+    monkeypatch.setattr(placement, "piece_rows", lambda rows, parts: rows)
+    whole = {r["vertex"]: r["rank"] for r in pagerank.pagerank(e, iterations=2).collect()}
+    assert cut.keys() == whole.keys() and all(abs(cut[v] - whole[v]) < 1e-15 for v in cut)
+
+
+def test_paths_of_a_long_chain(spark):
+    """Pointers of a chain of 3000 vertices become paths in 12 steps."""
+    n = 3000
+    pointers = spark.range(n).select(F.col("id").alias("vertex"), F.col("id").alias("dist"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    before = root_executions(spark)
+    got = sssp.paths(pointers, Scratch(spark))
+    assert len(root_executions(spark) - before) == 1 + 12
+    assert got.count() == n and got.filter(F.col("vertex") == 4).first()["path"] == "3,2,1,0"
+    whole = got.filter(F.col("vertex") == n - 1).first()["path"]
+    assert whole == ",".join(map(str, range(n - 2, -1, -1))) and {r["path"] for r in got.filter("dist < 2").collect()} == {"0"}
 
 
 def test_files_and_command_line(spark, tmp_path, capsys):
