@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ from orrery.llm.vectors import ship, small_batches
 from orrery.plans.scratch import Scratch
 
 MIN_DOCS, TOP, SHARE = 3, 200, 1_000_000_000
-#: Bytes of text counted at once; terms that a task holds before it gives out their counts; numbers of a block of vectors.
-PIECE, HELD, BLOCK = 1 << 20, 300_000, 1 << 18
+#: Bytes of text counted at once; terms that a task holds before it gives out their counts; vectors of a block.
+PIECE, HELD, BLOCK = 1 << 20, 300_000, 4096
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _TERM, _GAP = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
@@ -56,12 +57,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs: dict[tuple, Counter] = {}
     held = 0
 
-    def out() -> pa.RecordBatch:
-        rows = [(*g, t.decode("utf-8", "replace"), n, docs[g][t]) for g, c in total.items() for t, n in c.items()]
-        lang, source, term, n, d = zip(*rows, strict=True)
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), c in total.items():
+            d = docs[lang, source]
+            whole = [pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(c.values(), pa.int64()), pa.array([d[t] for t in c], pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(c)), pa.repeat(source, len(c)), *whole], ["lang", "source", "term", "n", "docs"])
         total.clear()
         docs.clear()
-        return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(source), pa.array(term), pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
@@ -75,10 +77,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.setdefault(group, Counter()).update(seen)
             held += len(own) - before
             if held > HELD:
-                yield out()
+                yield from out()
                 held = 0
-    if held:
-        yield out()
+    yield from out()
 
 
 def shares(count: np.ndarray, total: np.ndarray, terms: int, scale: int = SHARE) -> np.ndarray:
@@ -95,9 +96,10 @@ def _evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, item, value): each pair's sum over a task's blocks of vectors."""
     sums: dict[str, tuple[list, np.ndarray]] = {}
     for batch in batches:
-        for r in batch.to_pylist():
+        for i in range(batch.num_rows):
+            r = {c: batch.column(c)[i].as_py() for c in ("lang", "sources", "totals", "terms")} | {c: batch.column(c)[i].values.to_numpy() for c in ("at", "of", "n", "times")}
             total = np.array(r["totals"], np.int64)
-            at, of, n, times = (np.array(r[c], np.int64) for c in ("at", "of", "n", "times"))
+            at, of, n, times = r["at"], r["of"], r["n"], r["times"]
             count = np.zeros((len(times), len(total)), np.int64)
             count[at, of] = n
             p = shares(count, total, r["terms"])
@@ -113,26 +115,13 @@ def _evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, vector, times) to blocks of one language: vectors as (row, source, count) lists."""
-    names = ["lang", "at", "source", "n", "times"]
-    kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    held: dict[str, list] = {}
-
-    def out(lang: str) -> pa.RecordBatch:
-        at, source, n, times = held.pop(lang)
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((lang, at, source, n, times), kinds, strict=True)], names)
-
+    """Rows (lang, sources, counts, times) to blocks of one language: vectors as (row, source, count) lists."""
     for batch in batches:
-        for lang, vector, m in zip(*(batch.column(c).to_pylist() for c in ("lang", "vector", "times")), strict=True):
-            at, source, n, times = held.setdefault(lang, [[], [], [], []])
-            at += [len(times)] * len(vector)
-            source += [v["source"] for v in vector]
-            n += [v["n"] for v in vector]
-            times.append(m)
-            if len(at) * 8 > BLOCK:
-                yield out(lang)
-    for lang in list(held):
-        yield out(lang)
+        for lang in batch.column("lang").unique():
+            own = batch.filter(pc.equal(batch.column("lang"), lang))
+            per = pc.list_value_length(own.column("sources")).to_numpy()
+            lists = [pa.array(np.repeat(np.arange(len(per)), per)), own.column("sources").flatten(), own.column("counts").flatten(), own.column("times")]
+            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)], ["lang", "at", "source", "n", "times"])
 
 
 def _divergence(p: str, q: str) -> str:
@@ -156,7 +145,8 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     table = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
     with small_batches(spark):
         parts = table.mapInArrow(_count, "lang string, source string, term string, n bigint, docs bigint")
-        counts = parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        # What a task gives out is added up already: dealt out once by term, it serves both groupings.
+        counts = parts.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         vectors = counts.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("vector"), F.sum("docs").alias("docs"))
         kept = scratch.keep(vectors.filter(F.col("docs") >= min_docs).select("lang", "term", "vector"))
     by_vector = Window.partitionBy("lang", "vector").orderBy("term")
@@ -173,8 +163,10 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     by_lang = by_lang.select("lang", F.col("g.source").alias("sources"), F.col("g.total").alias("totals"), "terms", "whole")
 
     # Pairs: blocks of distinct vectors meet their language's sources; every pair starts from 0.
-    blocks = distinct.select("lang", "vector", "times").mapInArrow(_blocks, "lang string, at array<bigint>, source array<string>, n array<bigint>, times array<bigint>")
-    with_sources = blocks.join(by_lang, "lang").select("lang", "at", F.transform("source", lambda s: F.array_position("sources", s) - 1).alias("of"), "n", "times", "sources", "totals", "terms")
+    with small_batches(spark, BLOCK):
+        blocks = distinct.select("lang", F.col("vector.source").alias("sources"), F.col("vector.n").alias("counts"), "times")
+        blocks = scratch.keep(blocks.mapInArrow(_blocks, "lang string, at array<bigint>, source array<string>, n array<bigint>, times array<bigint>"))
+    with_sources = blocks.join(by_lang, "lang").select("lang", "at", F.transform("source", lambda s: (F.array_position("sources", s) - 1).cast("bigint")).alias("of"), "n", "times", "sources", "totals", "terms")
     with small_batches(spark, 16):
         pairs = scratch.keep(with_sources.mapInArrow(_evaluate, "lang string, source string, item string, value bigint"))
     nothing = by_lang.filter("terms = 0").select("lang", F.explode("sources").alias("source"), "sources").select("lang", "source", F.explode("sources").alias("item")).filter("source <> item").withColumn("value", F.lit(0).cast("bigint"))

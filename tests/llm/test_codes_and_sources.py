@@ -86,7 +86,7 @@ def plain_audit(rows, min_docs, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("min_docs,top,block,held", [(3, 200, 1 << 18, 300_000), (2, 4, 40, 5), (1, 3, 8, 1), (99, 5, 8, 9)])
+@pytest.mark.parametrize("min_docs,top,block,held", [(3, 200, 4096, 300_000), (2, 4, 4, 5), (1, 3, 1, 1), (99, 5, 8, 9)])
 def test_audit_against_loops(spark, monkeypatch, min_docs, top, block, held):
     for name, x in (("BLOCK", block), ("HELD", held), ("PIECE", 11)):
         monkeypatch.setattr(source_divergence, name, x)
