@@ -1,25 +1,53 @@
-"""Two-paths and directed triangles (JOIN1-JOIN3, AGG14, AGG15)."""
+"""Two-paths and directed triangles (JOIN1-JOIN3, SRC5, AGG14, AGG15)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.plans.fixpoint import cut
+from orrery.plans.scratch import Scratch
 from orrery.sources.edges import cap_ids
 
+#: In-edges and out-edges of a block of a heavy middle vertex, at most about: a pair of blocks is a task's share.
+BLOCK_ROWS = 4096
+
 
 def _weighted(edges: DataFrame) -> DataFrame:
     """Distinct edges with their multiplicity: bag joins run on the distinct ones."""
     return edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
-def two_paths(edges: DataFrame, *, max_id: int | None = None) -> DataFrame:
-    """Two-paths a -> mid -> c with bag semantics: one row a distinct (a, c), n of them in the bag."""
-    e = _weighted(cap_ids(edges, max_id))
-    left = e.select(F.col("src").alias("a"), F.col("dst").alias("mid"), F.col("w").alias("w1"))
-    right = e.select(F.col("src").alias("mid"), F.col("dst").alias("c"), F.col("w").alias("w2"))
-    return left.join(right, "mid").groupBy("a", "c").agg(F.sum(F.col("w1") * F.col("w2")).alias("n"))
+def _blocked(edges: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(a, mid, i, j, w1) and (mid, i, j, c, w2): the steps into and out of each middle, a row for each pair of blocks.
+
+    The list into a middle and the one out of it are cut by hashes into blocks of about block_rows; each pair of blocks is a
+    join key of its own, so a hub's two-paths are spread over (in / block_rows) x (out / block_rows) keys.  A step is
+    repeated only as often as its partner's side has blocks: once wherever that side is no hub's.
+    """
+    e = cut(_weighted(edges))
+    blocks = lambda n: F.greatest(F.ceil(F.coalesce(n, F.lit(0)) / block_rows), F.lit(1)).cast("int")
+    into = e.groupBy(F.col("dst").alias("mid")).agg(F.count("*").alias("n_in"))
+    out = e.groupBy(F.col("src").alias("mid")).agg(F.count("*").alias("n_out"))
+    # Only middles with a step in and a step out have two-paths.
+    mids = cut(into.join(out, "mid").select("mid", blocks(F.col("n_in")).alias("bi"), blocks(F.col("n_out")).alias("bo")))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = e.join(mids, e["dst"] == mids["mid"]).select(F.col("src").alias("a"), "mid", own("src", "bi").alias("i"), every("bo").alias("j"), F.col("w").alias("w1"))
+    right = e.join(mids, e["src"] == mids["mid"]).select("mid", every("bi").alias("i"), own("dst", "bo").alias("j"), F.col("dst").alias("c"), F.col("w").alias("w2"))
+    return left, right
+
+
+def two_paths(edges: DataFrame, *, max_id: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Two-paths a -> mid -> c with bag semantics: one row a distinct (a, c), n of them in the bag.
+
+    Where a middle vertex has many steps in and many out, blocks of these meet in pairs, each of at most about
+    block_rows x block_rows paths, summed by (a, c) before they are exchanged.
+    """
+    left, right = _blocked(cap_ids(edges, max_id), block_rows)
+    return left.join(right, ["mid", "i", "j"]).groupBy("a", "c").agg(F.sum(F.col("w1") * F.col("w2")).alias("n"))
 
 
 def closed_walks3(edges: DataFrame, *, max_id: int | None = None) -> DataFrame:
@@ -44,16 +72,18 @@ def simple_edges(edges: DataFrame, *, max_id: int | None = None) -> DataFrame:
 
 
 def _by_degree(e: DataFrame) -> DataFrame:
-    """e (src, dst, w) with up: if src comes before dst in the order of (degree, id), degree counting both ways."""
+    """e (src, dst, w, ...) with up: if src comes before dst in the order of (degree, id), degree counting both ways."""
     deg = e.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
     x = e.join(deg.select(F.col("v").alias("src"), F.col("d").alias("ds")), "src")
     x = x.join(deg.select(F.col("v").alias("dst"), F.col("d").alias("dd")), "dst")
-    return x.select("src", "dst", "w", ((F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))).alias("up"))
+    return x.select(*e.columns, ((F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))).alias("up"))
 
 
-def _cycles(e: DataFrame, hint: str | None = None) -> DataFrame:
+def _cycles(e: DataFrame, hint: str | None = None, *, product: str | None = "w1 * w2 * w3") -> DataFrame:
     """(x, y, z, w): each directed cycle x -> y -> z -> x of different edges (src, dst, w) without loops once; w: the product.
 
+    product None: the edges' own w1, w2, w3 instead.
+
     Each is found at its vertex of the least (degree, id): there the edge in and the edge out both go to greater
     vertices, of which even a hub has few, so its two-paths don't multiply; the third edge closes it.
     """
@@ -63,7 +93,7 @@ def _cycles(e: DataFrame, hint: str | None = None) -> DataFrame:
     close = e.select(F.col("src").alias("y"), F.col("dst").alias("z"), F.col("w").alias("w2"))
     if hint:
         into, close = into.hint(hint), close.hint(hint)
-    return out.join(into, "x").filter("y <> z").join(close, ["y", "z"]).select("x", "y", "z", F.expr("w1 * w2 * w3").alias("w"))
+    return out.join(into, "x").filter("y <> z").join(close, ["y", "z"]).select("x", "y", "z", *(["w1", "w2", "w3"] if product is None else [F.expr(product).alias("w")]))
 
 
 def triangle_list(edges: DataFrame, *, max_id: int | None = None, hint: str | None = None) -> DataFrame:
@@ -88,14 +118,67 @@ def triangle_count_replicated(edges: DataFrame, side: DataFrame | None = None, *
     """Map-side form: probe edges keep repeats, the replicated side has none; matches div 3.
 
     side: the edges that are replicated, read from a file of their own (the probe's if None).  They are broadcast
-    only if their counted size is at most broadcast_rows; beyond, the same joins shuffle.
+    only if their counted size is at most broadcast_rows; beyond, ``_replicated_beyond`` ships a filter instead.
     """
-    probe = _weighted(cap_ids(edges, max_id))
-    side = probe.select("src", "dst") if side is None else cap_ids(side, max_id).select("src", "dst").distinct()
-    small = side.count() <= broadcast_rows
-    fit = F.broadcast if small else (lambda df: df)
+    scratch = Scratch(edges.sparkSession)
+    probe, own = _weighted(cap_ids(edges, max_id)), side is None
+    side = probe.select("src", "dst") if own else cap_ids(side, max_id).select("src", "dst").distinct()
+    side, seen = scratch.counted(side, F.count(F.lit(1)).alias("n"))
+    if seen["n"] > broadcast_rows:
+        return _replicated_beyond(probe, side, seen["n"])
     ab = probe.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w")
     bv = side.select(F.col("src").alias("b"), F.col("dst").alias("v"))
     va = side.select(F.col("src").alias("v"), F.col("dst").alias("a"))
-    hits = ab.join(fit(bv), "b").filter("v <> a").join(fit(va), ["v", "a"])
+    hits = ab.join(F.broadcast(bv), "b").filter("v <> a").join(F.broadcast(va), ["v", "a"])
     return hits.agg(F.expr("coalesce(sum(w), 0) div 3").alias("n"))
+
+
+#: Bits a key, and at most, of the filter that is shipped where the side is too large: up to 32 MB, whatever the side holds.
+KEY_BITS, MOST_BITS = 8, 1 << 28
+
+
+@dataclass
+class Filter:
+    """A set of keys as a bitmap of their hashes in rows (part, bits): it misses no key, and lets few others through."""
+
+    rows: DataFrame
+    bits: int
+
+    @staticmethod
+    def of(keys: Column, table: DataFrame, n: int) -> Filter:
+        """The filter of a column of table, for about n keys."""
+        bits = min(MOST_BITS, 1 << max(15, (n * KEY_BITS - 1).bit_length()))
+        h = F.pmod(F.xxhash64(keys), F.lit(bits)) + 1
+        rows = table.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+        return Filter(cut(rows), bits)
+
+    def holds(self, df: DataFrame, key: Column) -> DataFrame:
+        """The rows of df whose key may be in the set; the bitmap is broadcast, so df isn't moved."""
+        h = F.pmod(F.xxhash64(key), F.lit(self.bits)) + 1
+        at = df.select("*", F.bitmap_bucket_number(h).alias("_part"), F.bitmap_bit_position(h).alias("_at")).join(F.broadcast(self.rows), "_part")
+        byte = "CAST(conv(hex(substring(_bits, CAST(_at div 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+        return at.filter(F.expr(f"shiftright({byte}, CAST(_at % 8 AS INT)) & 1 = 1")).select(*df.columns)
+
+
+def _replicated_beyond(probe: DataFrame, side: DataFrame, n: int) -> DataFrame:
+    """The same count where the side can't be replicated: its filter is, and what passes is joined in the order of degrees.
+
+    A match is a directed cycle with one edge of the probe and two of the side.  Over three vertices it is found once, at
+    the vertex of the least degree, so a hub's edges don't multiply; each of its edges may be the probe's.  Over two, the
+    probe's edge is a loop, or the side has a loop at its end.
+    """
+    src, dst = F.col("src"), F.col("dst")
+    starts, ends = Filter.of(src, side, n), Filter.of(dst, side, n)
+    # The side must go on from the probe's end and come back to its start; its own edges must go on or come from somewhere.
+    probe = cut(ends.holds(starts.holds(probe, dst), src))
+    side = cut(starts.holds(side, dst).unionByName(ends.holds(side, src)).distinct())
+    both = probe.select("src", "dst", F.col("w").alias("p"), F.lit(0).cast("bigint").alias("s")).unionByName(side.select("src", "dst", F.lit(0).cast("bigint").alias("p"), F.lit(1).cast("bigint").alias("s")))
+    e = cut(both.groupBy("src", "dst").agg(F.sum("p").alias("p"), F.sum("s").alias("s")))
+    found = _cycles(e.filter("src <> dst").select("src", "dst", F.struct("p", "s").alias("w")), product=None)
+    three = found.select(F.expr("w1.p * w2.s * w3.s + w1.s * w2.p * w3.s + w1.s * w2.s * w3.p").alias("n"))
+    loops = e.filter("src = dst").select(F.col("src").alias("v"), F.col("p").alias("lp"), F.col("s").alias("ls"))
+    flat = e.filter("src <> dst")
+    back = flat.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("p").alias("p2"), F.col("s").alias("s2"))
+    # A loop of the probe at a, then a -> v -> a; a -> b of the probe, then the side's loop at b and b -> a.
+    two = flat.join(back, ["src", "dst"]).join(loops, F.col("src") == F.col("v")).select(F.expr("lp * s * s2 + p2 * ls * s").alias("n"))
+    return three.unionByName(two).agg(F.expr("coalesce(sum(n), 0) div 3").alias("n"))

@@ -50,7 +50,7 @@ def passes(edges: DataFrame, *, iterations: int = 10, damping: float = 1.0, tole
     counters = (F.sum(F.when(F.col("slots") == 0, F.col("rank"))).alias("lost"), F.sum("rank").alias("mass"), F.count_if(F.col("delta") > 0).alias("changed"), F.max("delta").alias("most"))
 
     def write(ranks: DataFrame) -> tuple[DataFrame, Pass]:
-        out, seen = scratch.place(ranks, graph.node_parts, "vertex", what=counters, side=("delta",))
+        out, seen = scratch.place(ranks, graph.parts, "vertex", what=counters, side=("delta",))
         return out, _observed(seen)
 
     def spread(state: tuple[DataFrame, list[Pass]], _: int) -> tuple[tuple[DataFrame, list[Pass]], bool]:
@@ -92,7 +92,7 @@ def chain_passes(spark: SparkSession, k: int, iterations: int = 10) -> tuple[Dat
         ranks, lost = state
         got = _contributions(graph, ranks)
         got = graph.nodes.join(got, graph.nodes["vertex"] == got["dst"], "left").select("vertex", "slots", F.coalesce("s", F.lit(0.0)).alias("s"))
-        got, seen = scratch.place(got, graph.node_parts, "vertex", what=(mass,))
+        got, seen = scratch.place(got, graph.parts, "vertex", what=(mass,))
         lost = [*lost, float(seen["lost"] or 0.0)]
         return (got.select("vertex", "slots", F.when(F.col("vertex") == 0, F.lit(0.0)).otherwise(F.col("s") + F.lit(lost[-1] / n)).alias("rank")), lost), False
 

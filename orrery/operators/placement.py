@@ -21,8 +21,7 @@ class Placed:
 
     edges: DataFrame
     nodes: DataFrame
-    edge_parts: int
-    node_parts: int
+    parts: int
     n_nodes: int
 
     def reach(self, front: DataFrame) -> DataFrame:
@@ -45,8 +44,7 @@ def place_graph(edges: DataFrame, scratch: Scratch, *, loops: bool = True) -> Pl
     cut = w.join(out, "src").select("src", slot.alias("slot"), "dst", "w", (F.col("w") / F.col("d")).alias("share"))
     placed, _ = scratch.place(cut.repartition(parts, "src", "slot"), parts, "src", "slot")
     every = w.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
-    nodes, told = scratch.counted(every.join(out.select(F.col("src").alias("vertex"), "slots"), "vertex", "left").select("vertex", F.coalesce("slots", F.lit(0)).alias("slots")), F.count(F.lit(1)).alias("n"))
-    node_parts = parts_for(spark, told["n"])
-    by_vertex, _ = scratch.place(nodes.repartition(node_parts, "vertex"), node_parts, "vertex")
-    scratch.drop(w, nodes)
-    return Placed(placed, by_vertex, parts, node_parts, told["n"])
+    nodes = every.join(out.select(F.col("src").alias("vertex"), "slots"), "vertex", "left").select("vertex", F.coalesce("slots", F.lit(0)).alias("slots"))
+    nodes, told = scratch.place(nodes.repartition(parts, "vertex"), parts, "vertex", what=(F.count(F.lit(1)).alias("n"),))
+    scratch.drop(w)
+    return Placed(placed, nodes, parts, told["n"])

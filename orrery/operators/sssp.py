@@ -61,17 +61,17 @@ def _reach(edges: DataFrame, source, max_iter: int) -> Reached:
     graph = place_graph(edges, scratch, loops=False)
     start = spark.range(1).select(F.lit(source).cast(kind).alias("vertex")).join(graph.nodes, "vertex", "left")
     start = start.select("vertex", F.coalesce("slots", F.lit(0)).alias("slots"), F.lit(0).cast("bigint").alias("dist"), F.lit(None).cast(kind).alias("parent"))
-    first, _ = scratch.place(start.repartition(graph.node_parts, "vertex"), graph.node_parts, "vertex")
+    first, _ = scratch.place(start.repartition(graph.parts, "vertex"), graph.parts, "vertex")
 
     def expand(levels: list[tuple[DataFrame, int]], i: int) -> tuple[list[tuple[DataFrame, int]], bool]:
-        new, seen = scratch.place(_next(graph, levels[-1][0], [t for t, _ in levels], i), graph.node_parts, "vertex", what=(F.count(F.lit(1)).alias("n"),))
+        new, seen = scratch.place(_next(graph, levels[-1][0], [t for t, _ in levels], i), graph.parts, "vertex", what=(F.count(F.lit(1)).alias("n"),))
         if not seen["n"]:
             scratch.drop(new)
             return levels, True
         found.append(seen["n"])
         while len(levels) > 1 and levels[-2][1] <= 2 * levels[-1][1]:
             pair, n = [t for t, _ in levels[-2:]], levels[-2][1] + levels[-1][1]
-            levels = [*levels[:-2], (scratch.place(reduce(DataFrame.unionByName, pair), graph.node_parts, "vertex")[0], n)]
+            levels = [*levels[:-2], (scratch.place(reduce(DataFrame.unionByName, pair), graph.parts, "vertex")[0], n)]
             scratch.drop(*pair)
         return [*levels, (new, seen["n"])], False
 
@@ -80,21 +80,23 @@ def _reach(edges: DataFrame, source, max_iter: int) -> Reached:
     return Reached(reduce(DataFrame.unionByName, [t for t, _ in levels]), found, scratch)
 
 
-def paths(pointers: DataFrame, scratch: Scratch) -> DataFrame:
+def paths(pointers: DataFrame, scratch: Scratch, open_ends: int | None = None) -> DataFrame:
     """(vertex, dist, path): the predecessors of each vertex, nearest first, down to the source, which holds itself.
 
-    pointers: (vertex, dist, parent).  A step appends to each text that of the vertex where it ends, and so doubles what is
+    pointers: (vertex, dist, parent); open_ends: how many are further than one step, if known.  A step appends to each text that of the vertex where it ends, and so doubles what is
     done: as many steps as the depth has binary digits.  A predecessor of many is one row that they are joined with.
     """
     text = F.coalesce(F.col("parent"), F.col("vertex")).cast("string")
     far = F.when(F.col("dist") > 1, F.col("parent"))  # where the text ends; null: at the source
-    table, seen = scratch.counted(pointers.select("vertex", "dist", far.alias("to"), text.alias("path")), F.count("to").alias("open"))
-    while seen["open"]:
+    table, kept = pointers.select("vertex", "dist", far.alias("to"), text.alias("path")), False
+    left = table.filter("to IS NOT NULL").count() if open_ends is None else open_ends
+    while left:
         on = table.select(F.col("vertex").alias("v2"), F.col("to").alias("to2"), F.col("path").alias("path2"))
         longer = table.filter("to IS NOT NULL").join(on, F.col("to") == F.col("v2")).select("vertex", "dist", F.col("to2").alias("to"), F.concat_ws(SEP, "path", "path2").alias("path"))
         longer, seen = scratch.counted(longer.unionByName(table.filter("to IS NULL")), F.count("to").alias("open"))
-        scratch.drop(table)
-        table = longer
+        if kept:
+            scratch.drop(table)
+        table, kept, left = longer, True, seen["open"]
     return table.select("vertex", "dist", "path")
 
 
@@ -109,7 +111,7 @@ def sssp_distance(edges: DataFrame, source, *, unreachable: str = "inf", max_ite
 def sssp_path(edges: DataFrame, source, *, max_iter: int = 1_000_000) -> DataFrame:
     """(vertex, dist, path) of the reached vertices; the least path wins ties, the source holds itself."""
     got = _reach(edges, source, max_iter)
-    return paths(got.table, got.scratch)
+    return paths(got.table, got.scratch, sum(got.found[2:]))
 
 
 def sssp_levels(edges: DataFrame, source, *, max_iter: int = 1_000_000) -> DataFrame:

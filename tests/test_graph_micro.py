@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,8 +172,6 @@ def test_stream(spark, tmp_path):
 
 def test_hub_triangles(spark):
     """A hub in the middle of the ids: both forms agree with a plain count."""
-    import random
-
     rnd = random.Random(2)
     pairs = [(rnd.randrange(60), 30) for _ in range(200)] + [(30, rnd.randrange(60)) for _ in range(200)] + [(rnd.randrange(60), rnd.randrange(60)) for _ in range(300)]
     have = set(pairs)
@@ -203,7 +204,7 @@ def test_static_graph_stays(spark, no_broadcast):
     """A pass joins the graph where it lies: the ranks are exchanged before that join, their sums after it, and nothing else."""
     scratch = Scratch(spark)
     g = placement.place_graph(graph(spark, (1, 2), (2, 3)), scratch)
-    ranks, _ = scratch.place(g.nodes.select("vertex", "slots", F.lit(1.0).alias("rank")), g.node_parts, "vertex")
+    ranks, _ = scratch.place(g.nodes.select("vertex", "slots", F.lit(1.0).alias("rank")), g.parts, "vertex")
     got = pagerank._contributions(g, ranks)
     text = executed(ranks.join(got, ranks["vertex"] == got["dst"], "left"))
     assert text.count("Exchange hashpartitioning") == 2 and "hashpartitioning(src" not in text
@@ -214,7 +215,7 @@ def test_reached_vertices_stay(spark, no_broadcast):
     """A pass of the search moves the frontier and what it finds; neither steps nor what was reached before."""
     scratch = Scratch(spark)
     g = placement.place_graph(graph(spark, (1, 2), (2, 3)), scratch)
-    level = lambda: scratch.place(g.nodes.select("vertex", "slots"), g.node_parts, "vertex")[0]
+    level = lambda: scratch.place(g.nodes.select("vertex", "slots"), g.parts, "vertex")[0]
     text = executed(sssp._next(g, level(), [level(), level(), level()], 4))
     assert text.count("Exchange") == 2 and text.count("Bucketed: true") == 6
 
@@ -253,8 +254,8 @@ def test_hub_is_cut(spark, monkeypatch):
     e = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") % 5000).cast("bigint").alias("src"), (F.col("id") // 2).alias("dst"))
     g = placement.place_graph(e, Scratch(spark))
     sizes = sorted(r["count"] for r in g.edges.groupBy(F.input_file_name()).count().collect())
-    assert len(sizes) == g.edge_parts and sizes[-1] < 2 * sizes[len(sizes) // 2]
-    assert g.nodes.filter("vertex = 7").first()["slots"] > g.edge_parts
+    assert len(sizes) == g.parts and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    assert g.nodes.filter("vertex = 7").first()["slots"] > g.parts
     cut = {r["vertex"]: r["rank"] for r in pagerank.pagerank(e, iterations=2).collect()}
     monkeypatch.setattr(placement, "piece_rows", lambda rows, parts: rows)
     whole = {r["vertex"]: r["rank"] for r in pagerank.pagerank(e, iterations=2).collect()}
@@ -288,3 +289,61 @@ def test_passes_are_bounded_aloud(spark):
     with pytest.raises(RuntimeError):
         sssp.sssp_path(graph(spark, (1, 2), (2, 3), (3, 4)), 1, max_iter=2)
     assert kmeans.seeds(spark.createDataFrame([(5,)], "n bigint"), 3, "powers") == [1, 10, 100]
+
+
+def test_hub_of_two_paths(spark):
+    """A middle with 20,000 steps in and 20,000 out: no join key has more than a pair of blocks, and every path is there."""
+    n, rows = 300, 64
+    e = spark.range(n).select(F.col("id").alias("src"), F.lit(-1).cast("bigint").alias("dst")).union(spark.range(n).select(F.lit(-1).cast("bigint"), F.col("id") + 1000))
+    e = e.union(graph(spark, (5, 6), (6, 7), (6, 7), (-1, -1)))
+    left, right = joins._blocked(e, rows)
+    for side in (left, right):
+        assert side.groupBy("mid", "i", "j").count().agg(F.max("count")).first()[0] <= 2 * rows
+    assert left.select("i", "j").distinct().count() == 25
+    got = joins.two_paths(e, block_rows=rows)
+    pairs = [(r["src"], r["dst"]) for r in e.collect()]
+    by = {}
+    for a, b in pairs:
+        by.setdefault(a, []).append(b)
+    want = Counter((a, c) for a, b in pairs for c in by.get(b, []))
+    assert {(r["a"], r["c"]): r["n"] for r in got.collect()} == want
+
+
+def test_large_hub_is_never_one_task(spark):
+    """10^5 steps in and 10^5 out: the heaviest pair of blocks stays small however large the hub is."""
+    n = 100_000
+    e = spark.range(n).select(F.col("id").alias("src"), F.lit(-1).cast("bigint").alias("dst")).union(spark.range(n).select(F.lit(-1).cast("bigint"), -F.col("id") - 2))
+    left, right = joins._blocked(e, joins.BLOCK_ROWS)
+    sizes = [s.groupBy("i", "j").count().agg(F.max("count"), F.count("*")).first() for s in (left, right)]
+    assert all(most < 1.2 * joins.BLOCK_ROWS and blocks == 25 * 25 for most, blocks in sizes)
+
+
+def test_replicated_beyond_the_broadcast(spark):
+    """A hub graph with loops and repeats, and a side of its own: the filter and the ordered join count what the broadcast does."""
+    rnd = random.Random(4)
+    pairs = [(rnd.randrange(40), 20) for _ in range(90)] + [(20, rnd.randrange(40)) for _ in range(90)] + [(rnd.randrange(40), rnd.randrange(40)) for _ in range(250)]
+    other = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(500)] + pairs[:100]
+    for side in (None, other):
+        have = set(other if side else pairs)
+        want = sum(1 for a, b in pairs for x, v in have if x == b and v != a and (v, a) in have) // 3
+        e, s = graph(spark, *pairs), graph(spark, *side) if side else None
+        assert joins.triangle_count_replicated(e, s).first()["n"] == joins.triangle_count_replicated(e, s, broadcast_rows=0).first()["n"] == want
+    keys = spark.range(1000)
+    f = joins.Filter.of(F.col("id"), keys, 1000)
+    assert f.holds(keys, F.col("id")).count() == 1000
+    assert f.holds(spark.range(10_000, 30_000), F.col("id")).count() < 20_000 * 0.2
+
+
+def test_many_centroids(spark):
+    """10,000 centroids: the plan is no longer than with 3, and each value goes where a plain search sends it."""
+    from orrery.functions.scalar import nearest
+
+    rnd = random.Random(6)
+    values = [rnd.randrange(-10, 200_000) for _ in range(400)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "n bigint")
+    for k in (1, 2, 3, 5, 17, 10_000):
+        centres = [rnd.randrange(200_000) for _ in range(k)] * 2
+        got = df.select("n", nearest(F.col("n"), centres).alias("c"))
+        near = sorted(set(centres))
+        assert [(r["n"], r["c"]) for r in got.collect()] == [(v, None if v is None else min(near, key=lambda c, v=v: (abs(v - c), c))) for v in values]
+        assert plan(got).count("filter(") < 40
