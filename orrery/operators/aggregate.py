@@ -62,6 +62,13 @@ def adjacency_list(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("adj"))
 
 
+def adjacency_blocks(edges: DataFrame, block_rows: int = GROUP_ROWS) -> DataFrame:
+    """(src, block, adj): out-neighbours in sorted blocks of about block_rows, repeats kept; a hub is many rows."""
+    blocks = edges.groupBy("src").agg(F.expr(f"CAST(ceil(count(*) / {block_rows}) AS INT)").alias("blocks"))
+    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("dst"), F.col("blocks")).cast("int")).otherwise(F.lit(0))
+    return edges.join(blocks, "src").groupBy("src", block.alias("block")).agg(F.sort_array(F.collect_list("dst")).alias("adj"))
+
+
 def adjacency_set(edges: DataFrame) -> DataFrame:
     """Sorted distinct out-neighbours of each vertex."""
     return edges.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("adj"))

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators.placement import Placed, place_graph
+from orrery.operators.placement import Placed, described, found, place_graph
 from orrery.plans.fixpoint import fixpoint
+from orrery.plans.manifest import Manifest
 from orrery.plans.scratch import Scratch
 from orrery.sources.generators import chain_graph, chain_ranks
 
@@ -36,14 +37,20 @@ def _observed(seen: dict) -> Pass:
     return Pass(float(seen["lost"] or 0.0), float(seen["mass"] or 0.0), int(seen["changed"] or 0), float(seen["most"] or 0.0))
 
 
-def passes(edges: DataFrame, *, iterations: int = 10, damping: float = 1.0, tolerance: float | None = None) -> tuple[DataFrame, list[Pass]]:
+def passes(edges: DataFrame, *, iterations: int = 10, damping: float = 1.0, tolerance: float | None = None, resume: str | None = None) -> tuple[DataFrame, list[Pass]]:
     """(vertex, rank) of a general graph after the passes, and what each counted, the start as pass 0.
 
     A vertex gives its rank in equal shares along its edges; repeated edges weigh as often as they occur; the rank of
-    sinks is shared by all.  tolerance: the loop ends when no rank changes by more than that.
+    sinks is shared by all.  tolerance: the loop ends when no rank changes by more than that.  resume: a shared folder of
+    this graph and damping alone; finished passes stay there, and a later call goes on from the last of them.
     """
-    scratch = Scratch(edges.sparkSession)
-    graph = place_graph(edges, scratch)
+    spark = edges.sparkSession
+    log = Manifest(spark, resume) if resume else None
+    scratch = Scratch(spark, resume)
+    done = log.last() if log else None
+    if done and done[1]["damping"] != damping:
+        raise ValueError(f"{resume} holds passes with damping {done[1]['damping']}")
+    graph = found(done[1]["graph"], scratch) if done else place_graph(edges, scratch)
     n = graph.n_nodes
     if n == 0:
         return graph.nodes.select("vertex", F.lit(0.0).alias("rank")), [Pass(0.0, 0.0, 0, 0.0)]
@@ -60,17 +67,32 @@ def passes(edges: DataFrame, *, iterations: int = 10, damping: float = 1.0, tole
         rank = F.lit(base) + F.lit(damping) * F.coalesce("s", F.lit(0.0))
         new = ranks.join(got, ranks["vertex"] == got["dst"], "left").select("vertex", "slots", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("delta"))
         new, seen = write(new)
+        told = [*told, seen]
+        finish(new, told)
         scratch.drop(ranks)
-        return (new, [*told, seen]), tolerance is not None and seen.most <= tolerance
+        return (new, told), settled(told)
 
-    start = write(graph.nodes.select("vertex", "slots", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("delta")))
-    (ranks, told), _ = fixpoint((start[0], [start[1]]), spread, iterations)
-    return ranks.select("vertex", "rank"), told
+    def finish(ranks: DataFrame, told: list[Pass]) -> None:
+        if log:
+            log.finish(len(told) - 1, {"damping": damping, "graph": described(graph, scratch), "ranks": scratch.described(ranks, graph.parts, "vertex"), "told": [vars(p) for p in told]})
 
+    def settled(told: list[Pass]) -> bool:
+        return tolerance is not None and len(told) > 1 and told[-1].most <= tolerance
 
-def pagerank(edges: DataFrame, *, iterations: int = 10, damping: float = 1.0, tolerance: float | None = None) -> DataFrame:
+    if done:
+        state = scratch.found(done[1]["ranks"]), [Pass(**p) for p in done[1]["told"]]
+    else:
+        ranks, seen = write(graph.nodes.select("vertex", "slots", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("delta")))
+        state = ranks, [seen]
+        finish(*state)
+    if not settled(state[1]):
+        state, _ = fixpoint(state, spread, iterations + 1 - len(state[1]))
+    return state[0].select("vertex", "rank"), state[1]
+
+
+def pagerank(edges: DataFrame, *, iterations: int = 10, damping: float = 1.0, tolerance: float | None = None, resume: str | None = None) -> DataFrame:
     """(vertex, rank) of a general graph."""
-    return passes(edges, iterations=iterations, damping=damping, tolerance=tolerance)[0]
+    return passes(edges, iterations=iterations, damping=damping, tolerance=tolerance, resume=resume)[0]
 
 
 def pass_counters(edges: DataFrame, *, iterations: int = 10, damping: float = 1.0) -> DataFrame:

@@ -31,6 +31,15 @@ class Placed:
         return self.edges.join(sent.hint("shuffle_hash"), on).drop("_slot")
 
 
+def described(graph: Placed, scratch: Scratch) -> dict:
+    return {"edges": scratch.described(graph.edges, graph.parts, "src", "slot"), "nodes": scratch.described(graph.nodes, graph.parts, "vertex"), "parts": graph.parts, "n": graph.n_nodes}
+
+
+def found(what: dict, scratch: Scratch) -> Placed:
+    """A graph that another driver has placed and described."""
+    return Placed(scratch.found(what["edges"]), scratch.found(what["nodes"]), what["parts"], what["n"])
+
+
 def place_graph(edges: DataFrame, scratch: Scratch, *, loops: bool = True) -> Placed:
     """edges (src, dst), repeats kept as weight w; share: the edge's part of its vertex's out-edges.  Loops go if asked."""
     spark = edges.sparkSession

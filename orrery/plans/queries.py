@@ -11,7 +11,7 @@ from math import isqrt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators import aggregate, joins, kmeans, pagerank, sssp
+from orrery.operators import aggregate, joins, kmeans, pagerank, records, sssp
 from orrery.plans.scratch import Scratch
 from orrery.sources import edges as E
 from orrery.sources import points, sinks
@@ -49,6 +49,12 @@ def _rank_of_last_supplier(spark: SparkSession, d: str) -> DataFrame:
     return pagerank.rank_of(_ranks(spark, d), SOURCE, last).select("vertex", F.round("rank", 9).alias("rank"))
 
 
+def _adjacency_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' and parts' blocks of 8, summed up: what the blocks of a vertex hold together."""
+    got = aggregate.adjacency_blocks(E.part_supp(spark, d), 8).select("src", F.explode("adj").alias("dst"))
+    return got.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("least"), F.max("dst").alias("greatest"), F.sum("dst").alias("total"))
+
+
 def _through_file(spark: SparkSession, edges: DataFrame, sep: str, back: Callable[[str], DataFrame]) -> DataFrame:
     """Edges written as lines and read again."""
     path = Scratch(spark).folder()
@@ -101,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edges_union": lambda s, d: aggregate.followers_reduce(E.union_edges(ps(s, d), E.reverse(ps(s, d)))),
         "adjacency_list": lambda s, d: aggregate.adjacency_list(ps(s, d)).select("src", F.array_join(F.col("adj").cast("array<string>"), ",").alias("adj")),
         "adjacency_set": lambda s, d: aggregate.adjacency_set(ps(s, d)).select("src", F.array_join(F.col("adj").cast("array<string>"), ",").alias("adj")),
+        "adjacency_blocks": _adjacency_blocks,
         "two_paths": lambda s, d: joins.two_paths(ps(s, d)),
         "closed_walks3": lambda s, d: joins.closed_walks3(ps(s, d)),
         "triangle_count": lambda s, d: joins.triangle_count(ps(s, d)),
@@ -123,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sssp_distance": lambda s, d: sssp.sssp_distance(ps(s, d), SOURCE),
         "sssp_distance_reversed": lambda s, d: sssp.sssp_distance(E.reverse(ps(s, d)), SOURCE),
         "sssp_path": lambda s, d: sssp.sssp_path(ps(s, d), SOURCE),
+        "sssp_records": lambda s, d: records.sssp_records(ps(s, d), SOURCE),
         "sssp_levels": lambda s, d: sssp.sssp_levels(ps(s, d), SOURCE),
         "kmeans_seeds": lambda s, d: kmeans.kmeans_seeds(_points(s, d), CLUSTERS),
         "kmeans_assign": lambda s, d: kmeans.kmeans_assign(_points(s, d).withColumnRenamed("l_partkey", "p"), CLUSTERS).select("p", "n", "centroid"),
@@ -199,6 +207,7 @@ def oracle_sql() -> dict[str, str]:
         "edges_union": "SELECT dst, count(*) AS n FROM (SELECT l_suppkey AS dst FROM lineitem UNION ALL SELECT l_partkey FROM lineitem) GROUP BY dst",
         "adjacency_list": adj.format("", "e"),
         "adjacency_set": adj.format("", "(SELECT DISTINCT src, dst FROM e)"),
+        "adjacency_blocks": f"WITH {EDGES} SELECT src, count(*) AS n, min(dst) AS least, max(dst) AS greatest, sum(dst)::BIGINT AS total FROM e GROUP BY src",
         "two_paths": f"WITH {EDGES} SELECT x.src AS a, y.dst AS c, count(*) AS n FROM e x JOIN e y ON x.dst = y.src GROUP BY 1, 2",
         "closed_walks3": f"WITH {EDGES} SELECT count(*) AS n FROM e x JOIN e y ON x.dst = y.src JOIN e z ON y.dst = z.src AND z.dst = x.src",
         "triangle_count": f"WITH {SIMPLE} SELECT count(*) AS n {TRIANGLES}",
@@ -221,6 +230,7 @@ def oracle_sql() -> dict[str, str]:
         "sssp_distance": _bfs_sql(SOURCE, EDGES, far),
         "sssp_distance_reversed": _bfs_sql(SOURCE, REVERSED, far),
         "sssp_path": _bfs_sql(SOURCE, EDGES, "SELECT vertex, dist, path FROM {s}"),
+        "sssp_records": _bfs_sql(SOURCE, EDGES, "SELECT vertex, dist, path FROM {s}"),
         "sssp_levels": _bfs_sql(SOURCE, EDGES, "SELECT dist, count(*) AS n FROM {s} GROUP BY dist"),
         "kmeans_seeds": f"SELECT j::INTEGER AS j, j * ((SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey)) // {CLUSTERS}) AS centroid FROM range(1, {CLUSTERS + 1}) t(j)",
         "kmeans_assign": _kmeans_sql(CLUSTERS, "SELECT p, n, centroid FROM {a}"),

@@ -45,11 +45,15 @@ def release(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """One operator's tables: keep() writes one, drop() removes some, the rest go when the driver's JVM ends."""
+    """One operator's tables: keep() writes one, drop() removes some, the rest go when the driver's JVM ends.
 
-    def __init__(self, spark: SparkSession) -> None:
+    With a home of its own, the tables stay there for a later driver (``manifest``).
+    """
+
+    def __init__(self, spark: SparkSession, home: str | None = None) -> None:
         self._spark = spark
-        self._home = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+        self._lasting = home is not None
+        self._home = home or f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
         self._made = 0
         self._paths: dict[int, tuple[DataFrame, str]] = {}
         self._tables: dict[int, str] = {}
@@ -60,6 +64,8 @@ class Scratch:
 
     def folder(self) -> str:
         """A new name for a file or a folder, which goes when the driver's JVM ends."""
+        if self._lasting:
+            return f"{self._home}/{uuid.uuid4().hex}"
         if not self._made:
             path, fs = self._path(self._home)
             fs.mkdirs(path)
@@ -94,6 +100,18 @@ class Scratch:
         self._paths[id(out)], self._tables[id(out)] = (out, path), name
         return out, seen.get if what else {}
 
+    def described(self, table: DataFrame, parts: int, *by: str) -> dict:
+        """What another driver needs to find a placed table."""
+        return {"path": self._paths[id(table)][1], "columns": table._jdf.schema().toDDL(), "parts": parts, "by": list(by)}
+
+    def found(self, what: dict) -> DataFrame:
+        """A placed table that another driver described."""
+        name = f"placed_{uuid.uuid4().hex}"
+        self._spark.sql(f"CREATE TABLE {name} ({what['columns']}) USING parquet CLUSTERED BY ({', '.join(what['by'])}) INTO {what['parts']} BUCKETS LOCATION '{what['path']}'")
+        out = self._spark.table(name)
+        self._paths[id(out)], self._tables[id(out)] = (out, what["path"]), name
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove kept tables that no result reads any more."""
         for t in tables:

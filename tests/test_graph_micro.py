@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions.scalar import truncated_mean
-from orrery.operators import aggregate, joins, kmeans, pagerank, placement, sssp
+from orrery.operators import aggregate, joins, kmeans, pagerank, placement, records, sssp
 from orrery.plans.scratch import Scratch
 from orrery.sources import edges as E
 from orrery.sources import points, sinks
@@ -347,3 +347,42 @@ def test_many_centroids(spark):
         near = sorted(set(centres))
         assert [(r["n"], r["c"]) for r in got.collect()] == [(v, None if v is None else min(near, key=lambda c, v=v: (abs(v - c), c))) for v in values]
         assert plan(got).count("filter(") < 40
+
+
+def test_loop_resumes(spark, tmp_path, monkeypatch):
+    """A loop whose third pass fails goes on from the second, in another session, and counts and ranks as if it hadn't."""
+    e = graph(spark, (1, 2), (2, 3), (3, 1), (3, 4), (1, 4), (5, 1))
+    want, told = pagerank.passes(e, iterations=5, damping=0.85)
+    home, whole, made = str(tmp_path / "loop"), pagerank._contributions, []
+
+    def fails(g, ranks):
+        made.append(1)
+        if len(made) == 3:
+            raise KeyboardInterrupt
+        return whole(g, ranks)
+
+    monkeypatch.setattr(pagerank, "_contributions", fails)
+    with pytest.raises(KeyboardInterrupt):
+        pagerank.passes(e, iterations=5, damping=0.85, resume=home)
+    monkeypatch.setattr(pagerank, "place_graph", None)  # the graph isn't placed again
+    got, again = pagerank.passes(spark.newSession().createDataFrame([], "src bigint, dst bigint"), iterations=5, damping=0.85, resume=home)
+    assert len(made) == 3 + 3 and [p.mass for p in again] == pytest.approx([p.mass for p in told])
+    assert {r["vertex"]: round(r["rank"], 12) for r in got.collect()} == {r["vertex"]: round(r["rank"], 12) for r in want.collect()}
+    assert pagerank.passes(e, iterations=5, damping=0.85, resume=home)[0].count() == 5 and len(made) == 6
+    with pytest.raises(ValueError, match="damping"):
+        pagerank.passes(e, iterations=5, resume=home)
+
+
+def test_node_records(spark, no_broadcast):
+    """Records merge where they lie: only candidates are exchanged; blocks of any size give the same paths."""
+    r, _ = records.node_records(graph(spark, (1, 2), (2, 3)), 1, Scratch(spark), 10)
+    text = executed(records._merged(r, 1))
+    assert text.count("Exchange") == 1 and text.count("Bucketed: true") == 1
+    rnd = random.Random(8)
+    pairs = [(7, i) for i in range(8, 300)] + [(rnd.randrange(300), rnd.randrange(300)) for _ in range(400)] + [(400, 400)]
+    e = graph(spark, *pairs)
+    want = {tuple(x) for x in sssp.sssp_path(e, 0).collect()}
+    for rows in (16, 100_000):
+        assert {tuple(x) for x in records.sssp_records(e, 0, block_rows=rows).collect()} == want
+    assert max(len(x["adj"]) for x in aggregate.adjacency_blocks(e, 16).collect()) < 48
+    assert [tuple(x) for x in records.sssp_records(e, 999).collect()] == [(999, 0, "999")]
