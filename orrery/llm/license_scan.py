@@ -11,7 +11,9 @@ sentence that holds a stop itself ("v. 2.0") is known by the sequence of its pie
 
 Defined results: null and empty texts have no sentences (empty licences, 0 hits).  Repeated rows give
 repeated results.  A rule matches when its sentences occur in its order, others between them allowed;
-it counts as often as it fits without overlap.  Where another licence's longer rule holds a rule's sentences,
+it counts as often as it fits without overlap.  Headings of full texts make one match where the licence has no other.
+Statements in one line ("this file is released under the ...") are cut to the licence's name; a sentence that names a
+holder ("neither the name of ...") is known whoever that is, up to SLOT_WORDS words.  Where another licence's longer rule holds a rule's sentences,
 its matches are taken off: a text of three BSD clauses isn't one of two.  Other columns, whatever their names,
 pass; n_sentences and licenses replace columns of these names.
 """
@@ -105,12 +107,62 @@ RULES: dict[str, list[list[str]]] = {
     "Zlib": [["zlib-1", "zlib-2", "zlib-3"]],
     "0BSD": [["0bsd-1"]],
 }
+# How licences are called in one-line statements, and the headings of their full texts.
+NAMES: dict[str, list[str]] = {
+    "MIT": ["MIT License", "MIT", "Expat License"],
+    "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache License, Version 2", "Apache License v2.0", "Apache License v2", "Apache 2.0 License", "Apache 2.0", "Apache-2.0 License", "Apache-2.0"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU General Public License v3", "GNU General Public License 3.0", "GNU GPL v3", "GNU GPLv3", "GPL v3", "GPLv3", "GPL-3.0", "GPL-3.0 License", "GPLv3 License"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU General Public License v2", "GNU GPL v2", "GNU GPLv2", "GPL v2", "GPLv2", "GPL-2.0", "GPLv2 License"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "GNU Lesser General Public License v3", "LGPLv3", "LGPL v3", "LGPL-3.0"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1", "LGPL v2.1", "LGPL-2.1"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "GNU Affero General Public License v3", "AGPLv3", "AGPL v3", "AGPL-3.0"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "BSD-3-Clause", "New BSD License", "Modified BSD License", "Revised BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "BSD-2-Clause", "Simplified BSD License", "FreeBSD License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License v2.0", "MPL 2.0", "MPL-2.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License, Version 2.0", "Eclipse Public License v2.0", "EPL 2.0", "EPL-2.0"],
+    "BSL-1.0": ["Boost Software License 1.0", "Boost Software License, Version 1.0", "BSL-1.0"],
+    "ISC": ["ISC License", "ISC"],
+    "Zlib": ["zlib License"],
+    "Unlicense": ["Unlicense"],
+    "0BSD": ["Zero-Clause BSD License", "BSD Zero Clause License", "0BSD"],
+    "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0", "CC0"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0 License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+}
+HEADINGS: dict[str, list[list[str]]] = {
+    "MIT": [["MIT License"], ["The MIT License"], ["The MIT License (MIT)"]],
+    "Apache-2.0": [["Apache License", "Version 2.0, January 2004"]],
+    "GPL-3.0": [["GNU GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"]],
+    "GPL-2.0": [["GNU GENERAL PUBLIC LICENSE", "Version 2, June 1991"]],
+    "LGPL-3.0": [["GNU LESSER GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"]],
+    "LGPL-2.1": [["GNU LESSER GENERAL PUBLIC LICENSE", "Version 2.1, February 1999"]],
+    "AGPL-3.0": [["GNU AFFERO GENERAL PUBLIC LICENSE", "Version 3, 19 November 2007"]],
+    "MPL-2.0": [["Mozilla Public License Version 2.0"]],
+    "EPL-2.0": [["Eclipse Public License - v 2.0"]],
+    "BSL-1.0": [["Boost Software License - Version 1.0 - August 17th, 2003"]],
+    "BSD-3-Clause": [["BSD 3-Clause License"]],
+    "BSD-2-Clause": [["BSD 2-Clause License"]],
+    "ISC": [["ISC License"]],
+    "CC0-1.0": [["CC0 1.0 Universal"]],
+    "CC-BY-4.0": [["Attribution 4.0 International"]],
+    "CC-BY-SA-4.0": [["Attribution-ShareAlike 4.0 International"]],
+}
 # Each licence also by its tag in a line of its own.
 for _name, _rules in RULES.items():
     SENTENCES[f"spdx {_name}"] = f"SPDX-License-Identifier: {_name}"
     _rules.append([f"spdx {_name}"])
+#: Sentences that name a holder: what stands for it is up to so many words between a beginning and an end.
+SLOT_WORDS = 40
+_ENDORSE = "endorse or promote products derived from this software(?: without specific prior(?: written)? permission)?"
+SLOTS: list[tuple[str, str, str]] = [("bsd-3", "neither the names?", _ENDORSE), ("bsd-3", "the names? of", f"(?:may|must) not be used to {_ENDORSE}")]
+#: One-line statements begin alike whatever they say it of, and may point to a file.
+STATEMENT = r"(?:th(?:is|e) (?:[a-z0-9]+ ){1,4}(?:is|are) )?(?:released|licensed|distributed|made available|available|provided|published) under (?:the terms of )?(?:the )?"
+POINTER = r" see (?:the )?(?:[a-z0-9]+ ){1,4}for (?:more |full )?(?:details|information)"
 #: A full stop ends a sentence before white space or the end; so do line ends (all, or blank lines).
-STOP = r"[.!?;]+(?=\s|$)"
+STOP = r"(?<![.!?;])[.!?;]++(?=\s|$)"
 END_LINES, END_BLANKS = rf"{STOP}|[\r\n]+", rf"{STOP}|[\r\n][\s\p{{Punct}}]*[\r\n]"
 #: Cuts are marked by a control character, which so ends a sentence where a text holds it.
 MARK = "\x01"
@@ -122,10 +174,38 @@ def normalise(sentence: str) -> str:
     return " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in sentence.lower()).split())
 
 
-def anchors(sentences: dict[str, str], letters: int = 7) -> list[str]:
-    """A few words, of so many letters if the sentences have such, of which every sentence holds one."""
-    left = [normalise(x) for x in sentences.values()]
-    words = sorted({w for x in left for w in ([w for w in x.split() if len(w) >= letters] or x.split())})
+def known_as(sentence: str) -> str:
+    """The form in which a text's sentence is compared: statements are cut to what they say."""
+    return re.sub(POINTER + "$", "", re.sub("^" + STATEMENT, "under ", normalise(sentence)))
+
+
+def _extend() -> dict[str, list[list[str]]]:
+    """Adds the sentences and rules of NAMES that the tables above lack, and those of HEADINGS; the latter's rules."""
+    have = {known_as(x) for x in SENTENCES.values()}
+    for lic, names in NAMES.items():
+        for text in [f"{how} {n}" for n in names for how in ("Licensed under the", "License:")]:
+            if known_as(text) not in have:
+                have.add(known_as(text))
+                SENTENCES[f"named {text}"] = text
+                RULES[lic].append([f"named {text}"])
+    name = {known_as(x): n for n, x in reversed(SENTENCES.items())}
+    out = {}
+    for lic, rules in HEADINGS.items():
+        for text in [t for r in rules for t in r]:
+            if known_as(text) not in name:
+                SENTENCES[name.setdefault(known_as(text), f"heading {text}")] = text
+        out[lic] = [[name[known_as(t)] for t in r] for r in rules]
+    return out
+
+
+#: Licence -> rules of its headings, which count once, and only where nothing else of the licence is found.
+TITLES = _extend()
+
+
+def anchors(sentences: dict[str, str], letters: tuple[int, ...] = (7, 5, 1)) -> list[str]:
+    """A few words, of the first of these numbers of letters that a sentence has, of which every sentence holds one."""
+    left = [known_as(x) for x in sentences.values()]
+    words = sorted({w for x in left for w in next(filter(None, ([w for w in x.split() if len(w) >= n] for n in letters)))})
     out = []
     while left:
         best = max(words, key=lambda w: (sum(w in x for x in left), len(w)))
@@ -136,12 +216,16 @@ def anchors(sentences: dict[str, str], letters: int = 7) -> list[str]:
 
 def identifiers(text: Column, sentences: dict[str, str], ends: str) -> Column:
     """array<int>: the 1-based numbers of the known sentences in the order of the text."""
-    known = F.array(*[F.lit(normalise(s)) for s in sentences.values()])
+    known = F.split(F.lit(MARK.join(map(known_as, sentences.values()))), MARK)
     flat = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ends, MARK), JUNK, " ")
     for sentence in sentences.values():
         pieces = [x for x in map(normalise, re.split(STOP, sentence)) if x]
         if len(pieces) > 1:  # its pieces become one sentence again
-            flat = F.regexp_replace(flat, rf"(?<![^{MARK}]) ?{f'[ {MARK}]*{MARK}[ {MARK}]*'.join(pieces)} ?(?={MARK}|$)", normalise(sentence))
+            flat = F.regexp_replace(flat, rf"(?<![^{MARK}]) ?{f' *+(?:{MARK} *+)++'.join(pieces)} ?(?={MARK}|$)", normalise(sentence))
+    for name, begin, end in SLOTS:
+        if name in sentences:
+            flat = F.regexp_replace(flat, rf"\b{begin}(?:[ {MARK}]++[a-z0-9]++){{1,{SLOT_WORDS}}}?[ {MARK}]++{end}\b", MARK + known_as(sentences[name]) + MARK)
+    flat = F.regexp_replace(F.regexp_replace(flat, rf"(^|{MARK}) ?{STATEMENT}", "$1under "), rf"{POINTER} ?(?={MARK}|$)", "")
     # The lookup is by equal bytes among constants; the blanks beside the cuts go first.
     return F.filter(F.transform(F.split(flat, MARK), lambda s: F.array_position(known, F.trim(s)).cast("int")), lambda i: i > 0)
 
@@ -166,9 +250,10 @@ def longer_rules(rules: dict[str, list[list[str]]], lic: str, rule: list[str]) -
     return [r for other, rs in rules.items() if other != lic for r in rs if len(r) > len(rule) and _holds(r, rule)]
 
 
-def scan(docs: DataFrame, *, text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: dict[str, list[list[str]]] = RULES) -> DataFrame:
+def scan(docs: DataFrame, *, text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: dict[str, list[list[str]]] = RULES, titles: dict[str, list[list[str]]] | None = None) -> DataFrame:
     """docs with n_sentences (known sentences found) and licenses: map of licence -> matches."""
     number = {name: i for i, name in enumerate(sentences, 1)}
+    titles = (TITLES if rules is RULES else {}) if titles is None else titles
     text = F.col(f"`{text_col}`")
     names = [c for c in docs.columns if c not in ("n_sentences", "licenses")]
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -183,7 +268,9 @@ def scan(docs: DataFrame, *, text_col: str = "text", sentences: dict[str, str] =
                 n = count_rule(ids, [number[x] for x in r])
                 over = [count_rule(ids, [number[x] for x in long]) for long in longer_rules(rules, lic, r)]
                 parts.append(F.greatest(n - sum(over[1:], over[0]), F.lit(0)) if over else n)
-            return sum(parts[1:], parts[0])
+            whole = sum(parts[1:], parts[0])
+            heads = [F.least(count_rule(ids, [number[x] for x in r]), F.lit(1)) for r in titles.get(lic, [])]
+            return F.greatest(whole, *heads) if heads else whole
 
         return of
 
@@ -202,15 +289,22 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def oracle() -> str:
     """DuckDB SQL for report(scan(documents)): every text is searched for the sentences, without cutting it into pieces."""
     number = {name: i for i, name in enumerate(SENTENCES, 1)}
-    whole = {name: normalise(x) for name, x in SENTENCES.items()}
+    whole = {name: known_as(x) for name, x in SENTENCES.items()}
     # An end is two marks, so that sentences that follow each other are both found between marks.
-    pieces = {name: "[ \\x01]*\\x01[ \\x01]*".join(x for x in map(normalise, re.split(STOP, SENTENCES[name])) if x) for name in SENTENCES}
+    cut = {name: [x for x in map(normalise, re.split(STOP, SENTENCES[name])) if x] for name in SENTENCES}
+    pieces = {name: "[ \\x01]*\\x01[ \\x01]*".join(cut[name]) if len(cut[name]) > 1 else whole[name] for name in SENTENCES}
     # Longer ones first: RE2 takes the first alternative that fits.
     search = "\\x01 ?(" + "|".join(sorted(pieces.values(), key=len, reverse=True)) + ") ?\\x01"
     names = "[" + ", ".join(f"'{whole[n]}'" for n in SENTENCES) + "]"
     plain = "trim(regexp_replace(x, '[ \\x01]+', ' ', 'g'))"
     # RE2 has no look-ahead: a stop takes the white space after it along, which is no part of a sentence.
-    ids = lambda ends: f"list_transform(regexp_extract_all(chr(1) || regexp_replace(regexp_replace(lower(replace(coalesce(text, ''), chr(1), chr(1) || chr(1))), '{ends}', chr(1) || chr(1), 'g'), '[^a-z0-9\\x01]+', ' ', 'g') || chr(1), '{search}'), lambda x: list_position({names}, {plain}))"
+    def ids(ends: str) -> str:
+        flat = f"chr(1) || regexp_replace(regexp_replace(lower(replace(coalesce(text, ''), chr(1), chr(1) || chr(1))), '{ends}', chr(1) || chr(1), 'g'), '[^a-z0-9\\x01]+', ' ', 'g') || chr(1)"
+        for name, begin, end in SLOTS:
+            flat = f"regexp_replace({flat}, '\\b{begin}(?:[ \\x01]+[a-z0-9]+){{1,{SLOT_WORDS}}}?[ \\x01]+{end}\\b', chr(1) || chr(1) || '{whole[name]}' || chr(1) || chr(1), 'g')"
+        flat = f"regexp_replace(regexp_replace({flat}, '\\x01 ?{STATEMENT}', chr(1) || 'under ', 'g'), '{POINTER} ?\\x01', chr(1), 'g')"
+        return f"list_transform(regexp_extract_all({flat}, '{search}'), lambda x: list_position({names}, {plain}))"
+
     lines, blanks = ids(r"[.!?;]+(?:\s|$)|[\r\n]+"), ids(r"[.!?;]+(?:\s|$)|[\r\n][\s[:punct:]]*[\r\n]")
     one = lambda c, r: f"(list_reduce(list_prepend(0, {c}), lambda p, h: CASE WHEN h = [{', '.join(str(number[x]) for x in r)}][p % {len(r)} + 1] THEN p + 1 ELSE p END) // {len(r)})"
 
@@ -218,5 +312,6 @@ def oracle() -> str:
         over = longer_rules(RULES, lic, r)
         return f"greatest({one(c, r)} - ({' + '.join(one(c, x) for x in over)}), 0)" if over else one(c, r)
 
-    counts = ", ".join(f"{{'k': '{lic}', 'v': greatest({', '.join('+'.join(rule(c, lic, r) for r in rs) for c in ('a', 'b'))})}}" for lic, rs in sorted(RULES.items()))
+    heads = lambda c, lic: "".join(f", least({one(c, r)}, 1)" for r in TITLES.get(lic, []))
+    counts = ", ".join(f"{{'k': '{lic}', 'v': greatest({', '.join('+'.join(rule(c, lic, r) for r in rs) + heads(c, lic) for c in ('a', 'b'))})}}" for lic, rs in sorted(RULES.items()))
     return f"WITH s AS MATERIALIZED (SELECT doc_id, {lines} AS a, {blanks} AS b FROM documents), f AS (SELECT doc_id, greatest(len(a), len(b)) AS n_sentences, list_filter([{counts}], lambda x: x.v > 0) AS m FROM s) SELECT doc_id, n_sentences, len(m) AS n_licenses, array_to_string(list_transform(m, lambda x: x.k || ':' || x.v), ',') AS licenses FROM f"
