@@ -263,8 +263,12 @@ def scan(docs: DataFrame, *, text_col: str = "text", sentences: dict[str, str] =
 
     def matches(lic: str) -> Callable[[Column], Column]:
         def of(ids: Column) -> Column:
-            parts = []
+            # Most rules are one sentence that no longer rule holds: these are counted together.
+            alone = [number[r[0]] for r in rules[lic] if len(r) == 1 and not longer_rules(rules, lic, r)]
+            parts = [F.size(F.filter(ids, lambda i: i.isin(*alone)))] if alone else []
             for r in rules[lic]:
+                if len(r) == 1 and number[r[0]] in alone:
+                    continue
                 n = count_rule(ids, [number[x] for x in r])
                 over = [count_rule(ids, [number[x] for x in long]) for long in longer_rules(rules, lic, r)]
                 parts.append(F.greatest(n - sum(over[1:], over[0]), F.lit(0)) if over else n)
