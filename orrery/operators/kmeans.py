@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.scalar import nearest, truncated_mean
-from orrery.plans.fixpoint import cut, fixpoint
+from orrery.plans.fixpoint import fixpoint
+from orrery.plans.scratch import Scratch
 
 
 def histogram(points: DataFrame) -> DataFrame:
@@ -19,7 +20,10 @@ def histogram(points: DataFrame) -> DataFrame:
 
 def seeds(points: DataFrame, k: int, how: str = "even") -> list[int]:
     """even: j * (max div k) for j = 1..k; powers: 10^j for j = 0..k-1."""
-    top = points.agg(F.max("n")).first()[0]
+    return _spread(points.agg(F.max("n")).first()[0], k, how)
+
+
+def _spread(top: int | None, k: int, how: str) -> list[int]:
     if top is None:
         return []
     return [j * (int(top) // k) for j in range(1, k + 1)] if how == "even" else [10**j for j in range(k)]
@@ -39,8 +43,11 @@ def _means(hist: DataFrame, centres: list[int]) -> DataFrame:
 
 
 def _fit(points: DataFrame, k: int, max_iter: int, start: list[int] | None) -> tuple[DataFrame, list[int], list[tuple[int, int]], int]:
-    """The written histogram, the centroids before the last pass, (centroid, size) after it, and the passes."""
-    hist = cut(histogram(points))
+    """The written histogram, the centroids before the last pass, (centroid, size) after it, and the passes.
+
+    The greatest count, of which the seeds are made, is observed while the histogram is written; a pass is one job.
+    """
+    hist, seen = Scratch(points.sparkSession).counted(histogram(points), F.max("n").alias("top"))
 
     def move(state: tuple[list[int], list[tuple[int, int]]], _: int) -> tuple[tuple[list[int], list[tuple[int, int]]], bool]:
         _, last = state
@@ -48,7 +55,7 @@ def _fit(points: DataFrame, k: int, max_iter: int, start: list[int] | None) -> t
         rows = [(r["mean"], r["size"]) for r in _means(hist, old).orderBy("centroid").collect()]  # at most k rows
         return (old, rows), [m for m, _ in rows] == old
 
-    first = seeds(hist, k) if start is None else sorted(start)
+    first = _spread(seen["top"], k, "even") if start is None else sorted(start)
     (old, rows), i = fixpoint((first, [(c, 0) for c in first]), move, max_iter)
     return hist, old, rows, i
 
