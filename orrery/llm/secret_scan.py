@@ -17,6 +17,7 @@ text, whichever of them is a candidate; a null id is looked up like others.  Oth
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 from re import _parser as regex_parser
@@ -124,19 +125,32 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return clauses
 
 
+#: Matches whose places are added up together: appending to a list copies it, so one long list would take squared time.
+MATCHES = 256
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spans(text: Column, rule: Rule, number: int) -> Column:
     """array<struct<start, k, end>> of a rule's matches in the text, by built-in functions.
 
     The pieces between the matches and the matches themselves give the positions.
     """
+    kind = "array<struct<start:int,k:int,end:int>>"
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     pieces = F.split(text, rule.pattern, -1)
     rows = F.zip_with(F.zip_with(found, value, lambda m, v: F.struct(F.char_length(m).alias("m"), F.char_length(v).alias("v"))), F.slice(pieces, F.lit(1), F.size(found)), lambda m, p: F.struct(m["m"].alias("m"), m["v"].alias("v"), F.char_length(p).alias("p")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,k:int,end:int>>").alias("out"))
     step = lambda a, r: F.struct((a["at"] + r["p"] + r["m"]).alias("at"), F.when(r["v"] >= rule.least, F.array_append(a["out"], F.struct((a["at"] + r["p"]).alias("start"), F.lit(number).alias("k"), (a["at"] + r["p"] + r["m"]).alias("end")))).otherwise(a["out"]).alias("out"))
-    none = F.array().cast("array<struct<start:int,k:int,end:int>>")
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), F.aggregate(rows, zero, step)["out"]).otherwise(none)
+    part = lambda some: F.aggregate(some, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step)
+    moved = lambda out, by: F.transform(out, lambda x: F.struct((x["start"] + by).alias("start"), x["k"].alias("k"), (x["end"] + by).alias("end")))
+    join = lambda a, some: _let(part(some), lambda e: F.struct((a["at"] + e["at"]).alias("at"), F.array_append(a["out"], moved(e["out"], a["at"])).alias("out")))
+    parts = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / MATCHES).cast("int")), lambda i: F.slice(r, i * MATCHES + 1, MATCHES))
+    whole = F.aggregate(_let(rows, parts), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), join)["out"]
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), F.flatten(whole)).otherwise(F.array().cast(kind))
 
 
 def postings(docs: DataFrame, trigrams: list[str], id_col: str, text_col: str) -> DataFrame:

@@ -272,3 +272,15 @@ def test_native_plans(spark, sf_dir):
     for name, q in queries.queries().items():
         if name.split("_")[0] in ("op1", "op3", "op5", "op9", "op10"):
             assert not re.search("Python|Pandas|Arrow|Cartesian", plan(q(spark, sf_dir))), name
+
+
+def test_many_secrets_in_one_text(spark):
+    """40,000 matches in one text: as many spans, each where its match is, in time that goes with their number."""
+    import time
+
+    n, one = 40_000, "token=abcdef "
+    df = docs(spark, [(1, "ü" + one * n, "s"), (2, one * 257, "s"), (3, one * 256 + "x", "s")])
+    began = time.time()
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(df).collect()}
+    assert [(x["start"], x["end"]) for x in got[1]] == [(1 + 13 * i, 13 + 13 * i) for i in range(n)] and time.time() - began < 60
+    assert [len(got[i]) for i in (2, 3)] == [257, 256] and got[2][256]["start"] == 256 * 13
