@@ -128,13 +128,17 @@ class Scratch:
         release(self._spark)
 
 
-#: Rows of a part of a placed table, about, and pieces of heavy keys that a part gets.
-PART_ROWS, PIECES = 2_000_000, 16
+#: Rows of a part of a placed table, at least and at most about, and pieces of heavy keys that a part gets.
+LEAST_ROWS, PART_ROWS, PIECES = 50_000, 2_000_000, 16
 
 
 def parts_for(spark: SparkSession, rows: int) -> int:
-    """So many parts that each gets PART_ROWS rows, but no fewer than exchanges are dealt into: then those fit."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+    """As many parts as exchanges are dealt into, as those fit then; fewer or more where a part would be too small or large.
+
+    With another number a sum that was exchanged already is dealt out once more to meet the table; it is small by then.
+    """
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(dealt, -(-rows // LEAST_ROWS)), -(-rows // PART_ROWS))
 
 
 def piece_rows(rows: int, parts: int) -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.scalar import truncated_mean
 from orrery.operators import aggregate, joins, kmeans, pagerank, placement, records, sssp
+from orrery.plans import scratch as scratch_tables
 from orrery.plans.scratch import Scratch
 from orrery.sources import edges as E
 from orrery.sources import points, sinks
@@ -194,7 +195,10 @@ def executed(df):
 
 
 @pytest.fixture
-def no_broadcast(spark):
+def no_broadcast(spark, monkeypatch):
+    """Small tables as large ones are: in several parts, and joined where they lie or by an exchange."""
+    monkeypatch.setattr(placement, "parts_for", lambda s, n: 8)
+    monkeypatch.setattr(records, "parts_for", lambda s, n: 8)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -251,10 +255,11 @@ def test_tolerance_ends_the_loop(spark):
 
 def test_hub_is_cut(spark, monkeypatch):
     """One vertex has half of all edges: no part of the placed edges is twice the median, and the ranks are as without a cut."""
+    monkeypatch.setattr(scratch_tables, "LEAST_ROWS", 1000)
     e = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") % 5000).cast("bigint").alias("src"), F.expr("id div 2").alias("dst"))
     g = placement.place_graph(e, Scratch(spark))
     sizes = sorted(r["count"] for r in g.edges.groupBy(F.input_file_name()).count().collect())
-    assert len(sizes) == g.parts and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    assert len(sizes) == g.parts == 8 and sizes[-1] < 2 * sizes[len(sizes) // 2]
     assert g.nodes.filter("vertex = 7").first()["slots"] > g.parts
     cut = {r["vertex"]: r["rank"] for r in pagerank.pagerank(e, iterations=2).collect()}
     monkeypatch.setattr(placement, "piece_rows", lambda rows, parts: rows)
@@ -386,3 +391,8 @@ def test_node_records(spark, no_broadcast):
         assert {tuple(x) for x in records.sssp_records(e, 0, block_rows=rows).collect()} == want
     assert max(len(x["adj"]) for x in aggregate.adjacency_blocks(e, 16).collect()) < 48
     assert [tuple(x) for x in records.sssp_records(e, 999).collect()] == [(999, 0, "999")]
+
+
+def test_parts_follow_the_rows(spark):
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [scratch_tables.parts_for(spark, n) for n in (0, 60_000, 10_000_000, 2_000_000_000)] == [1, 2, dealt, 1000]
