@@ -23,6 +23,8 @@ from orrery.plans.scratch import Scratch
 from orrery.sources.edges import vertices
 
 SEP = ","
+#: Tables of reached vertices that are left apart.
+LEVELS = 8
 
 
 @dataclass
@@ -54,7 +56,7 @@ def _next(graph: Placed, front: DataFrame, seen: list[DataFrame], i: int) -> Dat
 def _reach(edges: DataFrame, source, max_iter: int) -> Reached:
     """Levels are placed by vertex, as the vertices are, so nothing that is reached moves again.
 
-    Two tables of about one size become one, so there are few of them, and a row is copied few times.
+    Beyond LEVELS tables two of about one size become one, so there are few of them, and a row is copied few times.
     """
     spark, kind = edges.sparkSession, edges.schema["src"].dataType
     scratch = Scratch(spark)
@@ -69,7 +71,7 @@ def _reach(edges: DataFrame, source, max_iter: int) -> Reached:
             scratch.drop(new)
             return levels, True
         found.append(seen["n"])
-        while len(levels) > 1 and levels[-2][1] <= 2 * levels[-1][1]:
+        while len(levels) > LEVELS and levels[-2][1] <= 2 * levels[-1][1]:
             pair, n = [t for t, _ in levels[-2:]], levels[-2][1] + levels[-1][1]
             levels = [*levels[:-2], (scratch.place(reduce(DataFrame.unionByName, pair), graph.parts, "vertex")[0], n)]
             scratch.drop(*pair)

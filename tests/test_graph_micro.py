@@ -248,6 +248,13 @@ def test_a_pass_is_one_job(spark):
     assert jobs[1] - jobs[0] <= 2 + 2  # two more passes, and the merges of small levels
 
 
+def test_levels_are_merged(spark, monkeypatch):
+    """A chain with ways back: merged tables hold all that was reached."""
+    monkeypatch.setattr(sssp, "LEVELS", 2)
+    e = graph(spark, *[(i, i + 1) for i in range(9)], *[(i, i - 3) for i in range(3, 9)])
+    assert {r["vertex"]: r["distance"] for r in sssp.sssp_distance(e, 0).collect()} == {i: float(i) for i in range(10)}
+
+
 def test_tolerance_ends_the_loop(spark):
     ranks, told = pagerank.passes(graph(spark, (1, 2), (2, 1)), iterations=50, tolerance=1e-9)
     assert len(told) == 2 and told[-1].most == 0 and {r["rank"] for r in ranks.collect()} == {0.5}
