@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from orrery.sources.edges import cap_ids
 
 #: In-edges and out-edges of a block of a heavy middle vertex, at most about: a pair of blocks is a task's share.
 BLOCK_ROWS = 4096
+#: Two-paths of a part of sources, at most and at least about, and those that are summed up at once.
+PART_PATHS, LEAST_PATHS, CHUNK_PATHS = 32_000_000, 1_000_000, 1_000_000
 
 
 def _weighted(edges: DataFrame) -> DataFrame:
@@ -40,14 +45,132 @@ def _blocked(edges: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
+def _summed(chunk: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a part (kind, a, nid, w, cs, ws), first all lists of its middles (kind 0), then its first steps by a (kind 1): (a, c, n).
+
+    About ``chunk`` paths are held at once, and those of the source that ends them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, steps, held, known = [], [], 0, None
+
+        def closed() -> tuple:
+            """The lists in the order of nids, targets by their place among the different ones."""
+            nid = np.concatenate([x.column("nid").to_numpy() for x in lists]) if lists else np.zeros(0, np.int64)
+            size = np.concatenate([x.column("cs").value_lengths().to_numpy() for x in lists]) if lists else np.zeros(0, np.int64)
+            by = np.argsort(nid, kind="stable")
+            targets = pa.chunked_array([x.column("cs").flatten() for x in lists], type=kind_of_c).combine_chunks().dictionary_encode(null_encoding="encode")
+            ws = np.concatenate([x.column("ws").flatten().to_numpy() for x in lists]) if lists else np.zeros(0, np.int64)
+            lists.clear()
+            # A middle's list comes in blocks: each is a row here, those of a middle lie together.
+            start = (np.cumsum(size) - size)[by]
+            first = np.flatnonzero(np.concatenate([[True], nid[by][1:] != nid[by][:-1]])) if len(nid) else np.zeros(0, np.int64)
+            return nid[by][first], np.append(first, len(nid)), start, size[by].astype(np.int64), targets.indices.to_numpy().astype(np.int64), None if (ws == 1).all() else ws, targets.dictionary
+
+        def spread(counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """For ranges from starts: the number of the range and the place, of each member."""
+            of = np.repeat(np.arange(len(counts)), counts)
+            return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[of]
+
+        def paths(nid: np.ndarray) -> np.ndarray:
+            """How many paths each step begins."""
+            nids, first, _, size, *_ = known
+            total = np.append(0, np.cumsum(size))
+            at = np.minimum(np.searchsorted(nids, nid), len(nids) - 1)
+            return np.where(nids[at] == nid, total[first[at + 1]] - total[first[at]], 0) if len(nids) else np.zeros(len(nid), np.int64)
+
+        def ended(whole: bool) -> Iterator[pa.RecordBatch]:
+            """Sums of all sources whose steps are there: all but the last one's, or all."""
+            x = pa.Table.from_batches(steps).combine_chunks().to_batches()[0]
+            sources = x.column("a").dictionary_encode(null_encoding="encode")
+            a = sources.indices.to_numpy()
+            end = len(a) if whole else int(np.flatnonzero(a != a[-1])[-1:].sum() + 1) if (a != a[-1]).any() else 0
+            steps[:] = [x.slice(end)] if end < len(a) else []
+            nid, w = x.column("nid").to_numpy()[:end], x.column("w").to_numpy()[:end]
+            size = paths(nid)
+            a, nid, w, size = (y[size > 0] for y in (a[:end], nid, w, size))
+            nids, first, start, sizes, codes, ws, names = known
+            # Runs of whole sources of about chunk paths each.
+            run_of = (np.cumsum(size) - size) // chunk
+            head = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
+            run_of = run_of[head][np.cumsum(head) - 1] if len(a) else run_of
+            edges = np.append(np.flatnonzero(np.concatenate([[True], run_of[1:] != run_of[:-1]])) if len(a) else [], len(a)).astype(np.int64)
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                at = np.searchsorted(nids, nid[i:j])
+                step, block = spread(first[at + 1] - first[at], first[at])
+                of, place = spread(sizes[block], start[block])
+                of = step[of]
+                key = a[i:j][of].astype(np.int64) * len(names) + codes[place]
+                n = w[i:j][of] if ws is None else w[i:j][of] * ws[place]
+                if n.sum() <= 2 * len(n):  # nearly all once: repeats are written out, so that only keys are sorted
+                    key = np.repeat(key, n)
+                    key.sort()
+                    cut_at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    n = np.diff(np.append(cut_at, len(key)))
+                else:
+                    by = np.argsort(key, kind="stable")
+                    key = key[by]
+                    cut_at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    n = np.add.reduceat(n[by], cut_at)
+                key = key[cut_at]
+                for k in range(0, len(key), 100_000):
+                    part = key[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([sources.dictionary.take(pa.array(part // len(names))), names.take(pa.array(part % len(names))), pa.array(n[k : k + 100_000])], names=["a", "c", "n"])
+
+        for b in batches:
+            kind_of_c = b.schema.field("cs").type.value_type
+            n0 = int((b.column("kind").to_numpy() == 0).sum())
+            if n0:
+                lists.append(b.slice(0, n0).select(["nid", "cs", "ws"]))
+            if n0 < b.num_rows:
+                known = closed() if known is None else known
+                steps.append(b.slice(n0).select(["a", "nid", "w"]))
+                held += int(paths(steps[-1].column("nid").to_numpy()).sum())
+                if held >= chunk:
+                    yield from ended(False)
+                    held = int(sum(paths(x.column("nid").to_numpy()).sum() for x in steps))
+        if steps:
+            yield from ended(True)
+
+    return run
+
+
 def two_paths(edges: DataFrame, *, max_id: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Two-paths a -> mid -> c with bag semantics: one row a distinct (a, c), n of them in the bag.
 
-    Where a middle vertex has many steps in and many out, blocks of these meet in pairs, each of at most about
-    block_rows x block_rows paths, summed by (a, c) before they are exchanged.
+    The sources are dealt into parts of about PART_PATHS paths.  A part gets its sources' steps and, once, the list of
+    each middle that they reach, and sums up its paths where they are made: paths aren't exchanged, and what is grows with
+    the edges and at most with the lists times the parts.  A source of more than block_rows ** 2 / 8 paths is no part's:
+    there blocks of the steps into a middle and out of it meet in pairs, each of at most about block_rows x block_rows
+    paths, summed by (a, c) before they are exchanged.
     """
-    left, right = _blocked(cap_ids(edges, max_id), block_rows)
-    return left.join(right, ["mid", "i", "j"]).groupBy("a", "c").agg(F.sum(F.col("w1") * F.col("w2")).alias("n"))
+    spark, scratch = edges.sparkSession, Scratch(edges.sparkSession)
+    e = scratch.keep(_weighted(cap_ids(edges, max_id)))
+    out = e.groupBy(F.col("src").alias("mid")).agg(F.count("*").alias("o"))
+    # Only middles with a step in and a step out have two-paths; they get numbers.
+    mids = scratch.keep(e.select(F.col("dst").alias("mid")).distinct().join(out, "mid").withColumn("nid", F.monotonically_increasing_id()))
+    left = e.join(mids, e["dst"] == mids["mid"]).select(F.col("src").alias("a"), "nid", "w", "o")
+    left, seen = scratch.counted(left, F.sum("o").alias("paths"))
+    most = max(1, block_rows * block_rows // 8)
+    heavy, hubs = scratch.counted(left.groupBy("a").agg(F.sum("o").alias("paths")).filter(F.col("paths") > most).select("a"), F.count(F.lit(1)).alias("n"))
+    if hubs["n"]:
+        left = left.join(heavy, "a", "left_anti")
+    paths, dealt = int(seen["paths"] or 0), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(dealt, -(-paths // LEAST_PATHS)), -(-paths // PART_PATHS))
+    steps = left.select(F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int").alias("part"), "a", "nid", "w")
+    blocks = e.join(mids, e["src"] == mids["mid"]).select("nid", F.pmod(F.xxhash64("dst"), F.ceil(F.col("o") / block_rows)).alias("block"), F.struct(F.col("dst").alias("c"), "w").alias("s"))
+    blocks = scratch.keep(blocks.groupBy("nid", "block").agg(F.sort_array(F.collect_list("s")).alias("s")).select("nid", F.col("s.c").alias("cs"), F.col("s.w").alias("ws")))
+    lists = blocks.join(steps.select("nid", "part").distinct(), "nid")
+    kinds = dict(e.dtypes)
+    # Something in each column rather than nulls: Spark's Arrow writer goes over a run of null lists or strings for every row.
+    none = [F.array().cast(dict(lists.dtypes)[c]).alias(c) for c in ("cs", "ws")]
+    both = lists.select("part", F.lit(0).alias("kind"), F.lit("0").try_cast(kinds["src"]).alias("a"), "nid", F.lit(0).cast("bigint").alias("w"), "cs", "ws")
+    both = both.unionByName(steps.select("part", F.lit(1).alias("kind"), "a", "nid", "w", *none))
+    got = both.repartitionById(parts, F.col("part")).sortWithinPartitions("kind", "a").drop("part").mapInArrow(_summed(CHUNK_PATHS), f"a {kinds['src']}, c {kinds['dst']}, n bigint")
+    if hubs["n"]:
+        left, right = _blocked(cap_ids(edges, max_id), block_rows)
+        got = got.unionByName(left.join(heavy, "a", "left_semi").join(right, ["mid", "i", "j"]).groupBy("a", "c").agg(F.sum(F.col("w1") * F.col("w2")).alias("n")))
+    return got
 
 
 def closed_walks3(edges: DataFrame, *, max_id: int | None = None) -> DataFrame:

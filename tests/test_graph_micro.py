@@ -321,6 +321,27 @@ def test_hub_of_two_paths(spark):
     assert {(r["a"], r["c"]): r["n"] for r in got.collect()} == want
 
 
+def test_two_paths_are_not_exchanged(spark, monkeypatch):
+    """Steps and lists are dealt out, the paths summed where they are made; also over many parts and chunks, with hubs, repeats and names."""
+    rnd = random.Random(3)
+    pairs = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(900)] + [(7, i) for i in range(60)] + [(i, 7) for i in range(60)] + [(5, 6)] * 40
+    by = {}
+    for a, b in pairs:
+        by.setdefault(a, []).append(b)
+    want = Counter((a, c) for a, b in pairs for c in by.get(b, []))
+    e = graph(spark, *pairs)
+    assert "hashpartitioning(a" not in executed(joins.two_paths(e))
+    for name, value in (("PART_PATHS", 500), ("LEAST_PATHS", 500), ("CHUNK_PATHS", 50)):
+        monkeypatch.setattr(joins, name, value)
+    for rows in (40, 4096):  # the hub's paths are exchanged, no source's are
+        got = joins.two_paths(e, block_rows=rows)
+        assert ("hashpartitioning(a" in executed(got)) == (rows == 40)
+        assert {(r["a"], r["c"]): r["n"] for r in got.collect()} == want and got.count() == len(want)
+    named = joins.two_paths(e.select(*[F.concat(F.lit("v"), c).alias(c) for c in ("src", "dst")]))
+    assert {(r["a"], r["c"]): r["n"] for r in named.collect()} == {(f"v{a}", f"v{c}"): n for (a, c), n in want.items()}
+    assert joins.two_paths(graph(spark, (1, 2), (3, 4))).collect() == []
+
+
 def test_large_hub_is_never_one_task(spark):
     """10^5 steps in and 10^5 out: the heaviest pair of blocks stays small however large the hub is."""
     n = 100_000
