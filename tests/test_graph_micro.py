@@ -215,6 +215,25 @@ def test_static_graph_stays(spark, no_broadcast):
     assert text.count("hashpartitioning(vertex#") == 1 and text.count("hashpartitioning(dst#") == 1
 
 
+def test_edges_are_packed_and_parts_meet(spark, no_broadcast, monkeypatch):
+    """A pass joins a row a vertex, not one an edge; also where a graph has other parts than the session it stays where it lies."""
+    monkeypatch.setattr(placement, "parts_for", lambda s, n: 3)
+    monkeypatch.setattr(placement, "piece_rows", lambda rows, parts: rows)
+    scratch, seen = Scratch(spark), []
+    g = placement.place_graph(graph(spark, (1, 2), (1, 3), (1, 3), (1, 4), (2, 3)), scratch)
+    assert g.edges.count() == 2 and {(r["src"], r["dst"], r["w"], r["share"]) for r in g.reach(g.nodes).collect()} == {(1, 2, 1, 0.25), (1, 3, 2, 0.5), (1, 4, 1, 0.25), (2, 3, 1, 1.0)}
+    ranks, _ = scratch.place(g.nodes.select("vertex", "slots", F.lit(1.0).alias("rank")), g.parts, "vertex")
+    with scratch_tables.dealt_into(spark, g.parts):
+        got = pagerank._contributions(g, ranks)
+        text = executed(ranks.join(got, ranks["vertex"] == got["dst"], "left"))
+    assert text.count("Exchange hashpartitioning") == 2 and "hashpartitioning(src" not in text
+    real = scratch_tables.dealt_into
+    monkeypatch.setattr(scratch_tables, "dealt_into", lambda s, n: seen.append(n) or real(s, n))
+    dealt = spark.conf.get("spark.sql.shuffle.partitions")
+    assert pagerank.pagerank(graph(spark, (1, 2), (2, 1)), iterations=2).count() == 2 and set(seen) == {3}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == dealt
+
+
 def test_reached_vertices_stay(spark, no_broadcast):
     """A pass of the search moves the frontier and what it finds; neither steps nor what was reached before."""
     scratch = Scratch(spark)
@@ -424,3 +443,5 @@ def test_node_records(spark, no_broadcast):
 def test_parts_follow_the_rows(spark):
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert [scratch_tables.parts_for(spark, n) for n in (0, 60_000, 10_000_000, 2_000_000_000)] == [1, 2, dealt, 1000]
+    with scratch_tables.dealt_into(spark, 600):  # the session's many parts don't multiply the sums of each
+        assert [scratch_tables.parts_for(spark, n) for n in (1_000_000, 36_000_000, 216_000_000)] == [20, 64, 108]
