@@ -21,7 +21,7 @@ with many pairs is dealt to as many tasks as it has runs of SPLIT pairs.
 
 What sketches and leaders miss is found by an exact pass.  Two texts that reach the threshold share a k-mer
 among the first n - ceil(0.8 n) + 1 of each in any fixed order of k-mers.  The order is by rough frequency
-(from a fixed share of the rows; it only saves work, no result depends on it), and then by hash.  Buckets of
+(over all rows, by shortened hashes; it only saves work, no result depends on it), and then by hash.  Buckets of
 such k-mers whose members are all of one component are dropped by a window; in the others the members outside the
 largest component meet all of other components that can still reach the threshold, by their sizes and the
 number of k-mers left from the shared one on.  Pairs whose whole lists then share too little go, and the rest are
@@ -50,8 +50,8 @@ from orrery.llm import vectors as V
 from orrery.plans.scratch import Scratch
 
 K, MINIMA, TABLES, SIMILARITY = 5, 4, 24, 0.8
-#: One row in so many has its k-mers counted; the bits of the table of counts.
-COUNTED, COUNT_BITS = 16, 22
+#: K-mers that a task counts at a time; the bits of a k-mer's hash when it is counted, of the table of counts, of a bucket.
+COUNTED, HASH_BITS, COUNT_BITS, BUCKET_BITS = 4_000_000, 40, 22, 12
 #: Nodes that are broadcast (a long key and two short columns) to find their texts; more are joined.
 BROADCAST_NODES = 500_000
 #: Pairs of one leader that one task aligns.
@@ -109,20 +109,53 @@ def _texts_mers(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield labelled(V.windows(w, min(k, len(w)))) if len(w) else w
 
 
-def _sample(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], k: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, h, c): of about ``most`` k-mers at a time the different ones and how often they occur, by the leading bits of their hashes."""
+    held, n = [], 0
+
+    def dealt() -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(held) >> V.U(64 - HASH_BITS), return_counts=True)
+        first = np.searchsorted(h, np.arange((1 << BUCKET_BITS) + 1, dtype=V.U) << V.U(HASH_BITS - BUCKET_BITS))
+        there = np.flatnonzero(first[1:] > first[:-1])
+        at = pa.py_buffer((np.append(first[there], len(h)) * 4).astype(np.int32))
+        low = h & V.U((1 << (HASH_BITS - BUCKET_BITS)) - 1)
+        raw = [pa.Array.from_buffers(pa.binary(), len(there), [None, at, pa.py_buffer(x.astype(np.uint32))]) for x in (low, c)]
+        return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *raw], names=["bucket", "h", "c"])
+
     for b in batches:
-        mers, c = np.unique(np.concatenate([np.zeros(0, V.U), *_texts_mers(b.column(0), k)]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(mers.view(np.int64)), pa.array(c, pa.int64())], names=["h", "c"])
+        for mers in _texts_mers(b.column(0), k):
+            held.append(mers)
+            n += len(mers)
+        if n >= most:
+            yield dealt()
+            held, n = [], 0
+    if n:
+        yield dealt()
+
+
+def _logs(bucket: pa.Table) -> pa.Table:
+    """(bucket, logs) of all (bucket, h, c) of a bucket: for each of its spots a byte."""
+    h, c = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in bucket.column(name)]) for name in ("h", "c"))
+    by = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]]))
+    times, spots = np.add.reduceat(c[by].astype(np.int64), first), (h[by][first] >> np.uint32(HASH_BITS - COUNT_BITS)).astype(np.int64)
+    out = np.zeros(1 << (COUNT_BITS - BUCKET_BITS), np.uint8)
+    np.maximum.at(out, spots, np.log2(times).astype(np.uint8))
+    return pa.table({"bucket": bucket.column("bucket").slice(0, 1), "logs": pa.array([out.tobytes()], pa.binary())})
 
 
 def rough_counts(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
-    """For each spot of the table the logarithm of the greatest count of a k-mer there, in the counted rows."""
-    some = docs.filter(F.pmod(F.xxhash64(f"`{text_col}`"), F.lit(COUNTED)) == 0).select(plain_words(F.col(f"`{text_col}`")))
-    often = some.mapInArrow(lambda it: _sample(it, k), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1")
-    got = often.groupBy(F.shiftrightunsigned("h", 64 - COUNT_BITS).alias("spot")).agg(F.max("c").alias("c")).toArrow()  # bounded by the table
-    out = np.zeros(1 << COUNT_BITS, np.uint8)
-    out[got.column("spot").to_numpy()] = np.minimum(np.log2(got.column("c").to_numpy()), 63).astype(np.uint8)
-    return out
+    """For each spot of the table the logarithm of the greatest count of a k-mer there, over all rows.
+
+    K-mers are counted by HASH_BITS of their hashes, so that one moves four bytes; all of a bucket meet in one group, of which
+    a table of bytes comes to the driver: 4 MB in all, whatever the input.
+    """
+    packed = docs.select(plain_words(F.col(f"`{text_col}`"))).mapInArrow(lambda it: _packed(it, k, COUNTED), "bucket int, h binary, c binary")
+    got = packed.groupBy("bucket").applyInArrow(_logs, "bucket int, logs binary").toArrow()
+    out = np.zeros((1 << BUCKET_BITS, 1 << (COUNT_BITS - BUCKET_BITS)), np.uint8)
+    for bucket, logs in zip(got.column("bucket").to_pylist(), got.column("logs"), strict=True):
+        out[bucket] = np.frombuffer(logs.as_buffer(), np.uint8)
+    return out.ravel()
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:

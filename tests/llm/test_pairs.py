@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,23 @@ def test_near_duplicates_whole_table(spark, sf_dir):
     assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(rows)
 
 
+def test_kmers_of_all_rows_are_counted(spark, monkeypatch):
+    """Every row counts, whatever its hash and wherever a task cuts what it holds."""
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(0, 40))) for _ in range(300)] + ["one two three four five six seven"] * 21 + [None]
+    docs = table(spark, list(enumerate(texts)))
+    mers = np.concatenate(list(N._texts_mers(pa.array([plain(t) for t in texts]), 5)))
+    want = np.zeros(1 << N.COUNT_BITS, np.uint8)
+    for h, c in zip(*np.unique(mers, return_counts=True), strict=True):
+        spot = int(h) >> (64 - N.COUNT_BITS)
+        want[spot] = max(want[spot], int(np.log2(c)))
+    assert want.max() == 4
+    for most in (N.COUNTED, 7):
+        monkeypatch.setattr(N, "COUNTED", most)
+        assert (N.rough_counts(docs, "text", 5) == want).all()
+    assert not N.rough_counts(table(spark, []), "text", 5).any()
+
+
 def test_near_edges(spark):
     assert N.near_duplicates(table(spark, [])).count() == 0
     rows = [(None, "x y z"), (4, "x y z"), (4, "x y z"), (5, "other words here are some more")]
